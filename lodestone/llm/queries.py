@@ -8,14 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import conversations as p2
+from lodestone.llm import docpairs as p1
 from lodestone.llm import leakage as p8
 from lodestone.llm import mixing as p9
 from lodestone.llm import neardup as p7
+from lodestone.llm import secrets as p5
 from lodestone.llm import splitting as p6
 from lodestone.session import arrow_batch_rows
 from lodestone.sources.tables import table
 
 
+def _functions(spark: SparkSession, d: str, with_source: bool) -> DataFrame:
+    arrow_batch_rows(spark, 1000)
+    whole = p1.documented_functions(table(spark, d, "sessions"), "id", "code", "sessions", with_source=with_source)
+    chunks = p1.documented_functions(table(spark, d, "code_chunks"), "id", "chunk_text", "code_chunks", chunk=True, with_source=with_source)
+    return whole.unionByName(chunks)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _functions(spark, d, False).select("src_table", "row_id", "def_line")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _functions(spark, d, True)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2.conversation_defects(table(spark, d, "chat_messages"))
 
@@ -26,6 +43,19 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("session_id", "part", "n_turns", F.to_json("turns").alias("turns"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 1000)
+    whole = p5.find_secrets(table(spark, d, "sessions"), "id", "code", "sessions")
+    chunks = p5.find_secrets(table(spark, d, "code_chunks"), "id", "chunk_text", "code_chunks")
+    return whole.unionByName(chunks).select("src_table", "row_id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 1000)
+    whole = p5.redact_secrets(table(spark, d, "sessions"), "id", "code", "sessions")
+    return whole.unionByName(p5.redact_secrets(table(spark, d, "code_chunks"), "id", "chunk_text", "code_chunks"))
+
+
 def _pieces(spark: SparkSession, d: str, with_text: bool) -> DataFrame:
     arrow_batch_rows(spark, 1000)
     tables = {t: table(spark, d, t) for t in ("sessions", "code_chunks")}
@@ -72,8 +102,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
