@@ -11,6 +11,7 @@ from lodestone.llm import conversations as p2
 from lodestone.llm import docpairs as p1
 from lodestone.llm import leakage as p8
 from lodestone.llm import mixing as p9
+from lodestone.llm import mojibake as p10
 from lodestone.llm import neardup as p7
 from lodestone.llm import secrets as p5
 from lodestone.llm import splitting as p6
@@ -101,6 +102,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return p9.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 2000)
+    return p10.garbled(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 2000)
+    return p10.garbled(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -116,6 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_leaks": p8_leaks,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_repaired": p10_repaired,
 }
 
 #: One row for each message, in order, with cleaned role and blankness.
