@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import answers as p3
 from lodestone.llm import conversations as p2
 from lodestone.llm import docpairs as p1
 from lodestone.llm import leakage as p8
@@ -15,6 +16,7 @@ from lodestone.llm import mojibake as p10
 from lodestone.llm import neardup as p7
 from lodestone.llm import secrets as p5
 from lodestone.llm import splitting as p6
+from lodestone.llm import truncation as p4
 from lodestone.session import arrow_batch_rows
 from lodestone.sources.tables import table
 
@@ -44,6 +46,24 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("session_id", "part", "n_turns", F.to_json("turns").alias("turns"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 4000)
+    return p3.answer_defects(table(spark, d, "chat_messages"), table(spark, d, "documents"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 4000)
+    return p4.message_rows(table(spark, d, "chat_messages")).unionByName(p4.title_rows(table(spark, d, "sessions")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4.cut_rows(_texts(spark, d))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p4.cut_shares(_texts(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     arrow_batch_rows(spark, 1000)
     whole = p5.find_secrets(table(spark, d, "sessions"), "id", "code", "sessions")
@@ -117,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_shares": p4_shares,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p6_found": p6_found,
