@@ -113,18 +113,12 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
 def is_refusal(answer: str) -> bool:
-    """Whether an answer declines: one of its first three sentences of prose does so."""
+    """Whether a sentence of an answer's prose declines to answer."""
     text = re.sub(r"```.*?(?:```|\Z)", " ", answer, flags=re.S).replace("’", "'").lower()
-    n = 0
     for sentence in _SENTENCE.split(re.sub(r"`[^`\n]*`", "it", text)):
         sentence = " ".join(sentence.split())
-        if not sentence:
-            continue
-        n += 1
         if _REFUSAL.search(sentence) and not _NO_REFUSAL.search(sentence):
             return True
-        if n >= 3:
-            break
     return False
 
 
@@ -189,7 +183,7 @@ def language_differs(model: LanguageModel, question: str, answer: str, margin: f
         return False
     ask = asked_language(question)
     best_a = model.languages[int(np.argmax(a))]
-    if ask is not None:
+    if ask == best_a:
         return False
     q = model.scores(question)
     if q is None:
