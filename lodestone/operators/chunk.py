@@ -116,18 +116,16 @@ def parsed_blocks(lines: list[str], s: Structure) -> list[Block]:
     if imports:
         out.append(Block("imports", "imports", imports[0], [lines[k] for k in imports]))
     spans = [s.ranges[c][:2] for c in s.classes]
-    for name in (*sorted(s.classes), *sorted(s.functions)):
+    for kind, name in [("class", x) for x in sorted(s.classes)] + [("function", x) for x in sorted(s.functions)]:
         line, end, first = s.ranges[name]
-        kind = "class" if name in s.classes else "function"
-        for kind in [k for k, group in (("class", s.classes), ("function", s.functions)) if name in group and not any(b.name == name and b.kind == k for b in out)]:
-            if kind == "function" and any(a < line <= z for a, z in spans):
-                continue
-            b = Block(kind, name, first - 1, lines[first - 1 : end], _indent(lines[line - 1]), docstring_at(lines, line), s.decorators.get(name, []))
-            if kind == "class":
-                b.special = s.special.get(name)
-            else:
-                b.hints, b.is_async = s.functions[name], lines[line - 1].lstrip().startswith("async ")
-            out.append(b)
+        if kind == "function" and any(a < line <= z for a, z in spans):
+            continue
+        b = Block(kind, name, first - 1, lines[first - 1 : end], _indent(lines[line - 1]), docstring_at(lines, line), s.decorators.get(name, []))
+        if kind == "class":
+            b.special = s.special.get(name)
+        else:
+            b.hints, b.is_async = s.functions[name], lines[line - 1].lstrip().startswith("async ")
+        out.append(b)
     return sorted(out, key=lambda b: b.start)
 
 
