@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,52 +22,82 @@ from lodestone.llm.text import clean_role, is_blank, ordered_blocks
 from lodestone.llm.truncation import cut_rows, message_rows
 from lodestone.session import materialize
 
-SLOTS = 1 << 16
+SLOTS = 1 << 14
 #: Labelled rows the language model is fitted on, at most, for each language.
 FIT_ROWS = 2000
-_NOT_PROSE = re.compile(r"```.*?(?:```|\Z)|<code>.*?</code>|`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|\b\w*[_\d]\w*\b|\b[a-zà-ÿ]+[A-Z]\w*|^\s*(?:>>>|#|\$).*$|^(?: {4}|\t).*$", re.S | re.M)
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def prose(text: str) -> str:
-    """Words of a text outside of code, links, markup and identifiers, one blank apart."""
-    return " ".join(_LETTERS.findall(_NOT_PROSE.sub(" ", text).lower()))
-
-
-def _slots(text: str) -> np.ndarray:
-    """Hash slots of the 2-, 3- and 4-grams of a prose text."""
-    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for n in (2, 3, 4):
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, np.uint64)
-            for j in range(n):
-                h = (h ^ c[j : len(c) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append(h >> np.uint64(48))
-    return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
+_FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
+_SPANS = re.compile(r"`[^`\n]*`")
+_MARKUP = re.compile(r"<code>.*?(?:</code>|\Z)|<[^<>\n]{1,80}>", re.S)
+_LINKS = re.compile(r"https?://\S+")
+_CODE_LINES = re.compile(r"^(?:>>>|\$ | {4}|\t).*$", re.M)
+_MARKS = ".,;:!?…()[]{}<>\"“”„«»¿¡-–—*_/|"
+
+
+def prose(text: str) -> list[str]:
+    """Words of a text outside of code, links, markup and identifiers, in lower case."""
+    if "`" in text:
+        text = _SPANS.sub(" ", _FENCED.sub(" ", text))
+    if "<" in text:
+        text = _MARKUP.sub(" ", text)
+    if "://" in text:
+        text = _LINKS.sub(" ", text)
+    if "\n" in text or text.startswith((" ", "\t", ">>>", "$ ")):
+        text = _CODE_LINES.sub(" ", text)
+    words = [w.strip(_MARKS) for w in text.replace("'", " ").replace("’", " ").split()]
+    # digits and underscores make an identifier, and so do humps
+    return [w if w.islower() else w.lower() for w in words if w.isalpha() and (w.islower() or w.istitle() or w.isupper())]
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash slots of the 3-grams of words, each closed in by blanks, and the word of each."""
+    joined = " ".join(["", *words, ""])
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (c[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (c[2:] * np.uint64(0x165667B19E3779F9))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 1 for w in words])[: len(h)]
+    # a gram with its blank in the middle spans two words
+    inside = c[1:-1] != 32
+    return (h >> np.uint64(50)).astype(np.int64)[inside], owner[inside]
 
 
 class LanguageModel:
-    """Naive Bayes over hashed character n-grams; fixed size for each language."""
+    """Naive Bayes over hashed character 3-grams of words; fixed size for each language."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in samples})
-        self.log = np.zeros((len(self.languages), SLOTS), np.float32)
+        self.log = np.zeros((SLOTS, len(self.languages)), np.float32)
         for i, lang in enumerate(self.languages):
-            n = np.full(SLOTS, 0.05)
-            for l, text in samples:
-                if l == lang:
-                    n += np.bincount(_slots(prose(text)), minlength=SLOTS)
-            self.log[i] = np.log(n / n.sum())
-
-    def scores(self, text: str) -> np.ndarray | None:
-        """Log-likelihood of each language, tempered as n-grams overlap; None without prose."""
-        p = prose(text)
-        if not p or not self.languages:
-            return None
-        s = _slots(p)
-        return self.log[:, s].sum(axis=1) / 3.0
+            slots, _ = _grams([w for l, text in samples if l == lang for w in prose(text)])
+            n = np.bincount(slots, minlength=SLOTS) + 0.05
+            self.log[:, i] = np.log(n / n.sum())
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.languages)), np.float32)
+
+    def _learn(self, words: set[str]) -> None:
+        """Log-likelihoods of new words; each distinct word of a worker is computed once."""
+        if len(self.known) > 500_000:
+            self.known, self.table = {}, self.table[:0]
+        new = [w for w in words if w not in self.known]
+        if new:
+            slots, owner = _grams(new)
+            got = np.zeros((len(new), len(self.languages)), np.float32)
+            np.add.at(got, owner, self.log[slots])
+            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, got])
+
+    def scores(self, texts: list[list[str]]) -> np.ndarray:
+        """Log-likelihoods of texts given as words, a row for each; zeros for an empty one."""
+        out = np.zeros((len(texts), len(self.languages)))
+        full = [k for k, t in enumerate(texts) if t]
+        if full and self.languages:
+            flat = [w for k in full for w in texts[k]]
+            if len(self.known) > 500_000 or not all(map(self.known.__contains__, flat)):
+                self._learn(set(flat))
+            at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            starts = np.cumsum([0, *(len(texts[k]) for k in full)])[:-1]
+            out[full] = np.add.reduceat(self.table[at], starts, axis=0)
+        return out
 
 
 def fit_languages(documents: DataFrame, rows_per_language: int = FIT_ROWS) -> LanguageModel:
@@ -112,12 +143,34 @@ _NO_REFUSAL = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
+#: One of these is in every sentence that declines (fixed values).
+_DECLINES = (
+    "can't", "cannot", "can not", "won't", "will not", "able to", "unable", "declin", "refus", "rather not", "prefer not", "not allowed", "permi", "shouldn't", "going to", "no answer",
+    "possible for me", "outside", "not something", "guideline", "polic", "rules", "without me", "ask a colleague", "ask some", "nicht", "keine", "ablehn", "verweiger", "frag", "no puedo",
+    "no podemos", "no me", "no voy", "no debo", "no quiero", "rechaz", "negarme", "niego", "obligad", "prefiero no", "je ne", "m'est", "je dois", "je suis oblig", "je préfère",
+)
+
+
+@lru_cache(maxsize=1)
+def _declines():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for k in _DECLINES:
+        a.add_word(k, True)
+    a.make_automaton()
+    return a
+
+
 def is_refusal(answer: str) -> bool:
     """Whether a sentence of an answer's prose declines to answer."""
-    text = re.sub(r"```.*?(?:```|\Z)", " ", answer, flags=re.S).replace("’", "'").lower()
+    text = answer.replace("’", "'").lower()
+    if next(_declines().iter(text), None) is None:
+        return False
+    text = re.sub(r"```.*?(?:```|\Z)", " ", text, flags=re.S)
     for sentence in _SENTENCE.split(re.sub(r"`[^`\n]*`", "it", text)):
         sentence = " ".join(sentence.split())
-        if _REFUSAL.search(sentence) and not _NO_REFUSAL.search(sentence):
+        if next(_declines().iter(sentence), None) and _REFUSAL.search(sentence) and not _NO_REFUSAL.search(sentence):
             return True
     return False
 
@@ -131,8 +184,13 @@ def is_copy(question: str, answer: str, lead: int = 8) -> bool:
     Letter case and everything between words is ignored; the question may come several times, behind
     a lead-in of at most ``lead`` words (each time), and may have lost words at its end by a cut.
     """
+    low = answer.lower()
+    first = _WORDS.search(question.lower())
+    # the question's first word comes early: a cheap look before all words are taken
+    if first is None or first[0] not in low:
+        return False
     q = _WORDS.findall(question.lower())
-    a = _WORDS.findall(answer.lower())
+    a = _WORDS.findall(low)
     if len(q) < 2 or len(a) < len(q):
         return False
     left, used = a, 0
@@ -173,26 +231,21 @@ def asked_language(question: str) -> str | None:
     return None
 
 
-def language_differs(model: LanguageModel, question: str, answer: str, margin: float = 4.0) -> bool:
-    """Whether the prose of both is surely in one language each, and not in the same.
+def language_differs(model: LanguageModel, pairs: list[tuple[str, str]], margin: float = 10.0) -> list[bool]:
+    """For each question and answer, whether their prose is surely in two different languages.
 
-    A language is sure when it leads by ``margin`` nats; what the question asks for is never wrong.
+    A language is sure when it leads the other's by ``margin`` nats; the language that the question
+    asks for is never wrong, and without prose nothing differs.
     """
-    a = model.scores(answer)
-    if a is None:
-        return False
-    ask = asked_language(question)
-    best_a = model.languages[int(np.argmax(a))]
-    if ask == best_a:
-        return False
-    q = model.scores(question)
-    if q is None:
-        return False
-    best_q = model.languages[int(np.argmax(q))]
-    if best_a == best_q:
-        return False
-    i, j = model.languages.index(best_a), model.languages.index(best_q)
-    return a[i] - a[j] >= margin and q[j] - q[i] >= margin
+    if not pairs or len(model.languages) < 2:
+        return [False] * len(pairs)
+    texts = [prose(t) for pair in pairs for t in pair]
+    s = model.scores(texts)
+    q, a = s[0::2], s[1::2]
+    i, j = q.argmax(axis=1), a.argmax(axis=1)
+    k = np.arange(len(pairs))
+    sure = (i != j) & (q[k, i] - q[k, j] >= margin) & (a[k, j] - a[k, i] >= margin)
+    return [bool(x) and asked_language(pairs[n][0]) != model.languages[j[n]] for n, x in enumerate(sure)]
 
 
 def _deduplicated(messages: DataFrame) -> DataFrame:
@@ -205,12 +258,12 @@ def _deduplicated(messages: DataFrame) -> DataFrame:
 _PAIR = "kind string, session_id long, at long, id long, role string, content string, answer_id long, defect string"
 
 
-def answer_defects(messages: DataFrame, documents: DataFrame, margin: float = 4.0) -> DataFrame:
+def answer_defects(messages: DataFrame, documents: DataFrame, margin: float = 10.0) -> DataFrame:
     """``(answer_id, defect)`` of every defective pair, one row for each defect it has.
 
     A pair is a user message directly followed by an assistant's, order and repeated rows as in
     problem 2; pairs of dropped conversations count. Null and blank answers are ``empty`` and nothing
-    else; a blank question cannot be copied and has no language. Empty tables give no row.
+    else, a refusal is no copy and in no wrong language; a blank question cannot be copied and has no language. Empty tables give no row.
     """
     spark = messages.sparkSession
     model = spark.sparkContext.broadcast(fit_languages(documents))
@@ -218,18 +271,24 @@ def answer_defects(messages: DataFrame, documents: DataFrame, margin: float = 4.
         "session_id", F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62))).alias("at"), "id", "role", "content"
     )
 
-    def judge(q: str | None, a: str | None) -> list[str]:
-        if not _visible(a):
-            return ["empty"]
-        out = []
-        if is_refusal(a):
-            out.append("refusal")
-        if _visible(q):
-            if is_copy(q, a):
-                out.append("copy")
-            elif language_differs(model.value, q, a, margin):
-                out.append("language")
-        return out
+    def judge(pairs: list[tuple]) -> list[tuple]:
+        """Rows for ``(question, answer, row)``: one for the pair, one for each of its defects."""
+        out, talk = [], []
+        for q, a, row in pairs:
+            found = []
+            if not _visible(a):
+                found = ["empty"]
+            else:
+                if is_refusal(a):
+                    found.append("refusal")
+                elif _visible(q):
+                    if is_copy(q, a):
+                        found.append("copy")
+                    else:
+                        talk.append((q, a, row))
+            out += _told(row, found)
+        differs = language_differs(model.value, [(q, a) for q, a, _ in talk], margin)
+        return out + [t for (_, _, row), d in zip(talk, differs) if d for t in _told(row, ["language"])[1:]]
 
     columns = [c.split()[0] for c in _PAIR.split(", ")]
 
@@ -239,14 +298,14 @@ def answer_defects(messages: DataFrame, documents: DataFrame, margin: float = 4.
         """Pairs within the sorted block, and the block's first and last row for its neighbours."""
         before = None
         for pdf in it:
-            out = []
+            out, met = [], []
             for row in zip(*(pdf[c] for c in fields)):
                 if before is None:
                     out.append(("first", *row, None, None))
                 elif before[0] == row[0] and before[3] == "user" and row[3] == "assistant":
-                    out += _told(row, judge(before[4], row[4]))
+                    met.append((before[4], row[4], row))
                 before = row
-            yield _frame(out, columns)
+            yield _frame(out + judge(met), columns)
         if before is not None:
             yield _frame([("last", *before, None, None)], columns)
 
@@ -254,12 +313,12 @@ def answer_defects(messages: DataFrame, documents: DataFrame, margin: float = 4.
         """Pairs of one block's last row and the next block's first."""
         before = None
         for pdf in it:
-            out = []
+            met = []
             for row in zip(*(pdf[c] for c in (*fields, "kind"))):
                 if before is not None and before[5] == "last" and row[5] == "first" and before[0] == row[0] and before[3] == "user" and row[3] == "assistant":
-                    out += _told(row, judge(before[4], row[4]))
+                    met.append((before[4], row[4], row))
                 before = row
-            yield _frame(out, columns)
+            yield _frame(judge(met), columns)
 
     found = materialize(ordered_blocks(rows, "session_id", "at", "id").mapInPandas(pairs, _PAIR))
     # two rows for each block, whatever the input: joined in one small task
