@@ -15,10 +15,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lodestone.operators import dims
+from lodestone.session import spread
 
 ARG = (
     "struct<kind:string,name:string,placeholder:boolean,built:boolean,tainted:boolean,known:boolean,"
@@ -31,7 +35,6 @@ NODES = (
     "names array<string>, targets array<string>, modules array<string>, built boolean, placeholder boolean, safe boolean, ops array<string>, "
     "n_values int, first_line int, main_guard boolean, const_true boolean, block_depth int, is_async boolean"
 )
-COLUMNS = [c.split()[0] for c in NODES.split(", ") if " " in c and "<" not in c.split()[0] and ":" not in c.split()[0]]
 STATUS = "file_id long, valid boolean, err_line int, err_offset int, err_msg string, n_lines int"
 
 _SKIP = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
@@ -269,25 +272,26 @@ _ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
 def ast_nodes(files: DataFrame, names: bool = False) -> DataFrame:
     """Nodes of all files that parse; ``files`` has ``file_id`` and ``code``. Null code has none."""
 
-    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(_parse_datatype_string(NODES))
+
+    def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore")
-        for pdf in it:
-            for fid, code in zip(pdf["file_id"], pdf["code"]):
+        rows: list[dict] = []
+        for batch in it:
+            for fid, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if code is None:
                     continue
                 try:
-                    rows = nodes_of(code, names)
+                    rows += [{"file_id": fid} | r for r in nodes_of(code, names)]
                 except _ERRORS:
                     continue
-                out = pd.DataFrame(rows, columns=COLUMNS[1:])
-                out.insert(0, "file_id", fid)
-                for c in ("lineno", "end_lineno", "n_values", "first_line", "block_depth"):
-                    out[c] = out[c].astype("Int32")
-                for c in ("built", "placeholder", "safe", "main_guard", "const_true", "is_async"):
-                    out[c] = out[c].astype("boolean")
-                yield out.astype(object).where(out.notna(), None)
+                if len(rows) >= 4000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("file_id", "code").mapInPandas(parse, NODES)
+    return spread(files.select(F.col("file_id").cast("long"), "code")).mapInArrow(parse, NODES)
 
 
 def parse_status(files: DataFrame) -> DataFrame:
@@ -311,7 +315,7 @@ def parse_status(files: DataFrame) -> DataFrame:
                     rows.append((fid, False, None, None, str(e), n))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATUS.split(", ")]).astype({"err_line": "Int32", "err_offset": "Int32"})
 
-    return files.select("file_id", "code").mapInPandas(status, STATUS)
+    return spread(files.select("file_id", "code")).mapInPandas(status, STATUS)
 
 
 def calls(nodes: DataFrame) -> DataFrame:

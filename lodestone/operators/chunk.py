@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import dims
 from lodestone.operators.ast_table import _ERRORS, _hints, _last_name
+from lodestone.session import spread
 
 CHUNKS = (
     "file_id long, chunk_id int, content string, chunk_type string, name string, base_name string, line_start int, line_count int, docstring string, "
@@ -332,7 +333,7 @@ def code_chunks(files: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=cols)
             yield out.astype(object).where(out.notna(), None) if rows else out
 
-    return files.select("file_id", "code").mapInPandas(run, CHUNKS)
+    return spread(files.select(F.col("file_id").cast("long"), "code")).mapInPandas(run, CHUNKS)
 
 
 def simple_chunks(documents: DataFrame, id_col: str, text_col: str, limit: int = dims.CHUNK_MAX, overlap: int = dims.CHUNK_OVERLAP) -> DataFrame:

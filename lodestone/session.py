@@ -60,3 +60,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 def arrow_batch_rows(spark: SparkSession, rows: int) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input came in fewer partitions; a large input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
