@@ -1,8 +1,629 @@
-"""Registered queries of the core and their SQL."""
+"""Registered queries of the core, over whole tables, and the same in DuckDB's SQL where it has a form."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import chunk, dims, evalm, graph, lexical, merge, metaindex, metrics, report, retrieve, router, rules, vector
+from lodestone.operators.ast_table import ast_nodes, parse_status
+from lodestone.plans import analyze as plan
+from lodestone.session import arrow_batch_rows, materialize
+from lodestone.sources import store
+from lodestone.sources.files import generated_corpus, session_files, upload_title
+from lodestone.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 200)
+    return session_files(table(spark, d, "sessions"))
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    arrow_batch_rows(spark, 5000)
+    return generated_corpus(table(spark, d, "events"))
+
+
+def _nodes(spark: SparkSession, d: str, files: DataFrame, names: bool = False) -> DataFrame:
+    """Nodes are read several times by a query: written once for it."""
+    return materialize(ast_nodes(files, names))
+
+
+# -- literal secrets, merge, counts -----------------------------------------------------------------
+
+_ANY = lambda c, xs: "(" + " OR ".join(f"contains({c}, {_quote(x)})" for x in xs) + ")"
+_SECRETS = (
+    "WITH l AS (SELECT id AS file_id, unnest(string_split(code, chr(10))) AS t, generate_subscripts(string_split(code, chr(10)), 1) AS line FROM sessions WHERE code IS NOT NULL),"
+    " k AS (SELECT *, CASE "
+    + " ".join(f"WHEN regexp_matches(t, {_quote('(?i)' + p)}) THEN {_quote(n)}" for n, p in dims.SECRET_PATTERNS)
+    + " END AS key, CASE "
+    + " ".join(f"WHEN regexp_matches(t, {_quote('(?i)' + p)}) THEN regexp_extract(t, {_quote('(?i)' + p)}, 1)" for n, p in dims.SECRET_PATTERNS)
+    + f" END AS v FROM l WHERE NOT {_ANY('lower(t)', dims.SECRET_SKIP_LOWER)} AND NOT {_ANY('t', dims.SECRET_SKIP)}),"
+    + f" s AS (SELECT file_id, line, 'hardcoded_' || key AS rule FROM k WHERE key IS NOT NULL AND NOT {_ANY('lower(v)', dims.SECRET_PLACEHOLDERS)})"
+)
+_CATEGORY = "CASE rule " + " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in dims.RULE_CATEGORY.items()) + " ELSE rule END"
+_SEVERITY = lambda c: f"CASE WHEN {c} IN ({', '.join(map(_quote, dims.HIGH))}) THEN 'HIGH' ELSE 'MEDIUM' END"
+
+
+@query(_SECRETS + " SELECT file_id, CAST(line AS INT) AS line, rule FROM s")
+def secret_lines(spark, d):
+    return rules.secret_lines(_files(spark, d)).select("file_id", "line", "rule")
+
+
+@query(_SECRETS + f", c AS (SELECT DISTINCT file_id, line, {_CATEGORY} AS rule FROM s) SELECT rule, {_SEVERITY('rule')} AS severity, count(*) AS n, count(DISTINCT file_id) AS n_files FROM c GROUP BY 1")
+def secret_summary(spark, d):
+    raw = rules.secret_lines(_files(spark, d)).withColumn("source", F.lit("security"))
+    return merge.merge_findings(raw).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"))
+
+
+@query(
+    """
+WITH f AS (SELECT DISTINCT session_id, line_number FROM security_findings WHERE line_number IS NOT NULL),
+l AS (SELECT id, code, len(string_split(code, chr(10))) AS n, string_split(code, chr(10)) AS ls FROM sessions WHERE code IS NOT NULL)
+SELECT f.session_id AS file_id, f.line_number AS line,
+  CASE WHEN f.line_number < 1 OR greatest(1, f.line_number - 2) > n THEN '' ELSE array_to_string(
+    [CASE WHEN i = f.line_number THEN '>>> ' ELSE '    ' END || ls[i] FOR i IN range(greatest(1, f.line_number - 2), least(n, f.line_number + 2) + 1)], chr(10)) END AS code_snippet
+FROM f JOIN l ON l.id = f.session_id
+"""
+)
+def code_snippets(spark, d):
+    f = table(spark, d, "security_findings").where("line_number is not null").select(F.col("session_id").alias("file_id"), F.col("line_number").alias("line")).distinct()
+    return rules.with_snippets(f, _files(spark, d)).select("file_id", "line", "code_snippet")
+
+
+def _scanned(spark, d):
+    """Stored findings as raw ones, told apart by three scanners."""
+    f = table(spark, d, "security_findings").dropDuplicates(["id"])
+    return f.select(
+        F.col("session_id").alias("file_id"), F.col("id").alias("seq"), F.col("line_number").alias("line"), F.concat(F.lit("scanner"), (F.col("id") % 3).cast("string")).alias("source"), "rule", "message", "suggestion"
+    )
+
+
+_RAW = "WITH r AS (SELECT DISTINCT ON (id) session_id AS file_id, id AS seq, coalesce(line_number, 0) AS line, 'scanner' || CAST(id % 3 AS VARCHAR) AS source, coalesce(rule, '') AS rule, message, suggestion FROM security_findings ORDER BY id)"
+_MERGED = (
+    _RAW
+    + f""", c AS (SELECT * REPLACE ({_CATEGORY} AS rule) FROM r),
+s AS (SELECT file_id, line, rule, source, min(seq) AS q FROM c GROUP BY ALL),
+l AS (SELECT file_id, line, rule, list(source ORDER BY q) AS sources FROM s GROUP BY ALL),
+m AS (SELECT file_id, line, rule, min(seq) AS seq,
+  coalesce(arg_min(nullif(message, ''), seq) FILTER (WHERE coalesce(message, '') <> ''), '') AS message,
+  coalesce(arg_min(nullif(suggestion, ''), seq) FILTER (WHERE coalesce(suggestion, '') <> ''), '') AS suggestion FROM c GROUP BY ALL),
+f AS (SELECT m.*, array_to_string(l.sources, ',') AS sources, {_SEVERITY('m.rule')} AS severity FROM m JOIN l USING (file_id, line, rule))"""
+)
+
+
+@query(
+    _MERGED
+    + " SELECT file_id, line, rule, severity, message, suggestion, sources, CAST(row_number() OVER (PARTITION BY file_id ORDER BY CASE severity WHEN 'HIGH' THEN 0 ELSE 1 END, line, seq) AS INT) AS rank FROM f"
+)
+def merged_findings(spark, d):
+    m = merge.ranked(merge.merge_findings(_scanned(spark, d)))
+    return m.select("file_id", "line", "rule", "severity", "message", "suggestion", F.array_join("sources", ",").alias("sources"), "rank")
+
+
+@query(_MERGED + " SELECT file_id, count(*) AS total_issues, count(*) FILTER (WHERE severity = 'HIGH') AS high_count, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_count FROM f GROUP BY 1")
+def finding_counts(spark, d):
+    return merge.counts(merge.merge_findings(_scanned(spark, d)), "file_id")
+
+
+@query("SELECT severity, count(*) AS n FROM security_findings GROUP BY 1")
+def severity_donut(spark, d):
+    return report.severity_donut(table(spark, d, "security_findings"))
+
+
+@query("SELECT rule, count(*) AS n FROM security_findings WHERE rule IS NOT NULL GROUP BY 1 ORDER BY n DESC, rule LIMIT 10")
+def top_rules(spark, d):
+    return report.top_rules(table(spark, d, "security_findings"))
+
+
+@query("SELECT id, session_id, severity, rule, line_number, message, suggestion FROM security_findings WHERE severity = 'HIGH' AND (contains(lower(rule), 'query') OR contains(lower(message), 'query'))")
+def issue_search(spark, d):
+    return report.search_findings(table(spark, d, "security_findings"), "HIGH", "Query")
+
+
+@query("SELECT severity, rule, count(*) AS n, grouping_id(severity, rule) AS level FROM security_findings GROUP BY ROLLUP (severity, rule)")
+def severity_rollup(spark, d):
+    return report.severity_rollup(table(spark, d, "security_findings"))
+
+
+# -- generated corpus: findings follow from the row -------------------------------------------------
+
+_GEN = """
+WITH e AS (SELECT event_id AS file_id, event_type AS t, CAST(user_id % 5 AS INT) AS pad, CAST(user_id AS VARCHAR) AS u FROM events),
+r(t, off, rule, severity) AS (VALUES ('error', 3, 'dangerous_eval_exec', 'HIGH'), ('click', 1, '', ''), ('click', 3, 'weak_crypto', 'MEDIUM'), ('view', 1, 'privilege_escalation', 'HIGH'),
+  ('purchase', 2, 'sql_injection', 'HIGH'), ('purchase', 3, 'sql_injection', 'HIGH'), ('signup', 1, 'unsafe_imports', 'MEDIUM'), ('signup', 5, 'insecure_deserialization', 'HIGH'))
+"""
+
+
+@query(_GEN + "SELECT file_id, CAST(pad + off AS INT) AS line, rule, severity FROM e JOIN r USING (t) WHERE rule <> ''")
+def generated_findings(spark, d):
+    files = _generated(spark, d)
+    m = merge.merge_findings(rules.raw_findings(files, _nodes(spark, d, files)))
+    return m.select("file_id", "line", "rule", "severity")
+
+
+@query(
+    _GEN
+    + "SELECT file_id, 'f_' || u AS name, CAST(CASE t WHEN 'error' THEN 3 WHEN 'signup' THEN 3 ELSE 1 END AS INT) AS complexity FROM e"
+)
+def generated_complexity(spark, d):
+    files = _generated(spark, d)
+    return metrics.function_complexity(_nodes(spark, d, files))
+
+
+@query(
+    _GEN
+    + """, c(t, callee) AS (VALUES ('error', 'eval'), ('error', 'g_'), ('click', 'md5'), ('view', 'g_'), ('purchase', 'execute'), ('signup', 'g_'), ('signup', 'loads'))
+SELECT file_id, 'f_' || u AS caller, CASE callee WHEN 'g_' THEN 'g_' || u ELSE callee END AS callee FROM e JOIN c USING (t)"""
+)
+def generated_call_edges(spark, d):
+    files = _generated(spark, d)
+    return graph.call_edges(_nodes(spark, d, files))
+
+
+@query(
+    _GEN
+    + """SELECT file_id, CAST(1 AS BIGINT) AS function_count, CAST(0 AS BIGINT) AS class_count, CAST(CASE WHEN t IN ('click', 'signup') THEN 1 ELSE 0 END AS BIGINT) AS import_count,
+  pad + CASE t WHEN 'error' THEN 5 WHEN 'click' THEN 4 WHEN 'view' THEN 3 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 6 ELSE 3 END AS lines_of_code,
+  CAST(CASE t WHEN 'error' THEN 3 WHEN 'signup' THEN 3 ELSE 1 END AS INT) AS max_complexity FROM e"""
+)
+def generated_metrics(spark, d):
+    files = _generated(spark, d)
+    return metrics.file_metrics(files, _nodes(spark, d, files))
+
+
+# -- syntax-tree facts of the uploaded files --------------------------------------------------------
+
+
+@query()
+def file_status(spark, d):
+    return parse_status(_files(spark, d))
+
+
+@query()
+def code_findings(spark, d):
+    files = _files(spark, d)
+    m = merge.ranked(merge.merge_findings(rules.with_snippets(rules.raw_findings(files, _nodes(spark, d, files)), files)))
+    return m.withColumn("sources", F.array_join("sources", ","))
+
+
+@query()
+def code_findings_all_rules(spark, d):
+    files = _files(spark, d)
+    return rules.raw_findings(files, _nodes(spark, d, files), parity=False)
+
+
+@query()
+def code_metrics(spark, d):
+    files = _files(spark, d)
+    return metrics.file_metrics(files, _nodes(spark, d, files))
+
+
+@query()
+def function_facts(spark, d):
+    files = _files(spark, d)
+    return metrics.function_info(_nodes(spark, d, files))
+
+
+@query()
+def class_facts(spark, d):
+    files = _files(spark, d)
+    return metrics.class_info(_nodes(spark, d, files))
+
+
+@query()
+def file_flags(spark, d):
+    files = _files(spark, d)
+    return metrics.file_flags(_nodes(spark, d, files))
+
+
+@query()
+def imported_packages(spark, d):
+    files = _files(spark, d)
+    return metrics.imported_packages(ast_nodes(files))
+
+
+@query()
+def variable_lines(spark, d):
+    files = _files(spark, d)
+    return metrics.variable_lines(_nodes(spark, d, files, True)).withColumn("lines", F.to_json("lines"))
+
+
+@query()
+def guarded_calls(spark, d):
+    files = _files(spark, d)
+    n = _nodes(spark, d, files)
+    return metrics.within(n, "With").withColumn("container", F.lit("With")).unionByName(metrics.within(n, "Try").withColumn("container", F.lit("Try")))
+
+
+@query()
+def call_graph(spark, d):
+    files = _files(spark, d)
+    return graph.call_edges(_nodes(spark, d, files))
+
+
+@query()
+def nested_functions(spark, d):
+    files = _files(spark, d)
+    return graph.nested_functions(_nodes(spark, d, files))
+
+
+@query()
+def code_symbols(spark, d):
+    files = _files(spark, d)
+    s = graph.symbols(_nodes(spark, d, files))
+    return s.withColumns({"decorators": F.to_json("decorators"), "hints": F.to_json("hints")})
+
+
+@query(
+    r"""
+WITH k(kind, pattern) AS (VALUES ('function', 'def\s+(\w+)'), ('class', 'class\s+(\w+)'), ('import', 'import\s+(\w+)')),
+f AS (SELECT id, code FROM sessions WHERE code IS NOT NULL)
+SELECT DISTINCT id AS file_id, 'function' AS kind, unnest(regexp_extract_all(code, 'def\s+(\w+)', 1)) AS name FROM f
+UNION ALL SELECT DISTINCT id, 'class', unnest(regexp_extract_all(code, 'class\s+(\w+)', 1)) FROM f
+UNION ALL SELECT DISTINCT id, 'import', unnest(regexp_extract_all(code, 'import\s+(\w+)', 1)) FROM f
+"""
+)
+def fallback_symbols(spark, d):
+    return graph.fallback_symbols(_files(spark, d))
+
+
+@query()
+def code_statistics(spark, d):
+    files = _files(spark, d)
+    s = graph.code_stats(files, _nodes(spark, d, files))
+    return s.withColumns({c: F.to_json(c) for c in ("functions", "classes", "methods", "import_lines")})
+
+
+# -- chunks and the metadata index ------------------------------------------------------------------
+
+
+def _index(spark, d):
+    return plan.build_index(_files(spark, d))
+
+
+@query()
+def structure_chunks(spark, d):
+    c = _index(spark, d).chunks
+    return c.withColumns({x: F.to_json(x) for x in ("decorators", "hints", "calls", "called_by", "related")})
+
+
+@query()
+def simple_chunks(spark, d):
+    return chunk.simple_chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def metadata_postings(spark, d):
+    return _index(spark, d).postings
+
+
+@query(
+    "SELECT session_id, chunk_index, id, chunk_text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, chunk_index ORDER BY id DESC) AS r FROM (SELECT DISTINCT * FROM code_chunks)) WHERE r = 1"
+)
+def latest_chunks(spark, d):
+    c = table(spark, d, "code_chunks").select(F.col("session_id").alias("file_id"), F.col("chunk_index").alias("chunk_id"), "id", "chunk_text").distinct()
+    return plan.latest_chunks(c, "id").select(F.col("file_id").alias("session_id"), F.col("chunk_id").alias("chunk_index"), "id", "chunk_text")
+
+
+@query()
+def fuzzy_names(spark, d):
+    """Function names of all files that are alike to a word of a cached question."""
+    files = _files(spark, d)
+    names = rules.named_functions(ast_nodes(files), sync_only=False).select(F.lower("name").alias("target")).distinct()
+    q = table(spark, d, "analysis_cache").select(F.explode(F.regexp_extract_all(F.lower("query"), F.lit(r"([a-z_]\w{3,})"), 1)).alias("term")).distinct()
+    return metaindex.fuzzy_pairs(q, names)
+
+
+# -- words ------------------------------------------------------------------------------------------
+
+_TOK = r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS tok FROM documents),
+p AS (SELECT doc_id, tok, count(*) AS tf FROM w GROUP BY ALL),
+dl AS (SELECT d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN p USING (doc_id) GROUP BY 1),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT tok, count(*) AS df FROM p GROUP BY 1)
+"""
+
+
+@query(_TOK + "SELECT tok, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, s")
+def idf_table(spark, d):
+    docs = table(spark, d, "documents")
+    stats = lexical.corpus_stats(lexical.document_lengths(docs, "doc_id", "text"))
+    return lexical.idf_table(lexical.postings(docs, "doc_id", "text"), stats).withColumn("idf", F.round("idf", 6))
+
+
+@query(_TOK + "SELECT doc_id AS doc, CAST(dl AS BIGINT) AS dl FROM dl")
+def document_lengths(spark, d):
+    return lexical.document_lengths(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(
+    _TOK
+    + r""", q AS (SELECT item_id, tok, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS tok FROM eval_items) GROUP BY ALL),
+r AS (SELECT item_id AS query_id, doc_id AS doc, round(sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
+  FROM p JOIN q USING (tok) JOIN df USING (tok) JOIN dl USING (doc_id), s GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc) AS INT) AS rank FROM r) WHERE rank <= 10"""
+)
+def bm25_topk(spark, d):
+    q = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
+    s = lexical.bm25(q, table(spark, d, "documents"), "doc_id", "text").withColumn("bm25", F.round("bm25", 6))
+    w = W.partitionBy("query_id").orderBy(F.desc("bm25"), "doc")
+    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
+_STOP = ", ".join(map(_quote, dims.STOPWORDS))
+
+
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS title FROM documents),
+t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP}))) AS terms, text, title FROM d)
+SELECT doc_id, round(0.04 * len(list_filter(terms, lambda x: contains(lower(text), x))) + 0.12 * len(list_filter(terms, lambda x: contains(lower(title), x))), 6) AS overlap,
+  CASE WHEN length(text) < 50 THEN 0.6 WHEN length(text) > 5000 THEN 0.85 ELSE 1.0 END AS factor FROM t
+"""
+)
+def overlap_and_noise(spark, d):
+    """Each document against the words of its own first line."""
+    docs = table(spark, d, "documents").withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
+    t = lexical.overlap_terms(docs.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")))
+    out = docs.join(t, F.col("doc_id") == F.col("query_id"))
+    score = F.round(lexical.overlap_score(F.col("terms"), F.col("text"), F.col("title")), 6)
+    return out.select("doc_id", score.alias("overlap"), lexical.noise_factor(F.col("text")).alias("factor"))
+
+
+# -- vectors ----------------------------------------------------------------------------------------
+
+_KNN = """
+WITH q AS (SELECT vec_id AS query_id, label AS q_label, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
+x AS (SELECT query_id, q_label, vec_id, label, list_sum(list_transform(list_zip(qe, embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))) AS dist FROM q, embeddings),
+k AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS INT) AS rank FROM x) WHERE rank <= 15)
+"""
+
+
+def _knn(spark, d):
+    arrow_batch_rows(spark, 5000)
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector.knn(q, v, 15)
+
+
+@query(_KNN + "SELECT query_id, vec_id, round(dist, 6) AS dist, rank FROM k")
+def knn_topk(spark, d):
+    return _knn(spark, d).withColumn("dist", F.round("dist", 6))
+
+
+def _candidates(spark, d):
+    """Vector candidates with words scores, types and flags that follow from ids and labels."""
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    k = _knn(spark, d).join(v, "vec_id")
+    return k.select(
+        F.col("query_id").alias("question_id"), "vec_id", vector.similarity(F.col("dist")).alias("sim"), F.col("rank").alias("knn_rank"),
+        F.when(F.col("vec_id") % 3 == 0, (F.col("vec_id") % 17).cast("double")).alias("bm25"), F.lit(0.7).alias("semantic_weight"), F.lit(0.3).alias("bm25_weight"),
+        F.col("label").cast("string").alias("chunk_type"), F.array(F.lit("1"), F.lit("2")).alias("prefer_types"), (F.col("query_id") % 40 == 0).alias("boost_exact"),
+        F.when(F.col("vec_id") % 5 == 0, F.array(F.lit("exact_match"), F.lit("name"))).alias("fields"), (F.col("vec_id") % 7 == 0).alias("name_hit"),
+    )
+
+
+_BOOSTED = (
+    _KNN
+    + """, c AS (SELECT query_id AS question_id, vec_id, label, rank AS knn_rank, 1 / (1 + dist) AS sim, CASE WHEN vec_id % 3 = 0 THEN vec_id % 17 ELSE 0 END AS bm FROM k),
+b AS (SELECT question_id, vec_id, knn_rank, 0.7 * sim + 0.3 * least(bm / 10.0, 1) + sim * ((CASE WHEN vec_id % 5 = 0 THEN 2.2 + CASE WHEN question_id % 40 = 0 THEN 2.8 ELSE 0 END ELSE 0 END)
+  + CASE WHEN label IN (1, 2) THEN 0.8 ELSE 0 END + CASE WHEN vec_id % 7 = 0 THEN 0.5 ELSE 0 END) AS score FROM c)
+"""
+)
+
+
+@query(_BOOSTED + "SELECT question_id, vec_id, knn_rank, round(score, 6) AS score FROM b")
+def hybrid_scores(spark, d):
+    c = retrieve.boosted(retrieve.blended(_candidates(spark, d)))
+    return c.select("question_id", "vec_id", "knn_rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    _BOOSTED
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, knn_rank, vec_id) AS rank FROM b),
+n AS (SELECT question_id, c AS chunk_id, min((rank, score * 0.7)) AS p FROM (SELECT *, unnest([vec_id - 1, vec_id + 1]) AS c FROM r WHERE rank <= 3) WHERE (question_id, c) NOT IN (SELECT (question_id, vec_id) FROM r) GROUP BY ALL),
+a AS (SELECT question_id, vec_id AS chunk_id, score, knn_rank, false AS is_neighbour FROM r UNION ALL SELECT question_id, chunk_id, p[2], 1000000, true FROM n WHERE chunk_id IN (SELECT vec_id FROM embeddings))
+SELECT question_id, chunk_id, round(score, 6) AS score, is_neighbour FROM a"""
+)
+def neighbour_expansion(spark, d):
+    c = retrieve.boosted(retrieve.blended(_candidates(spark, d)))
+    c = c.withColumns({"intent": F.lit("flow_explanation"), "file_id": F.lit(1).cast("long"), "chunk_id": F.col("vec_id"), "content": F.lit(""), "name": F.lit("")})
+    ids = table(spark, d, "embeddings").select(
+        "vec_id", F.lit(1).cast("long").alias("file_id"), F.col("vec_id").alias("chunk_id"), F.lit("").alias("content"), F.lit("").alias("name"), F.lit("").alias("chunk_type")
+    )
+    out = retrieve.with_neighbours(retrieve._ranked(c), ids)
+    return out.select("question_id", "chunk_id", F.round("score", 6).alias("score"), "is_neighbour")
+
+
+@query(
+    _KNN
+    + """, n AS (SELECT label, count(*) AS n_rel FROM embeddings GROUP BY 1),
+m AS (SELECT query_id AS question_id, max(CASE WHEN rank <= 5 AND label = q_label THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN rank <= 5 AND label = q_label THEN 1 ELSE 0 END) AS hits,
+  coalesce(max(CASE WHEN label = q_label THEN 1.0 / rank END), 0) AS mrr, sum(CASE WHEN rank <= 5 AND label = q_label THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, any_value(q_label) AS l FROM k GROUP BY 1)
+SELECT question_id, hit, round(hits / n_rel, 6) AS recall, round(mrr, 6) AS mrr, round(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_rel, 5) + 1)]), 6) AS ndcg FROM m JOIN n ON n.label = m.l
+"""
+)
+def retrieval_metrics(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    relevant = v.groupBy("label").agg(F.collect_list(F.col("vec_id").cast("string")).alias("relevant"))
+    qrels = v.where("vec_id % 20 = 0").join(relevant, "label").select(F.col("vec_id").alias("question_id"), "relevant")
+    r = _knn(spark, d).select(F.col("query_id").alias("question_id"), F.col("vec_id").cast("string").alias("name"), "rank")
+    m = evalm.per_question(r, qrels)
+    return m.select("question_id", "hit", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+
+
+# -- questions --------------------------------------------------------------------------------------
+
+
+def _questions(spark, d):
+    return table(spark, d, "analysis_cache").select(F.col("id").alias("question_id"), F.col("query").alias("text"))
+
+
+def _intent_sql() -> str:
+    raw = []
+    for k, i in enumerate(router.INTENTS):
+        own = [(p, w) for j, p, w in dims.INTENT_PATTERNS if j == i]
+        total = max(sum(w for _, w in own), 1.0)
+        cases = " + ".join(f"CASE WHEN regexp_matches(q, {_quote(p)}) THEN CAST({w} AS DOUBLE) ELSE 0 END" for p, w in own)
+        raw.append(f"SELECT id, {k} AS o, {_quote(i)} AS intent, round(least(({cases}) / CAST({total!r} AS DOUBLE), 1.0), 12) AS c FROM t")
+    return (
+        "WITH t AS (SELECT id, lower(coalesce(query, '')) AS q FROM analysis_cache), s AS (" + " UNION ALL ".join(raw) + "),"
+        " b AS (SELECT id, arg_min(intent, (-c, o)) AS intent, max(c) AS c FROM s WHERE c > 0 GROUP BY 1)"
+        f" SELECT t.id AS question_id, coalesce(intent, 'general_query') AS intent, round(coalesce(c, 0), 6) AS confidence,"
+        f" regexp_matches(q, {_quote(dims.COUNTING)}) AS is_counting, regexp_matches(q, {_quote(dims.LISTING)}) AS is_listing, regexp_matches(q, {_quote(dims.COMPOUND)}) AS is_compound FROM t LEFT JOIN b ON b.id = t.id"
+    )
+
+
+@query(_intent_sql())
+def intent_classify(spark, d):
+    q = router.classify(_questions(spark, d).withColumn("text", F.coalesce("text", F.lit(""))))
+    return q.select("question_id", "intent", F.round("confidence", 6).alias("confidence"), "is_counting", "is_listing", "is_compound")
+
+
+@query()
+def question_routing(spark, d):
+    q = router.boost_weights(router.classify(_questions(spark, d)), F.col("question_id") % 2 == 0)
+    return q.withColumns({c: F.to_json(c) for c in ("secondary", "entities", "quoted", "keywords", "prefer_types", "weights")})
+
+
+@query()
+def expanded_questions(spark, d):
+    edges = graph.call_edges(ast_nodes(_files(spark, d))).select("caller", "callee").distinct()
+    return router.expanded_terms(_questions(spark, d), edges).withColumn("expanded", F.to_json("expanded"))
+
+
+@query()
+def ask_pipeline(spark, d):
+    """Every cached question against the index of all uploaded files."""
+    r = plan.ask(_questions(spark, d).where("text is not null"), _index(spark, d))
+    return r.select("question_id", "rank", "file_id", "chunk_id", "name", "chunk_type", F.round("score", 6).alias("score"), "is_neighbour")
+
+
+@query()
+def answer_prompts(spark, d):
+    q = _questions(spark, d).where("text is not null")
+    return plan.answer(q, _index(spark, d)).select("question_id", "prompt", "answer")
+
+
+# -- session store ----------------------------------------------------------------------------------
+
+
+@query("SELECT id, filename, title, syntax_valid, high_count, medium_count, total_issues, created_at FROM sessions ORDER BY created_at DESC, id DESC LIMIT 50")
+def session_list(spark, d):
+    return store.session_list(table(spark, d, "sessions"))
+
+
+@query("SELECT id, coalesce(nullif(title, ''), filename) AS title FROM sessions")
+def session_titles(spark, d):
+    return store.display_title(table(spark, d, "sessions"))
+
+
+@query("SELECT id, coalesce(nullif(trim(title), ''), filename) AS title FROM sessions")
+def upload_titles(spark, d):
+    return table(spark, d, "sessions").select("id", upload_title(F.col("title"), F.col("filename")).alias("title"))
+
+
+@query("SELECT id, sha256(code) AS code_hash, lower(trim(code_hash)) = sha256(code) AS agrees FROM sessions")
+def session_hashes(spark, d):
+    h = store.content_hash(F.col("code"))
+    return table(spark, d, "sessions").select("id", h.alias("code_hash"), (F.lower(F.trim("code_hash")) == h).alias("agrees"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_hash FROM documents")
+def document_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", store.content_hash(F.col("text")).alias("text_hash"))
+
+
+@query(
+    """
+WITH f AS (SELECT session_id, count(*) AS n_findings, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS finding_ids FROM security_findings GROUP BY 1),
+m AS (SELECT session_id, count(*) AS n_messages, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS message_ids FROM chat_messages GROUP BY 1)
+SELECT s.id, s.title, coalesce(n_findings, 0) AS n_findings, finding_ids, coalesce(n_messages, 0) AS n_messages, message_ids
+FROM sessions s LEFT JOIN f ON f.session_id = s.id LEFT JOIN m ON m.session_id = s.id
+"""
+)
+def session_load(spark, d):
+    s = table(spark, d, "sessions")
+    r = store.load_sessions(s.select("id"), s, table(spark, d, "security_findings"), table(spark, d, "chat_messages"))
+    ids = lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ","), F.lit(""))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return r.select("id", "title", F.greatest(n("findings"), F.lit(0)).alias("n_findings"), ids(F.col("findings")).alias("finding_ids"), F.greatest(n("messages"), F.lit(0)).alias("n_messages"), ids(F.col("messages")).alias("message_ids"))
+
+
+@query("SELECT code_hash, query_hash, arg_max(response, (created_at, id)) AS response FROM (SELECT code_hash, query_hash, created_at, id, {'r': response} AS response FROM analysis_cache WHERE code_hash IS NOT NULL AND query_hash IS NOT NULL) GROUP BY ALL".replace("arg_max(response, (created_at, id)) AS response", "(arg_max(response, (created_at, id))).r AS response"))
+def cache_latest(spark, d):
+    return store.latest_responses(table(spark, d, "analysis_cache"))
+
+
+_CACHED = """
+WITH k AS (SELECT code_hash, query_hash, (arg_max({'r': response}, (created_at, id))).r AS response FROM analysis_cache WHERE code_hash IS NOT NULL AND query_hash IS NOT NULL GROUP BY ALL),
+q AS (SELECT m.id, lower(trim(s.code_hash)) AS code_hash, m.query_hash FROM chat_messages m JOIN sessions s ON s.id = m.session_id WHERE m.query_hash IS NOT NULL)
+"""
+
+
+@query(_CACHED + "SELECT q.id, k.response IS NOT NULL AS hit, k.response FROM q LEFT JOIN k ON k.code_hash = q.code_hash AND k.query_hash = q.query_hash")
+def cache_aside(spark, d):
+    s = table(spark, d, "sessions").select(F.col("id").alias("session_id"), F.lower(F.trim("code_hash")).alias("code_hash"))
+    q = table(spark, d, "chat_messages").where("query_hash is not null").select("id", "session_id", "query_hash").join(s, "session_id").drop("session_id")
+    hits, misses = store.split_by_cache(q, table(spark, d, "analysis_cache"))
+    out = hits.select("id", F.lit(True).alias("hit"), "response")
+    return out.unionByName(misses.select("id", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("response")))
+
+
+@query(
+    """
+WITH g AS (SELECT id FROM sessions WHERE high_count = 0)
+SELECT 'sessions' AS t, count(*) AS n FROM sessions WHERE id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'security_findings', count(*) FROM security_findings WHERE session_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'chat_messages', count(*) FROM chat_messages WHERE session_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'code_chunks', count(*) FROM code_chunks WHERE session_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'analysis_cache', count(*) FROM analysis_cache
+"""
+)
+def cascade_delete(spark, d):
+    names = ("sessions", "security_findings", "chat_messages", "code_chunks", "analysis_cache")
+    t = {n: table(spark, d, n) for n in names}
+    left = store.without_sessions(t["sessions"].where("high_count = 0").select("id"), t)
+    out = None
+    for n in names:
+        c = left[n].groupBy().agg(F.lit(n).alias("t"), F.count("*").alias("n"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'renamed ' || CAST(id AS VARCHAR) ELSE title END AS title FROM sessions")
+def session_rename(spark, d):
+    s = table(spark, d, "sessions")
+    new = s.select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("renamed "), F.col("id").cast("string"))).otherwise(" ").alias("new_title"))
+    return store.renamed(s, new).select("id", "title")
+
+
+@query()
+def analysis_report(spark, d):
+    a = plan.analyze(_files(spark, d))
+    return report.report_lines(_files(spark, d), a.metrics, a.findings)

@@ -11,10 +11,11 @@ def report_lines(files: DataFrame, metrics: DataFrame, ranked: DataFrame) -> Dat
     sev = ranked.groupBy("file_id").agg(F.count_if(F.col("severity") == "HIGH").alias("high"), F.count_if(F.col("severity") == "MEDIUM").alias("medium"))
     head = files.select("file_id", "path").join(metrics, "file_id", "left").join(sev, "file_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    line = lambda part, *text: F.struct(F.lit(part).alias("part"), F.lit(0).alias("pos"), F.concat(*text).alias("text"))
     rows = F.array(
-        F.struct(F.lit(0).alias("part"), F.lit(0).alias("pos"), F.concat(F.lit("Security report: "), F.coalesce("path", F.lit("(unnamed)"))).alias("text")),
-        F.struct(F.lit(1), F.lit(0), F.concat(F.lit("Lines "), n("lines_of_code"), F.lit(", functions "), n("function_count"), F.lit(", classes "), n("class_count"), F.lit(", imports "), n("import_count"), F.lit(", complexity "), n("max_complexity"))),
-        F.struct(F.lit(2), F.lit(0), F.concat(F.lit("HIGH "), n("high"), F.lit(", MEDIUM "), n("medium"))),
+        line(0, F.lit("Security report: "), F.coalesce("path", F.lit("(unnamed)"))),
+        line(1, F.lit("Lines "), n("lines_of_code"), F.lit(", functions "), n("function_count"), F.lit(", classes "), n("class_count"), F.lit(", imports "), n("import_count"), F.lit(", complexity "), n("max_complexity")),
+        line(2, F.lit("HIGH "), n("high"), F.lit(", MEDIUM "), n("medium")),
     )
     top = head.select("file_id", F.explode(rows).alias("r")).select("file_id", "r.*")
     part = F.when(F.col("severity") == "HIGH", 3).otherwise(4)

@@ -69,7 +69,8 @@ def hybrid(questions: DataFrame, candidates: DataFrame, word_scores: DataFrame,
     """
     c = candidates.join(word_scores, ["question_id", "vec_id"], "left").join(chunks, "vec_id").join(questions, "question_id")
     c = c.join(fields, ["question_id", "file_id", "chunk_id"], "left")
+    terms = lexical.overlap_terms(questions.select(F.col("question_id").alias("query_id"), "text")).toDF("question_id", "overlap_terms")
     name_hit = (F.col("chunk_type") == "function") & (F.length(F.coalesce("name", F.lit(""))) > 0) & F.lower("text").contains(F.lower("name"))
-    c = c.withColumn("name_hit", name_hit).join(lexical.overlap_terms(questions.select("question_id", "text")).withColumnRenamed("terms", "overlap_terms"), "question_id")
+    c = c.withColumn("name_hit", name_hit).join(terms, "question_id")
     r = _ranked(reranked(penalized(boosted(blended(c)))))
     return _ranked(with_neighbours(r, chunks)).where(F.col("rank") <= k)
