@@ -72,7 +72,7 @@ _UNIT = re.compile(r"[A-Za-z]*(?:[^\x00-\x7f]+[A-Za-z]*)+")
 _ENTITY = re.compile(r"&#(?:(\d{3,5})|[xX]([0-9A-Fa-f]{2,4}));|\\u(00[89A-Fa-f][0-9A-Fa-f]|20[0-9A-Fa-f]{2})")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: Costs: of claiming that a word is garbled; credit for each sequence that reads as UTF-8.
-CLAIM, UTF8_CREDIT, CLEAN_PRIOR = 2.0, 3.0, 0.95
+CLAIM, UTF8_CREDIT, CLEAN_PRIOR = 1.0, 3.0, 0.95
 
 
 @lru_cache(maxsize=None)
@@ -263,7 +263,7 @@ def _model(counts: DataFrame) -> Model:
     return Model(pdf["slot"].to_numpy(), pdf["n"].to_numpy())
 
 
-def garbled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounds: int = 2) -> DataFrame:
+def garbled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounds: int = 3) -> DataFrame:
     """``(doc_id, chain, posterior, recovered, text)`` of every affected record.
 
     ``chain`` names how it was garbled (``lost`` where only replacement characters are left);
