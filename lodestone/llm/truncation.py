@@ -66,12 +66,15 @@ def ending(text: str | None) -> tuple[str, str, bool]:
         return "cut", t, False
     if t.endswith("```"):
         return "whole", t, False
-    if _SMILE.search(t):
+    if t[-1] in ")(DP" and _SMILE.search(t[-6:]):
         return "whole", t, False
     marked = False
-    while m := _MARK.search(t):
+    # no mark is longer than this
+    while t and not t[-1].isalnum() and (m := _MARK.search(t[-24:])):
         marked = True
-        t = t[: m.start()].rstrip(_INVISIBLE)
+        t = t[: len(t) - len(t[-24:]) + m.start()].rstrip(_INVISIBLE)
+    if not t:
+        return "whole", t, marked
     last = t[t.rfind("\n") + 1 :]
     if last.count("`") % 2:
         return "cut", t, marked
