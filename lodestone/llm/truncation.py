@@ -156,13 +156,36 @@ def _salted(field: str, body: str) -> str:
     return _SALT.get(field, "\x03") + _normal(body)
 
 
-def _tails(field: str, body: str, roller: _Roller, ids: _Ids) -> list[tuple[int, int]]:
-    """``(order, hash)`` of what comes before the end of a text, all as signed 64-bit numbers."""
-    s = _salted(field, body)
-    out = [(n, h[-1]) for n, h in roller.all(s[-max(ORDERS) - 1 :]).items()]
-    tokens = _TOKEN.findall(s if len(s) < 2000 else s[-2000:])[-max(x[-1] for x in MASKS) - 1 :]
-    out += [(n, h[-1]) for n, h in _word_hashes(np.array([ids[t] for t in tokens], np.uint64)).items()]
-    return [(n, int(np.asarray(h, np.uint64).view(np.int64))) for n, h in out]
+def _tails(texts: list[tuple[str, str]], roller: _Roller, ids: _Ids) -> list[list[tuple[int, int]]]:
+    """For each ``(field, body)`` the ``(order, hash)`` of what comes before its end, as signed numbers.
+
+    All texts of a batch are hashed at once, joined; contexts that would reach into the text before
+    are left out.
+    """
+    if not texts:
+        return []
+    salted = [_salted(f, b) for f, b in texts]
+    reach = max(ORDERS) + 1
+    heads = [s[-reach:] for s in salted]
+    ends = np.cumsum([len(h) for h in heads])
+    size = np.array([len(h) for h in heads])
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for n, h in roller.all("".join(heads)).items():
+        at = np.flatnonzero(size >= n)
+        for i, x in zip(at.tolist(), h[ends[at] - n].view(np.int64).tolist()):
+            out[i].append((n, x))
+    back = max(x[-1] for x in MASKS) + 1
+    # the last few tokens: of a text whose end holds fewer, all of it is read
+    tokens = [_TOKEN.findall(s[-300:])[-back:] if len(s) > 300 else _TOKEN.findall(s)[-back:] for s in salted]
+    tokens = [t if len(t) == back or len(s) <= 300 else _TOKEN.findall(s)[-back:] for t, s in zip(tokens, salted)]
+    ends = np.cumsum([len(t) for t in tokens])
+    size = np.array([len(t) for t in tokens])
+    for m, h in _word_hashes(np.array([ids[t] for ts in tokens for t in ts], np.uint64)).items():
+        n = MASKS[m - MASK][-1] + 1
+        at = np.flatnonzero(size >= n)
+        for i, x in zip(at.tolist(), h[ends[at] - n].view(np.int64).tolist()):
+            out[i].append((m, x))
+    return out
 
 
 _ENDS = np.zeros(128, bool)
@@ -271,14 +294,16 @@ def _judged(rows: DataFrame) -> DataFrame:
     def ends(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roller, ids = _Roller(), _Ids()
         for pdf in it:
-            out = []
+            out, left, bodies = [], [], []
             for tab, rid, src, field, text, spike in zip(*(pdf[c] for c in ("src_table", "row_id", "source", "field", "text", "spike"))):
                 status, body, _ = ending(text)
                 if status == "cut":
                     out.append((tab, rid, src, spike, True, None, None))
                 elif status == "open":
-                    tails = _tails(field, body, roller, ids)
-                    out.append((tab, rid, src, spike, None, [n for n, _ in tails], [h for _, h in tails]))
+                    left.append((tab, rid, src, spike, None))
+                    bodies.append((field, body))
+            for row, tails in zip(left, _tails(bodies, roller, ids)):
+                out.append((*row, [n for n, _ in tails], [h for _, h in tails]))
             yield pd.DataFrame(out, columns=["src_table", "row_id", "source", "spike", "cut", "orders", "hashes"]).astype({"row_id": "Int64"})
 
     ended = materialize(
