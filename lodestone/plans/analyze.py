@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import chunk, context, evalm, graph, lexical, merge, metaindex, metrics, retrieve, router, rules, vector
 from lodestone.operators.ast_table import ast_nodes, parse_status
 from lodestone.session import materialize
+from lodestone.sources import store
 
 INDEX_VERSION = "lodestone-1"
 
@@ -88,14 +89,16 @@ def build_index(files: DataFrame, nodes: DataFrame | None = None, embed=vector.h
     edges = materialize(graph.call_edges(nodes))
     chunks = number_chunks(chunk.enriched(chunk.code_chunks(files), edges)).join(files.select("file_id", "path"), "file_id")
     chunks = materialize(chunks)
-    return Index(chunks, embed(chunks, "vec_id", "content"), metaindex.meta_postings(chunks), edges)
+    # read several times by every batch of questions
+    vectors, postings = materialize(embed(chunks, "vec_id", "content")), materialize(metaindex.meta_postings(chunks))
+    return Index(chunks, vectors, postings, edges)
 
 
 def ask(questions: DataFrame, index: Index, embed=vector.hashed_embedding, pool: int = 15) -> DataFrame:
     """Ranked chunks for many questions (``question_id, text``) at once."""
-    q = router.classify(questions)
+    q = materialize(router.classify(questions))
     wide = router.expanded_terms(questions, index.edges.select("caller", "callee").distinct())
-    terms = q.join(wide, "question_id").select("question_id", F.array_distinct(F.concat("entities", "keywords", F.slice("expanded", 2, 9999))).alias("terms"))
+    terms = materialize(q.join(wide, "question_id").select("question_id", F.array_distinct(F.concat("entities", "keywords", F.slice("expanded", 2, 9999))).alias("terms")))
     fields = metaindex.matches(terms, index.postings)
     qv = embed(questions, "question_id", "text").withColumnRenamed("vec_id", "question_id").withColumnRenamed("question_id", "query_id")
     near = vector.knn(qv, index.vectors, pool)
@@ -117,3 +120,27 @@ def answer(questions: DataFrame, index: Index, client=None) -> DataFrame:
 def evaluate(questions: DataFrame, qrels: DataFrame, index: Index, k: int = 5) -> DataFrame:
     """Means of the retrieval metrics over questions that returned something."""
     return evalm.summary(evalm.per_question(ask(questions, index).select("question_id", "name", "rank"), qrels, k))
+
+
+#: Entries of each list that a shortened snapshot of a file's statistics keeps.
+SNAPSHOT_CAPS = {"functions": 50, "classes": 30, "methods": 100, "import_lines": 20}
+
+
+def snapshot(stats: DataFrame) -> DataFrame:
+    """Statistics with their lists sorted and shortened; the counts tell the whole."""
+    return stats.withColumns({c: F.slice(F.array_sort(c), 1, n) for c, n in SNAPSHOT_CAPS.items()})
+
+
+def answer_cached(questions: DataFrame, cache: DataFrame, index: Index, client=None) -> tuple[DataFrame, DataFrame]:
+    """Answers of a batch, from the cache where it knows them, and the rows to add to the cache.
+
+    ``questions``: ``question_id, text, code_hash``. The first is ``(question_id, answer, cached)`` of
+    all questions, the second ``(code_hash, query_hash, query, response)`` of the answered misses.
+    """
+    asked = materialize(questions.withColumn("query_hash", store.content_hash(F.col("text"))))
+    hits, misses = store.split_by_cache(asked, cache)
+    new = materialize(answer(misses.select("question_id", "text"), index, client).select("question_id", "answer"))
+    out = hits.select("question_id", F.col("response").alias("answer"), F.lit(True).alias("cached"))
+    out = out.unionByName(new.withColumn("cached", F.lit(False)))
+    rows = misses.join(new.where("answer is not null"), "question_id").select("code_hash", "query_hash", F.col("text").alias("query"), F.col("answer").alias("response"))
+    return out, rows

@@ -60,9 +60,9 @@ def test_fuzzy_against_all_pairs(spark):
 
 
 def test_router(spark):
-    texts = ["How does `load_config` work and where is parseFile defined?", "How many functions?", "hello", None, "fix the bug in a.b"]
+    texts = ["How does `load_config` work and where is ParseFile defined?", "How many functions?", "hello", None, "fix the bug in a.b"]
     q = {r["question_id"]: r for r in router.classify(spark.createDataFrame(list(enumerate(texts)), "question_id long, text string")).collect()}
-    assert q[0]["is_compound"] and "load_config" in q[0]["entities"] and "parseFile" in q[0]["entities"]
+    assert q[0]["is_compound"] and "load_config" in q[0]["entities"] and "ParseFile" in q[0]["entities"]
     assert q[1]["intent"] == "counting_query" and q[1]["is_counting"] and q[1]["k"] == 5
     assert (q[2]["intent"], q[2]["confidence"], q[2]["semantic_weight"]) == ("general_query", 0.0, 0.7)
     assert q[3]["intent"] == "general_query" and q[3]["entities"] == []
@@ -94,3 +94,17 @@ def test_pipeline_and_saved_index(spark, tmp_path):
     q = spark.createDataFrame([(1, "where is load_config defined"), (2, "what draws a shape on the canvas")], "question_id long, text string")
     got = {r["question_id"]: r["name"] for r in ask(q, Index.read(spark, str(tmp_path / "ix"))).where("rank = 1").collect()}
     assert got == {1: "load_config", 2: "draw_shape"}
+
+
+def test_cache_aside_pipeline(spark):
+    from lodestone.plans.analyze import answer_cached
+    from lodestone.sources.store import content_hash
+    from pyspark.sql import functions as F
+
+    index = build_index(spark.createDataFrame([(1, "a.py", "def load_config(path):\n    return open(path)\n")], "file_id long, path string, code string"))
+    cache = spark.createDataFrame([(1, "h", "known?", "old", "2024-01-01"), (2, "h", "known?", "new", "2024-01-02")], "id long, code_hash string, query string, response string, created_at string")
+    cache = cache.withColumn("query_hash", content_hash(F.col("query")))
+    q = spark.createDataFrame([(1, "known?", "h"), (2, "where is load_config defined", "h")], "question_id long, text string, code_hash string")
+    out, rows = answer_cached(q, cache, index, lambda p: "found" if "load_config" in p else "no")
+    assert {(r["question_id"], r["answer"], r["cached"]) for r in out.collect()} == {(1, "new", True), (2, "found", False)}
+    assert [r["response"] for r in rows.collect()] == ["found"]
