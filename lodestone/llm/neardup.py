@@ -13,8 +13,11 @@ a signature: two sets whose symmetric difference is small agree, untouched, on m
 * Pairs that share at least ``SHARED`` signatures are verified exactly on the full sets. With the
   constants below a pair at the threshold shares over 10 in expectation and is missed with a
   probability below 1e-3, a pair at 0.7 below 1e-7; small sets (under ``SMALL`` runs) are signed by
-  exact prefixes instead and are never missed.
-* A signature of more than ``HOT`` sets is refined by a second one before pairs are written.
+  exact prefixes instead and are never missed. Prefixes follow one order of all runs, those of no
+  other set first; these need no signature. One shared prefix run makes a candidate, unless what
+  follows it in the two sets is too short for the threshold.
+* A band's signature of more than ``HOT`` sets is refined by a second one before pairs are written; a
+  prefix run of more than ``HOT`` sets is cut into blocks of sets and each two blocks are compared.
 """
 
 from __future__ import annotations
@@ -67,17 +70,23 @@ def _bands(n: int, threshold: float) -> list[tuple[int, float]]:
     return [(k, threshold**-k) for k in (b, b + 1)]
 
 
-def _signatures(runs: np.ndarray, threshold: float, seen_twice: np.ndarray) -> np.ndarray:
-    """Signatures of one set; partitions with a run of no other set are left out."""
+def _signatures(runs: np.ndarray, threshold: float, seen_twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set and their places; what holds a run of no other set is left out.
+
+    The place of a prefix run is the set's size (from bit 16 up) and the run's position; -1 for a
+    band's signature.
+    """
     n = len(runs)
-    out = []
+    out, places = [], []
+    slots = runs >> _U(64 - SLOT_BITS)
+    common = (seen_twice[(slots >> _U(3)).astype(np.int64)] >> (slots & _U(7)).astype(np.uint8)) & 1
     if n and n < SMALL / threshold:
         # exact prefix: of two small sets at the threshold, the first 1 - t of each share a run
-        rest = runs[: n - int(np.ceil(threshold * n)) + 1]
-        out.append(_mix(rest ^ _U(0xA5A5A5A5A5A5A5A5)))
+        first = np.argsort(common, kind="stable")[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+        at = np.flatnonzero(common[first])
+        out.append(_mix(runs[first[at]] ^ _U(0xA5A5A5A5A5A5A5A5)))
+        places.append((n << 16) + at)
     if n >= SMALL:
-        slots = runs >> _U(64 - SLOT_BITS)
-        common = (seen_twice[(slots >> _U(3)).astype(np.int64)] >> (slots & _U(7)).astype(np.uint8)) & 1
         for band, high in _bands(n, threshold):
             key = _mix(runs + _U(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             # two sets meet in a band on the same thinned domain
@@ -93,7 +102,11 @@ def _signatures(runs: np.ndarray, threshold: float, seen_twice: np.ndarray) -> n
             if good.any():
                 tag = _U((band * PARTS) << 8) + np.flatnonzero(good).astype(_U)
                 out.append(_mix(total[good] ^ _mix(tag)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, _U)
+                places.append(np.full(len(tag), -1))
+    if not out:
+        return np.empty(0, _U), np.empty(0, np.int32)
+    sigs, index = np.unique(np.concatenate(out), return_index=True)
+    return sigs, np.concatenate(places)[index].astype(np.int32)
 
 
 def _union_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,28 +202,36 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     def sign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, bits = _Ids(), held.value
         for pdf in it:
-            keys, own = [], []
+            keys, own, places = [], [], []
             for i, text in zip(pdf["id"].tolist(), pdf["text"]):
                 if text is None or i is None or i != i:
                     continue
-                s = _signatures(run_hashes(text, ids), threshold, bits)
+                s, at = _signatures(run_hashes(text, ids), threshold, bits)
                 if len(s) >= 1:
                     keys.append(s)
                     own.append(np.full(len(s), i, np.int64))
+                    places.append(at)
             if keys:
-                yield pd.DataFrame({"sig": np.concatenate(keys).view(np.int64), "id": np.concatenate(own)})
+                yield pd.DataFrame({"sig": np.concatenate(keys).view(np.int64), "id": np.concatenate(own), "place": np.concatenate(places)})
 
-    signed = rows.mapInPandas(sign, "sig long, id long").distinct()
+    signed = rows.mapInPandas(sign, "sig long, id long, place int").distinct()
     reps = rep.select(F.col("class").alias("id"), "n")
     signed = materialize(signed.join(reps, "id", "left_semi"))
     counts = signed.groupBy("sig").count().where("count > 1")
     live = signed.join(counts, "sig")
-    plain = live.where(F.col("count") <= HOT).select("sig", "id")
-    hot = materialize(live.where(F.col("count") > HOT).select("sig", "id"))
+    banded, exact = live.where("place < 0"), live.where("place >= 0")
+    plain = banded.where(F.col("count") <= HOT).select("sig", "id")
+    hot = materialize(banded.where(F.col("count") > HOT).select("sig", "id"))
     pairs = _pairs(plain, "sig")
+    # one shared run of two prefixes is enough
+    alike = _prefix_pairs(exact.where(F.col("count") <= HOT), ["sig"], threshold)
+    pairs = pairs.unionByName(alike.withColumn("k", F.lit(SHARED)))
+    crowds = materialize(exact.where(F.col("count") > HOT))
+    if crowds.limit(1).count():
+        pairs = pairs.unionByName(_prefix_pairs(_blocks(crowds), ["sig", "low", "high"], threshold).withColumn("k", F.lit(SHARED)))
     if hot.limit(1).count():
         # sharing a hot signature and any second one: the pair shares two, as SHARED asks
-        other = live.select(F.col("sig").alias("second"), "id")
+        other = banded.select(F.col("sig").alias("second"), "id")
         both = hot.join(other, "id").where("sig <> second")
         both = both.select(F.xxhash64(F.least("sig", "second"), F.greatest("sig", "second")).alias("sig"), "id").distinct()
         pairs = pairs.unionByName(_pairs(both, "sig").withColumn("k", F.lit(SHARED)))
@@ -228,6 +249,28 @@ def _pairs(signed: DataFrame, key: str) -> DataFrame:
     return a.join(b, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
 
 
+def _blocks(crowds: DataFrame) -> DataFrame:
+    """Sets of a crowded run in blocks of about ``HOT``, each set once for each two blocks (``low``, ``high``) it is in."""
+    n = F.ceil(F.col("count") / HOT)
+    own = F.pmod(F.xxhash64("id"), n).alias("own")
+    split = crowds.select("sig", "id", "place", own, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("with"))
+    return split.select("sig", "id", "place", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+
+
+def _prefix_pairs(signed: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs that share a prefix run which, as their first common one, leaves enough for the threshold."""
+    size = F.shiftright("place", 16)
+    left = size - F.col("place").bitwiseAND(0xFFFF)
+    own = F.col("own") if "low" in keys else F.lit(0)
+    a = signed.select(*keys, F.col("id").alias("a"), size.alias("n_a"), left.alias("left_a"), own.alias("own_a"))
+    b = signed.select(*keys, F.col("id").alias("b"), size.alias("n_b"), left.alias("left_b"), own.alias("own_b"))
+    pairs = a.join(b, keys).where("a < b")
+    if "low" in keys:
+        pairs = pairs.where("low = high or own_a <> own_b")
+    enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return pairs.where(enough).select("a", "b").distinct()
+
+
 def _verified(rows: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
     """Candidates whose full sets are alike at the threshold."""
     wanted = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())

@@ -315,6 +315,17 @@ def test_hot_signature_keeps_all_pairs(spark, monkeypatch):
     assert {(r[0], r[1]) for r in neardup.near_duplicate_pairs(df, "id", "code").collect()} == _brute(texts)
 
 
+def test_crowded_prefix_runs_keep_pairs_of_small_sets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    rnd = random.Random(11)
+    texts = {i: f"from app core models import X_{i}" for i in range(14)}
+    for i in range(14, 90):
+        texts[i] = " ".join(rnd.choices("a b c".split(), k=rnd.randrange(4, 11)))
+    df = spark.createDataFrame(list(texts.items()), "id long, code string")
+    want = _brute(texts)
+    assert len(want) > 91 and {(r[0], r[1]) for r in neardup.near_duplicate_pairs(df, "id", "code").collect()} == want
+
+
 # -- 8 ----------------------------------------------------------------------------------------------
 
 
