@@ -46,11 +46,20 @@ _INSERTED = re.compile(r"\$\{|\$\(|\{\{|%\(\w+\)|^%[sdr]$|<%|\$[A-Za-z_]\w*$|^\$
 
 #: What makes a line worth reading (fixed values); letters in lower case.
 _QUICK = (
-    "passw", "passphrase", "passcode", "pwd", "_pass", "pass =", "pass=", "pass:", 'pass"', "pass'", " pass ", "secret", "token", "_key", "apikey", "api-key", "api key",
-    "accesskey", "access key", "access-key", "signingkey", "signing key", "secretkey", "privatekey", "auth", "bearer", "credential", "login", "cookie", "kennwort", "contrase", "mot_de_passe",
+    "pass", "pwd", "secret", "token", "_key", "apikey", "api-key", "api key",
+    "accesskey", "access key", "access-key", "signingkey", "signing key", "signing-key", "session", "secretkey", "privatekey", "auth", "bearer", "credential", "login", "cookie", "kennwort", "contrase", "mot_de_passe",
     "mot de passe", "mdp", "senha", "\u043f\u0430\u0440\u043e\u043b\u044c", "jwt", 'sid"', "sid'", "sid=", "sid =", "session_id", "sessionid", "psw", "_pw", "pw =", "pw=", "://", "private key", "ghp_", "gho_", "ghs_",
     "ghu_", "ghr_", "sk_live_", "sk_test_", "rk_live_", "rk_test_", "akia", "asia", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "eyj", "aiza", "glpat-", "github_pat_", "npm_", "hf_", "whsec_", "ya29.",
 )
+#: Last parts of the names that :func:`_key_kind` accepts; no letter follows them.
+_QUICK_LAST = tuple(k for k in (*_PASSWORD, *_TOKEN, "key") if not any(q in k for q in _QUICK))
+
+
+def _worth_reading(text: str) -> Iterator[int]:
+    """Places at which a line of ``text`` may hold a credential, in order."""
+    for at, last in _automaton().iter(_lower(text)):
+        if not (last and _LETTER.match(text, at + 1)):
+            yield at
 
 
 @lru_cache(maxsize=1)
@@ -59,7 +68,9 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     for k in _QUICK:
-        a.add_word(k, len(k))
+        a.add_word(k, False)
+    for k in _QUICK_LAST:
+        a.add_word(k, True)
     a.make_automaton()
     return a
 
@@ -86,6 +97,7 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _LONE = re.compile(r"[\"'=\s]((?:gh[pousr]_|sk_live_|sk_test_|AKIA|ASIA|xox[abprs]-|AIza|glpat-|eyJ)[\w.\-]{10,})")
 _CAMEL = re.compile(r"[A-ZА-Я]+(?![a-zа-я])|[A-ZА-Я]?[a-zа-яßäöüñéèç]+|\d+")
+_LETTER = re.compile(r"[A-ZА-Яa-zа-яßäöüñéèç]")
 
 
 @lru_cache(maxsize=2)
@@ -208,7 +220,7 @@ def scan(text: str, words: dict[str, float]) -> list[tuple[int, str, int, int]]:
         if not any(a < end and start < b for _, _, a, b in out.values()):
             out[start] = (0, kind, start, end)
 
-    for at, _ in _automaton().iter(_lower(text)):
+    for at in _worth_reading(text):
         if at < seen_line:
             continue
         s = text.rfind("\n", 0, at) + 1

@@ -240,6 +240,19 @@ def test_secrets_in_configuration_and_rows(spark):
     assert secrets.redact_secrets(df, "id", "text", "t").first()["text"].count("REDACTED") == 1
 
 
+def test_every_credential_name_is_read():
+    names = [*secrets._PASSWORD, *secrets._TOKEN, *(f"{b}{sep}key" for b in secrets._KEY_BEFORE for sep in "_-."), *(b + "Key" for b in secrets._KEY_BEFORE)]
+    names += [f"session{sep}id" for sep in "_-."] + ["sessionId", "motDePasse", "mot_de_passe", "github_pat", "loginPwd", "userPw2", "x.PW", "someKey", "SomeKEY_1"]
+    kinds = {n: secrets._key_kind(n) for n in names}
+    assert all(kinds.values())
+    for n in names:
+        line = f'x\n{n} = "q7Zk2vX9pLw4"\ny'
+        assert [x for x in secrets._worth_reading(line)], n
+        if n.isascii():
+            assert [k for k, *_ in secrets.scan(line, secrets.dictionary())] == ([2] if kinds[n] != "weak" else []), n
+    assert [n for n, *_ in secrets.scan("a: 1\nsigning-key: q7Zk2vX9pLw4\npw: q7Zk2vX9pLw4\nb: x y\napi.key=q7Zk2vX9pLw4\n", secrets.dictionary())] == [2, 3, 5]
+
+
 # -- 6 ----------------------------------------------------------------------------------------------
 
 
