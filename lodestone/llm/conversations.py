@@ -21,6 +21,7 @@ from lodestone.session import materialize
 
 ORDER = ("session_id", "created_at", "id")
 USER, ASSISTANT, OTHER = 1, 2, 0
+LOG2_LONGEST = 20
 
 _SUMMARY = (
     "session_id long, block int, n long, first_code int, last_code int, all_blank boolean, "
@@ -100,30 +101,52 @@ def conversation_defects(messages: DataFrame) -> DataFrame:
     return folded.select("session_id", defect.alias("defect")).where("defect is not null")
 
 
+_GAPS = "bin int, n long, session_id long, block int, first_at double, last_at double"
+
+
+def _gap_bins(gap: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each positive gap on the scale of ``log2``; the last bin takes what is longer."""
+    return np.clip(np.floor(np.log2(gap) * bins / LOG2_LONGEST), 0, bins - 1).astype(np.int64)
+
+
 def calibrated_gap(messages: DataFrame, bins: int = 64) -> float:
     """Seconds of inactivity that separate two segments of one conversation.
 
-    A histogram of ``log2`` of the gaps (``bins`` counts reach the driver, whatever the input) is
-    cut where the variance between its two sides is largest. Without gaps: infinity.
+    A histogram of ``log2`` of the gaps between all neighbours of a session (``bins`` counts reach
+    the driver, whatever the input) is cut where the variance between its two sides is largest.
+    Without gaps, or when all are of one bin, nothing separates: infinity.
     """
-    rows = messages.where("session_id is not null and created_at is not null").select("session_id", "created_at")
-    t = _seconds("created_at")
-    # neighbours within one day of one session: no group grows with the length of a session
-    w = W.partitionBy("session_id", F.floor(t / 86400)).orderBy("created_at")
-    gap = (t - F.lag(t).over(w)).alias("gap")
-    step = 20 / bins
-    hist = (
-        rows.select(gap)
-        .where("gap > 0")
-        .groupBy(F.least(F.floor(F.log2("gap") / step), F.lit(bins - 1)).cast("int").alias("b"))
-        .count()
-        .collect()
-    )
-    if not hist:
-        return float("inf")
+    rows = messages.where("session_id is not null and created_at is not null").select("session_id", _seconds("created_at").alias("t"))
+
+    def pieces(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Counts of the gaps within each batch; ends of the batch's first and last session."""
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, pdf in enumerate(it):
+            if pdf.empty:
+                continue
+            s, t = pdf["session_id"].to_numpy(), pdf["t"].to_numpy()
+            gap = np.diff(t)[s[1:] == s[:-1]]
+            n = np.bincount(_gap_bins(gap[gap > 0], bins), minlength=bins)
+            used = np.flatnonzero(n)
+            yield pd.DataFrame({"bin": used, "n": n[used], "session_id": 0, "block": -1, "first_at": 0.0, "last_at": 0.0})
+            ends = [(i, t[s == i]) for i in dict.fromkeys((s[0], s[-1]))]
+            yield pd.DataFrame(
+                {"bin": -1, "n": 0, "session_id": [i for i, _ in ends], "block": part * 1_000_000 + k, "first_at": [x[0] for _, x in ends], "last_at": [x[-1] for _, x in ends]}
+            )
+
+    found = materialize(ordered_blocks(rows, "session_id", "t").mapInPandas(pieces, _GAPS))
+    over = W.partitionBy("session_id").orderBy("block")
+    bridge = found.where("bin < 0").select((F.col("first_at") - F.lag("last_at").over(over)).alias("gap")).where("gap > 0")
+    step = LOG2_LONGEST / bins
+    b = F.greatest(F.least(F.floor(F.log2("gap") / step), F.lit(bins - 1)), F.lit(0)).cast("int")
+    counts = found.where("bin >= 0").select("bin", "n").unionByName(bridge.select(b.alias("bin"), F.lit(1).cast("long").alias("n")))
     n = np.zeros(bins)
-    for r in hist:
-        n[max(r["b"], 0)] += r["count"]
+    for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        n[r["bin"]] = r["n"]
+    if np.count_nonzero(n) < 2:
+        return float("inf")
     x = np.arange(bins) + 0.5
     left, total = np.cumsum(n), n.sum()
     mean_left = np.cumsum(n * x) / np.maximum(left, 1)

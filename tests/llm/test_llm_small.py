@@ -131,6 +131,23 @@ def test_segments_at_gaps(spark):
     assert conversations.calibrated_gap(m.limit(0)) == float("inf")
 
 
+def test_calibrated_gap_counts_pauses_over_days(spark):
+    """Minutes within a sitting, days between sittings; one session goes on over many batches."""
+    at, t = [], 0
+    for i in range(3000):
+        t += 3 * 86400 if i % 10 == 0 else 66 + i % 7
+        at.append((1 if i < 2500 else i // 10, t))
+    rows = [(i, s, "user", "x", 1_700_000_000 + t) for i, (s, t) in enumerate(at)]
+    m = spark.createDataFrame(rows, "id long, session_id long, role string, content string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert 72 < conversations.calibrated_gap(m) < 3 * 86400
+        found = [conversations.calibrated_gap(m.where(f"session_id = {s}")) for s in (1, 299)]
+        assert 72 < found[0] < 3 * 86400 and found[1] == float("inf")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_copies_and_refusals():
     q = "Where is `load` called, and why?"
     assert answers.is_copy(q, "You asked: where is load called and why") and answers.is_copy(q, f"{q}\n{q}")
