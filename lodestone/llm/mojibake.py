@@ -7,6 +7,11 @@ character model of the corpus, together with the share of that chain in the reco
 M-step re-estimates those shares and the character model, now on the repaired words. So a weak sign
 in one record counts when its source is known for that fault.
 
+The texts are read twice: once to take out the words beyond ASCII, with the counts of their grams,
+and once to decide and repair. The rounds between run on the words of each record only. A chain is
+undone for all new words of a batch at once, by table look-ups over their joined code points, and
+remembered by the worker over batches and rounds.
+
 What is broadcast has a fixed size: hashed trigram counts and one row of shares for each of 4,096
 source buckets.
 """
@@ -22,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize
+
 #: Chains as (written in, read in), applied once; a name with ``*2`` was garbled twice (fixed values).
 CHAINS = (
     ("utf-8", "cp1252"),
@@ -69,60 +76,136 @@ LOST = "�"
 BUCKETS, SLOTS = 4096, 1 << 20
 #: A run of letters and other characters with at least one beyond ASCII.
 _UNIT = re.compile(r"[A-Za-z]*(?:[^\x00-\x7f]+[A-Za-z]*)+")
-_ENTITY = re.compile(r"&#(?:(\d{3,5})|[xX]([0-9A-Fa-f]{2,4}));|\\u(00[89A-Fa-f][0-9A-Fa-f]|20[0-9A-Fa-f]{2})")
+_ENTITY = re.compile(r"&#(?:(\d{3,5})|[xX]([0-9A-Fa-f]{2,4}));|\\u([0-9A-Fa-f]{4})")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 #: Costs: of claiming that a word is garbled; credit for each sequence that reads as UTF-8.
 CLAIM, UTF8_CREDIT, CLEAN_PRIOR = 1.0, 3.0, 0.95
+#: Gain from which a word that is left as it was counts as still garbled.
+SURE = 6.0
 
 
 @lru_cache(maxsize=None)
-def _to_bytes(codec: str) -> dict[int, int]:
-    """Code point -> byte of a one-byte codec; undefined bytes stand for themselves."""
-    out = {}
+def _to_bytes(codec: str) -> np.ndarray:
+    """Byte of each code point below 2^16 in a one-byte codec, -1 without one; ASCII and undefined bytes stand for themselves."""
+    out = np.full(1 << 16, -1, np.int16)
+    out[:128] = np.arange(128)
+    defined = set()
     for b in range(128, 256):
         try:
             out[ord(bytes([b]).decode(codec))] = b
+            defined.add(b)
         except UnicodeDecodeError:
             pass
     for b in range(128, 256):
-        if b not in out.values():
-            out.setdefault(b, b)
-    # readers that mix the two pass undefined bytes through as control characters
-    if codec in ("cp1252", "cp1250", "cp1254"):
-        for b in range(128, 160):
-            out.setdefault(b, b)
+        # readers pass undefined bytes through as control characters, some all of them
+        if out[b] < 0 and (b not in defined or (b < 160 and codec in ("cp1252", "cp1250", "cp1254"))):
+            out[b] = b
     return out
 
 
-def _undo_once(word: str, written: str, read: str) -> str | None:
-    table = _to_bytes(read)
-    raw = bytearray()
-    for c in word:
-        o = ord(c)
-        if o < 128:
-            raw.append(o)
-        else:
-            b = table.get(o)
-            if b is None:
-                return None
-            raw.append(b)
+@lru_cache(maxsize=None)
+def _from_bytes(codec: str) -> np.ndarray:
+    """Code point of each byte in a one-byte codec; the replacement character where there is none."""
+    return np.array([ord(bytes([b]).decode(codec, "replace")) for b in range(256)], "<u4")
+
+
+def _utf8_inside(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words (by their starts in ``raw``) that hold a lead byte of UTF-8 and one that continues it."""
+    cont, lead = (raw >= 0x80) & (raw < 0xC0), (raw >= 0xC2) & (raw < 0xF5)
+    return np.add.reduceat(lead & np.r_[cont[1:], False], starts) > 0
+
+
+def _strict_utf8(raw: bytes) -> str | None:
     try:
-        return raw.decode(written)
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
         return None
 
 
-def undo(word: str, k: int) -> str | None:
-    """``word`` with chain ``k`` undone, or None where it cannot have come from it."""
-    written, read = CHAINS[k]
-    if written.endswith("*2"):
-        once = _undo_once(word, written[:-2], read)
-        out = _undo_once(once, written[:-2], read) if once else None
-    else:
-        out = _undo_once(word, written, read)
-    if out is None or out == word or LOST in out or _C1.search(out):
-        return None
-    return out
+@lru_cache(maxsize=None)
+def _sequence(read: str) -> re.Pattern:
+    """A sequence of UTF-8 of two to four bytes, as the characters it was read as."""
+    table = _to_bytes(read)
+
+    def some(low: int, high: int) -> str:
+        return "[" + "".join(re.escape(chr(c)) for c in np.flatnonzero((table >= low) & (table <= high)).tolist()) + "]"
+
+    cont = some(0x80, 0xBF)
+    return re.compile("|".join(some(*lead) + cont * n for lead, n in (((0xC2, 0xDF), 1), ((0xE0, 0xEF), 2), ((0xF0, 0xF4), 3))))
+
+
+def _sequences_read(word: str, read: str) -> tuple[str, int]:
+    """``word`` with each sequence of UTF-8 in it read as such, and how many there were."""
+    table, n = _to_bytes(read), 0
+
+    def char(m: re.Match) -> str:
+        nonlocal n
+        out = _strict_utf8(bytes(int(table[ord(c)]) for c in m[0]))
+        n += out is not None
+        return m[0] if out is None else out
+
+    return _sequence(read).sub(char, word), n
+
+
+def undo_all(words: list[str]) -> list[tuple[tuple[int, str, int], ...]]:
+    """For each word (without line ends) the chains it can have come from: ``(chain, word undone, n)``.
+
+    ``n`` counts the sequences that read as UTF-8; where only a part of the word does, the rest stays
+    as it is and the first sequence does not count.
+    """
+    if not words:
+        return []
+    found: list[list[tuple[int, str, int]]] = [[] for _ in words]
+
+    def keep(i: int, k: int, out: str | None, n: int = 0) -> None:
+        if out and out != words[i] and LOST not in out and not _C1.search(out):
+            found[i].append((k, out, n))
+
+    joined = "\n".join(words) + "\n"
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.minimum(points, 0xFFFF).astype(np.int64)
+    ends = np.flatnonzero(points == 10)
+    starts = np.r_[0, ends[:-1] + 1]
+    for read in dict.fromkeys(r for _, r in CHAINS):
+        table = _to_bytes(read)
+        raw = table[at]
+        raw[points > 0xFFFF] = -1
+        able = np.add.reduceat(raw < 0, starts) == 0
+        octets = np.where(raw < 0, 63, raw).astype(np.uint8)
+        for k, (written, r) in enumerate(CHAINS):
+            if r != read:
+                continue
+            if not written.startswith("utf-8"):
+                texts = _from_bytes(written)[octets].astype("<u4").tobytes().decode("utf-32-le").split("\n")
+                for i in np.flatnonzero(able).tolist():
+                    keep(i, k, texts[i])
+                continue
+            for i in np.flatnonzero(_utf8_inside(octets, starts)).tolist():
+                out = _strict_utf8(octets[starts[i] : ends[i]].tobytes()) if able[i] else None
+                n, part = sum(ord(c) > 127 for c in out or ""), 0
+                if out is None:
+                    out, n = _sequences_read(words[i], read)
+                    part = 1
+                if written.endswith("*2"):
+                    again = table[[min(ord(c), 0xFFFF) for c in out]]
+                    out = None if part or (again < 0).any() else _strict_utf8(again.astype(np.uint8).tobytes())
+                    n = sum(ord(c) > 127 for c in out or "")
+                keep(i, k, out, n - part)
+    return [tuple(sorted(f)) for f in found]
+
+
+class _Undone(dict):
+    """Word -> its :func:`undo_all`, kept by a worker; forgotten when it grows large."""
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > 500_000:
+            self.clear()
+            new = words
+        self.update(zip(new, undo_all(new)))
+
+
+_UNDONE = _Undone()
 
 
 def unescape(text: str) -> str:
@@ -165,9 +248,10 @@ def _count_grams(words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.nd
     one, two, three, _, _, owner = _grams(words)
     # the opening marks are contexts too
     first = _h(np.array([2])), _h(np.array([2]), np.array([2])) + SLOTS
-    w = times[owner]
-    slots = np.concatenate([one, two, three, first[0], first[1]])
-    weight = np.concatenate([w, w, w, [times.sum()], [times.sum()]])
+    # a gram counts once for each word that holds it: a long run would else vouch for itself
+    pair = np.unique(np.concatenate([owner * (3 * SLOTS) + x for x in (one, two, three)]))
+    slots = np.concatenate([pair % (3 * SLOTS), first[0], first[1]])
+    weight = np.concatenate([times[pair // (3 * SLOTS)], [times.sum()], [times.sum()]])
     u, inv = np.unique(slots, return_inverse=True)
     return u, np.bincount(inv, weights=weight)
 
@@ -196,28 +280,29 @@ class _Scorer:
         self.model, self.log_share, self.known = model, log_share, {}
 
     def learn(self, words: set[str]) -> None:
-        todo = [w for w in words if w not in self.known]
         if len(self.known) > 500_000:
             self.known.clear()
-            todo = list(words)
+        todo = [w for w in words if w not in self.known]
+        _UNDONE.learn(todo)
         texts, where = [], []
         for w in todo:
             self.known[w] = ()
-            for k in range(K):
-                d = undo(w, k)
-                if d is not None:
-                    texts.append(d)
-                    where.append((w, k, d))
+            for k, d, n in _UNDONE[w]:
+                texts.append(d)
+                where.append((w, k, d, n))
         if not where:
             return
-        base = dict(zip(todo, self.model.score(todo)))
-        for s, (w, k, d) in zip(self.model.score(texts), where):
-            gain = s - base[w] - CLAIM
-            if CHAINS[k][0].startswith("utf-8"):
-                gain += UTF8_CREDIT * sum(ord(c) > 127 for c in d)
+        some = list(dict.fromkeys(x[0] for x in where))
+        base = dict(zip(some, self.model.score(some)))
+        for s, (w, k, d, n) in zip(self.model.score(texts), where):
+            gain = s - base[w] - CLAIM + UTF8_CREDIT * n
             if gain > 0:
                 self.known[w] = (*self.known[w], (k, gain, d))
 
+    def left_over(self, words: dict[str, int], fix: dict[str, str]) -> bool:
+        """Whether a word without a repair still reads far better with a chain undone that leaves UTF-8."""
+        return any(gain > SURE and CHAINS[k][0].startswith("utf-8") for w in words if w not in fix for k, gain, _ in self.known.get(w, ()))
+
     def record(self, words: dict[str, int], bucket: int) -> tuple[int, float, dict[str, str], np.ndarray]:
         """Best chain (-1: none), its posterior, its repairs and all posteriors (the last: none)."""
         g = np.zeros(K + 1)
@@ -241,13 +326,11 @@ class _Scorer:
 
 
 def _words(text: str) -> dict[str, int]:
+    """Units of a text with their counts, however long; those with a lost character cannot be undone."""
     out: dict[str, int] = {}
     for w in _UNIT.findall(text):
-        if LOST not in w and len(w) < 200:
+        if LOST not in w:
             out[w] = out.get(w, 0) + 1
-        elif LOST not in w:
-            for i in range(0, len(w), 199):
-                out[w[i : i + 199]] = 1
     return out
 
 
@@ -263,54 +346,74 @@ def _model(counts: DataFrame) -> Model:
     return Model(pdf["slot"].to_numpy(), pdf["n"].to_numpy())
 
 
+_UNITS = "slot long, n double, bucket int, words array<string>, times array<int>"
+_SUMS = "slot long, n double"
+
+
 def garbled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounds: int = 3) -> DataFrame:
     """``(doc_id, chain, posterior, recovered, text)`` of every affected record.
 
     ``chain`` names how it was garbled (``lost`` where only replacement characters are left);
-    ``recovered`` is false where some of them remain. Null and empty texts and texts of plain ASCII
-    are never affected; a null source is a source of its own. Rows count as they come, each result
-    row stands for its own input row.
+    ``recovered`` is false where some of them, control characters or words that still read as
+    garbled remain. Null and empty texts and texts of plain ASCII are never affected; a null source
+    is a source of its own. Rows count as they come, each result row stands for its own input row.
     """
     spark = documents.sparkSession
     rows = documents.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("\u0000"))), F.lit(BUCKETS)).cast("int").alias("bucket"),
-    ).where(F.col("text").rlike(r"[^\x00-\x7F]|&#[xX]?[0-9A-Fa-f]{2,5};|\\u(?:00[89A-Fa-f]|20)"))
+    ).where(F.col("text").rlike(r"[^\x00-\x7F]|&#[xX]?[0-9A-Fa-f]{2,5};|\\u[0-9A-Fa-f]{4}"))
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def take(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The units of each record, and the grams of each batch."""
         for pdf in it:
+            each = [_words(unescape(t)) for t in pdf["text"]]
             words: dict[str, int] = {}
-            for t in pdf["text"]:
-                for w, n in _words(unescape(t)).items():
+            for ws in each:
+                for w, n in ws.items():
                     words[w] = words.get(w, 0) + n
             u, n = _count_grams(list(words), np.array(list(words.values()), float))
-            yield pd.DataFrame({"slot": u, "n": n})
-
-    model = _model(rows.mapInPandas(count, "slot long, n double"))
+            yield pd.DataFrame({"slot": u, "n": n, "bucket": pd.array([None] * len(u), "Int32"), "words": None, "times": None})
+            full = [(b, ws) for b, ws in zip(pdf["bucket"], each) if ws]
+            yield pd.DataFrame(
+                {"slot": pd.array([None] * len(full), "Int64"), "n": np.nan, "bucket": pd.array([b for b, _ in full], "Int32"), "words": [list(ws) for _, ws in full], "times": [list(ws.values()) for _, ws in full]}
+            )
+
+    taken = materialize(rows.mapInPandas(take, _UNITS))
+    model = _model(taken.where("slot is not null").select("slot", "n"))
+    units = taken.where("words is not null").select("bucket", "words", "times")
     share = _no_share()
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((model, share))
 
         def expect(it: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             scorer = _Scorer(*sent.value)
+            total = np.zeros((BUCKETS, K + 1))
+            clean: dict[str, int] = {}
+
+            def sums() -> pd.DataFrame:
+                """Grams of the words as repaired, shares behind them."""
+                u, n = _count_grams(list(clean), np.array(list(clean.values()), float))
+                b, k = np.nonzero(total)
+                return pd.DataFrame({"slot": np.r_[u, 3 * SLOTS + b * (K + 1) + k], "n": np.r_[n, total[b, k]]})
+
             for pdf in it:
-                each = [_words(unescape(t)) for t in pdf["text"]]
+                each = [dict(zip(w, t)) for w, t in zip(pdf["words"], pdf["times"])]
                 scorer.learn({w for ws in each for w in ws})
-                total = np.zeros((BUCKETS, K + 1))
-                clean: dict[str, int] = {}
                 for ws, b in zip(each, pdf["bucket"]):
                     _, _, fix, p = scorer.record(ws, b)
                     total[b] += p
                     for w, n in ws.items():
                         w = fix.get(w, w)
-                        clean[w] = clean.get(w, 0) + n
-                u, n = _count_grams(list(clean), np.array(list(clean.values()), float))
-                b, k = np.nonzero(total)
-                # shares follow the slots
-                yield pd.DataFrame({"slot": np.r_[u, 3 * SLOTS + b * (K + 1) + k], "n": np.r_[n, total[b, k]]})
-
-        pdf = rows.mapInPandas(expect, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+                        clean[w] = clean.get(w, 0) + int(n)
+                if len(clean) > 200_000:
+                    yield sums()
+                    clean.clear()
+                    total[:] = 0
+            yield sums()
+
+        pdf = units.mapInPandas(expect, _SUMS).groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         slot, n = pdf["slot"].to_numpy(), pdf["n"].to_numpy()
         grams = slot < 3 * SLOTS
         model = Model(slot[grams], n[grams])
@@ -335,7 +438,8 @@ def garbled(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lost = LOST in t
                 if k >= 0:
                     fixed = _UNIT.sub(lambda m: fix.get(m[0], m[0]), t)
-                    out.append((i, f"{CHAINS[k][0]} as {CHAINS[k][1]}", p, not lost, fixed))
+                    whole = not lost and not _C1.search(fixed) and not scorer.left_over(ws, fix)
+                    out.append((i, f"{CHAINS[k][0]} as {CHAINS[k][1]}", p, whole, fixed))
                 elif lost or _C1.search(t):
                     out.append((i, "lost", 1.0, False, raw))
             yield pd.DataFrame(out, columns=["doc_id", "chain", "posterior", "recovered", "text"]).astype({"doc_id": "Int64"})

@@ -433,3 +433,34 @@ def test_mojibake_round_trip(spark):
     back = [i for i in want if got[i]["recovered"]]
     assert len(back) >= 60 and all(got[i]["text"] == want[i] for i in back)
     assert mojibake.garbled(df.limit(0)).count() == 0
+
+
+def test_mojibake_of_long_and_mixed_runs(spark):
+    rnd = random.Random(3)
+    plain = [" ".join(rnd.choices("función región página café größer für übrige élément mémoire señal".split(), k=14)) + "–it’s" for _ in range(300)]
+    rows = [(i, t.encode().decode("latin-1") if i % 5 == 1 else t, "s") for i, t in enumerate(plain)]
+    long_run = "–".join(rnd.choices("función región página café größer für übrige élément mémoire señal".split(), k=60))  # one run without a break
+    mixed = "漢字" + "función–región–café".encode().decode("cp1252") + "字"
+    control = "für " + "größer café".encode().decode("cp1252") + " \x92 rest"
+    escaped = "caf\\u00c3\\u00a9 and it\\u00e2\\u20ac\\u2122s"
+    rows += [(1000, long_run.encode().decode("cp1252"), "s"), (1001, mixed, "s"), (1002, control, "s"), (1003, escaped, "s"), (1004, "漢字é字", "s")]
+    got = {r["doc_id"]: r for r in mojibake.garbled(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1000]["text"] == long_run and got[1000]["recovered"]
+    assert got[1001]["text"] == "漢字función–región–café字" and got[1001]["recovered"]
+    assert "größer café" in got[1002]["text"] and not got[1002]["recovered"]
+    assert got[1003]["text"] == "café and it’s"
+    assert set(got) == {i for i in range(300) if i % 5 == 1} | {1000, 1001, 1002, 1003}
+
+
+def test_undoing_equals_the_codecs():
+    words = ["für", "größe", "Ð¿Ñ€Ð¸Ð²ÐµÑ‚", "Ã©tÃ©", "donâ€™t", "привет", "РїСЂРёРІРµС‚", "Ã\x83Â©", "漢字", "x😀é", "ÃÃ"]
+    for w, found in zip(words, mojibake.undo_all(words)):
+        whole = {k: d for k, d, _ in found}
+        for k, (written, read) in enumerate(mojibake.CHAINS):
+            try:
+                want = w.encode(read).decode(written.split("*")[0])
+                want = want.encode(read).decode("utf-8") if "*2" in written else want
+            except UnicodeError:
+                continue
+            if want != w and not any("\x80" <= c <= "\x9f" for c in want):
+                assert whole.get(k) == want, (w, k)
