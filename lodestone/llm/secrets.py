@@ -3,7 +3,8 @@
 Literals next to an assignment are segmented into dictionary words by Viterbi. What the words do not
 explain decides, by how telling the context is: under a credential's name a short residual makes a
 secret, elsewhere only a known token format does. Digests, identifiers and other encoded data under
-neutral names are no secrets, whatever their residual.
+neutral names are no secrets, whatever their residual; nor is a value in a known hash format (with
+the name of its algorithm, or the digest of nothing) under any name.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICTIONARY = os.path.join(os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers"), "word_bpe_49k.json")
-FOUND = "src_table string, row_id long, line_no int, kind string, start int, end int"
+FOUND = "src_table string, row_id long, line_no int, kind string, start int, end int, digest long"
 
 # Names of credentials, by the strength of what they say, in several languages.
 _PASSWORD = ("password", "passwd", "passphrase", "passcode", "pwd", "pass", "passwort", "kennwort", "contrasena", "contraseña", "motdepasse", "mdp", "senha", "пароль", "parol", "pw", "psw")
@@ -42,8 +43,17 @@ _PLACEHOLDER = re.compile(
     r"|(?:insert|enter|put|add|set|fill)[-_ ].*|todo\w*|tbd|fixme|none|null|nil|true|false|undefined|empty|example\w*|dummy\w*|sample|placeholder.*|redacted.*|removed|hidden|default|unset|n/?a"
     r"|pass(?:word|wd|phrase)?|secret|token|api[-_]?key|key|.*(?:-|_)(?:here|goes[-_]here)|foo(?:bar)?|bar|baz|test|123456?)$"
 )
-_INSERTED = re.compile(r"\$\{|\$\(|\{\{|%\(\w+\)|^%[sdr]$|<%|\$[A-Za-z_]\w*$|^\$|^env\.|^vault:|^ssm:|^arn:|^secretsmanager|^\{\w*\}$|^@")
-
+_INSERTED = re.compile(r"\$\{|\$\(|\{\{|%\(\w+\)|^%[sdr]$|<%|\$(?:[A-Z_][A-Z0-9_]*|[a-z_]+\d?)$|^env\.|^vault:|^ssm:|^arn:|^secretsmanager|^\{\w*\}$|^@[A-Za-z_./:-]*$")
+#: Values that say by which algorithm they were hashed, and the digests of the empty text (fixed values).
+_HASHED = re.compile(
+    r"(?i)^(?:\{?(?:md5|sha-?(?:1|224|256|384|512)|ssha\d*|bcrypt|pbkdf2[\w-]*|scrypt|argon2\w*)[:$}]|\$(?:1|2[abxy]|5|6|y|argon2\w*)\$"
+    r"|d41d8cd98f00b204e9800998ecf8427e$|da39a3ee5e6b4b0d3255bfef95601890afd80709$|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$)"
+)
+#: Words of labels, hints and types that stand where a password would (fixed values).
+_LABEL = re.compile(
+    r"(?i)\b(?:enter|your|please|must|should|invalid|wrong|missing|required|optional|forgot|reset|confirm|repeat|new|old|current|type|here|for|the|string|str|text|field|input|label|hidden|bytes|varchar|char|object|any|"
+    r"password|passwd|passphrase|passcode|pwd|passwort|kennwort|contraseña|contrasena|senha|secret|token|key|user|username|login|name|email|value)\b"
+)
 #: What makes a line worth reading (fixed values); letters in lower case.
 _QUICK = (
     "pass", "pwd", "secret", "token", "_key", "apikey", "api-key", "api key",
@@ -81,18 +91,20 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-_STR = r"(?P<{p}pre>[rRbBuUfF]{{0,2}})(?P<{p}q>[\"'])(?P<{p}v>(?:\\.|(?!(?P={p}q))[^\\\n])*)(?P={p}q)"
+_STR = r"(?P<{p}pre>[rRbBuUfF]{{0,2}})(?P<{p}q>\"\"\"|\'\'\'|[\"'])(?P<{p}v>(?:\\.|(?!(?P={p}q))[^\\\n])*)(?P={p}q)"
 _ASSIGN = re.compile(
-    r"(?<![\w.\-])(?P<key>[^\W\d][\w.\-]{0,99})[\"']?\s*\]?\s*(?::\s*[A-Za-z_][\w\[\] |.]*)?(?:=(?!=)|[=!]=|:=|:|=>|,)\s*\(?\s*" + _STR.format(p="")
+    r"(?<![\w.\-])(?P<key>[^\W\d][\w.\-]*+)[\"']?\s*\]?\s*(?::\s*[A-Za-z_][\w\[\] |.]*)?(?:=(?!=)|[=!]=|:=|:|=>|,)\s*\(?\s*" + _STR.format(p="")
 )
 _TUPLE = re.compile(r"(?i)\b(?P<key>auth|credentials?|login|basic_auth)\s*[=(:]\s*\(\s*" + r"[rRbBuU]{0,2}(?P<uq>[\"'])[^\"'\n]*(?P=uq)\s*,\s*" + _STR.format(p=""))
 _HEADER = re.compile(
     r"(?i)\b(?P<key>authorization|x-api-key|x-auth-token|proxy-authorization)[\"']?\s*\]?\s*[:=,]\s*" + r"(?P<pre>[rRbBuUfF]{0,2})(?P<q>[\"']?)(?:(?:bearer|basic|token|apikey|digest|key)\s+)?(?P<v>[^\"'\s,;)}]+)"
 )
 _URL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.\-]{0,30}://(?P<user>[^\s/\"'@:]*):(?P<v>[^\s/\"'@]+)@")
-_OPEN = re.compile(r"(?<![\w.\-])(?P<key>[^\W\d][\w.\-]{0,99})[\"']?\s*(?:=|:)\s*\(\s*$")
+_OPEN = re.compile(r"(?<![\w.\-])(?P<key>[^\W\d][\w.\-]*+)[\"']?\s*(?:=|:)\s*\(\s*$")
 _PLAIN = re.compile(r"^\s*(?:export\s+|set\s+|-\s+)?(?P<key>[\"']?[^\W\d][\w.\- ]*?[\"']?)\s*[=:]\s*(?P<v>[^\s\"'][^\s]*(?:\s+[^\s#;][^\s]*)*)\s*(?:\s[#;].*)?$")
-_REMARK = re.compile(r"(?i)(?:^|[^\w])(?P<key>" + "|".join(("password", "passwd", "passphrase", "passcode", "pwd", "passwort", "pass", "kennwort", "contraseña", "secret", "token", "api[ _-]?key", "apikey", "access[ _-]?key", "signing[ _-]?key", "client[ _-]?secret", "mot de passe")) + r")\s*(?:is|=|:|->|ist|es|est)?\s+[\"'`]?(?P<v>[^\s\"'`]{6,})")
+_REMARK = re.compile(
+    r"(?i)(?:^|[^\w])(?P<key>" + "|".join((*_PASSWORD, "secret", "token", "api[ _-]?key", "apikey", "access[ _-]?key", "signing[ _-]?key", "client[ _-]?secret", "mot de passe")) + r")\s*(?:is|=|:|->|ist|es|est)?\s+[\"'`]?(?P<v>[^\s\"'`]{6,})"
+)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _LONE = re.compile(r"[\"'=\s]((?:gh[pousr]_|sk_live_|sk_test_|AKIA|ASIA|xox[abprs]-|AIza|glpat-|eyJ)[\w.\-]{10,})")
@@ -113,13 +125,18 @@ def dictionary(path: str = DICTIONARY) -> dict[str, float]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _longest(path: str = DICTIONARY) -> int:
+    return max(map(len, dictionary(path)), default=0)
+
+
 def residual(value: str, words: dict[str, float]) -> int:
     """Letters and digits of ``value`` that the cheapest segmentation leaves without a word.
 
     Viterbi over the letters: a dictionary word costs the logarithm of its rank, an unexplained
     character 7.
     """
-    left = 0
+    left, longest = 0, _longest()
     for run in re.findall(r"[^\W_]+", value):
         low = run.lower()
         n = len(low)
@@ -127,7 +144,7 @@ def residual(value: str, words: dict[str, float]) -> int:
         rest = [0] * (n + 1)
         for i in range(1, n + 1):
             best, r = cost[i - 1] + 7.0, rest[i - 1] + 1
-            for j in range(max(0, i - 14), i - 2):
+            for j in range(max(0, i - longest), i - 2):
                 c = words.get(low[j:i])
                 if c is not None and cost[j] + c < best:
                     best, r = cost[j] + c, rest[j]
@@ -163,14 +180,18 @@ def _secret(kind: str, value: str, words: dict[str, float], pre: str = "") -> bo
     v = value.strip()
     if "f" in pre.lower() and "{" in v:
         return False
-    if len(v) < 4 or _PLACEHOLDER.match(v) or _INSERTED.search(v):
+    if len(v) < 4 or _PLACEHOLDER.match(v) or _INSERTED.search(v) or _HASHED.match(v):
         return False
     if _FORMAT.match(v):
         return True
-    if " " in v:
+    if kind == "password" and not re.fullmatch(r"[\d.:]+", v):
+        if " " in v:
+            # a phrase: several words, none of a label's, with a number or without a sentence's marks
+            return v.count(" ") >= 2 and not _LABEL.search(v) and (bool(re.search(r"\d", v)) or v.islower() and not re.search(r"[.,:;!?%{}<>]", v))
+        # words alone are a password too, unless they name something
+        return len(v) >= 5 and (residual(v, words) >= 1 or (v.isalpha() and len(v) >= 6 and not v.isupper() and not _LABEL.search(v)))
+    if " " in v or kind == "password":
         return False
-    if kind == "password":
-        return len(v) >= 5 and residual(v, words) >= 1 and not re.fullmatch(r"[\d.:]+", v)
     if v.startswith(("http://", "https://", "/")) or re.fullmatch(r"[\d.,:/-]+", v):
         return False
     left = residual(v, words)
@@ -327,13 +348,14 @@ def redact(text: str, hits: list[tuple[int, str, int, int]], mark: str = "REDACT
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where("text is not null")
+    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")).where("text is not null")
 
 
 def find_secrets(df: DataFrame, id_col: str, text_col: str, src_table: str, path: str = DICTIONARY) -> DataFrame:
     """Places of credentials: table, row, line (from 1) where the value starts, kind, offsets.
 
-    Null and empty texts have none. A row delivered twice is reported once. Parts of a literal that
+    Null and empty texts have none. A row delivered twice (same id and text) is reported once; rows
+    without an id are told apart by their texts. Parts of a literal that
     goes on over several lines are one place, at its first line.
     """
 
@@ -341,12 +363,12 @@ def find_secrets(df: DataFrame, id_col: str, text_col: str, src_table: str, path
         words = dictionary(path)
         for pdf in it:
             rows = []
-            for rid, text in zip(pdf["row_id"], pdf["text"]):
+            for rid, text, digest in zip(pdf["row_id"], pdf["text"], pdf["digest"]):
                 rid = None if pd.isna(rid) else int(rid)
-                rows += [(src_table, rid, n, k, a, b) for n, k, a, b in scan(text, words) if k != "continued"]
-            yield pd.DataFrame(rows, columns=["src_table", "row_id", "line_no", "kind", "start", "end"]).astype({"row_id": "Int64"})
+                rows += [(src_table, rid, n, k, a, b, digest) for n, k, a, b in scan(text, words) if k != "continued"]
+            yield pd.DataFrame(rows, columns=["src_table", "row_id", "line_no", "kind", "start", "end", "digest"]).astype({"row_id": "Int64"})
 
-    return _source(df, id_col, text_col).mapInPandas(run, FOUND).dropDuplicates(["src_table", "row_id", "line_no", "start"])
+    return _source(df, id_col, text_col).mapInPandas(run, FOUND).dropDuplicates(["src_table", "row_id", "digest", "start"]).drop("digest")
 
 
 def redact_secrets(df: DataFrame, id_col: str, text_col: str, src_table: str, path: str = DICTIONARY) -> DataFrame:
@@ -356,10 +378,11 @@ def redact_secrets(df: DataFrame, id_col: str, text_col: str, src_table: str, pa
         words = dictionary(path)
         for pdf in it:
             rows = []
-            for rid, text in zip(pdf["row_id"], pdf["text"]):
+            for rid, text, digest in zip(pdf["row_id"], pdf["text"], pdf["digest"]):
                 hits = scan(text, words)
                 if hits:
-                    rows.append((src_table, None if pd.isna(rid) else int(rid), sum(k != "continued" for _, k, _, _ in hits), redact(text, hits)))
-            yield pd.DataFrame(rows, columns=["src_table", "row_id", "n_secrets", "text"]).astype({"row_id": "Int64"})
+                    rows.append((src_table, None if pd.isna(rid) else int(rid), sum(k != "continued" for _, k, _, _ in hits), redact(text, hits), digest))
+            yield pd.DataFrame(rows, columns=["src_table", "row_id", "n_secrets", "text", "digest"]).astype({"row_id": "Int64"})
 
-    return _source(df, id_col, text_col).mapInPandas(run, "src_table string, row_id long, n_secrets int, text string").dropDuplicates(["src_table", "row_id"])
+    out = _source(df, id_col, text_col).mapInPandas(run, "src_table string, row_id long, n_secrets int, text string, digest long")
+    return out.dropDuplicates(["src_table", "row_id", "digest"]).drop("digest")

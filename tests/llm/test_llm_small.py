@@ -273,6 +273,31 @@ def test_every_credential_name_is_read():
 # -- 6 ----------------------------------------------------------------------------------------------
 
 
+PROBES = [
+    ('api_token = "d41d8cd98f00b204e9800998ecf8427e"', False),
+    ('password_digest = "5f4dcc3b5aa765d61d8327deb882cf99"', False),
+    ('secret = "sha256:5f4dcc3b5aa765d61d8327deb882cf99aabb"', False),
+    ('password = "$2b$12$KIXQ4vJ8l1jE8t0c1q9yMe"', False),
+    ('password = "sunshine"', True),
+    ('passphrase = "correct horse battery staple 42"', True),
+    ('passphrase = "correct horse battery staple"', True),
+    ('password = "Please enter your password"', False),
+    ('password = "string"', False),
+    ('password = "$ecret99xQ"', True),
+    ('password = "$DB_PASS"', False),
+    ('password = "@vault"', False),
+    ('password = """hunterX99q"""', True),
+    ("x" * 150 + '_password = "k3yRtq99"', True),
+    ("# staging access: admin / pw E9k321ak&zpd+!V", True),
+    ("# the pw is stored elsewhere", False),
+]
+
+
+@pytest.mark.parametrize("line, secret", PROBES)
+def test_secret_or_not(line, secret):
+    assert bool(secrets.scan(line, secrets.dictionary())) == secret
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_pieces_rebuild_the_text(seed):
     rnd = random.Random(seed)
