@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 FOUND = (
     "src_table string, row_id long, def_line int, name string, kind string, documentation string, "
-    "start_line int, end_line int, source string"
+    "start_line int, end_line int, source string, digest long"
 )
 
 #: What can hide or start a definition: a string, a comment, the word def.
@@ -140,10 +141,7 @@ def _signature_end(text: str, at: int) -> tuple[int, bool]:
     if m:
         return m.end(), True
     depth, pos, line_end = 0, at, -1
-    for _ in range(4000):
-        m = _STEP.search(text, pos)
-        if not m:
-            break
+    while m := _STEP.search(text, pos):
         c = m[0]
         pos = m.end()
         if c in "([{":
@@ -220,19 +218,34 @@ def _above(text: str, line_start: int, comments: set[int]) -> tuple[list[str], i
 
 
 def _decorator_start(text: str, prev: int, end: int) -> int | None:
-    """Start of a decorator of several lines that ends on the line at ``prev``."""
+    """Start of a decorator of several lines that ends on the line at ``prev``, however far above."""
     at = prev
-    for _ in range(30):
+    while True:
         line = text[at : text.find("\n", at)].strip()
-        if not line or line.startswith(("def ", "class ", "return")):
+        if line.startswith(("def ", "async def ", "class ", "return")):
             return None
         if line.startswith("@"):
-            block = text[at:end]
-            return at if block.count("(") == block.count(")") and "(" in block else None
+            return at if _one_call(text, at, end) else None
         if at == 0:
             return None
         at = text.rfind("\n", 0, at - 1) + 1
-    return None
+
+
+def _one_call(text: str, at: int, end: int) -> bool:
+    """Whether ``text[at:end]`` is one expression in brackets that closes on its last line."""
+    depth, pos = 0, at
+    while pos < end and (m := _STEP.search(text, pos, end)):
+        c, pos = m[0], m.end()
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "\n":
+            if depth <= 0:
+                return depth == 0 and not text[pos:end].strip()
+        elif c != ":" and (t := _TOKEN.match(text, m.start(), end)):
+            pos = t.end()
+    return depth == 0
 
 
 def _body_end(text: str, at: int, indent: int, colon: bool, inside: list[tuple[int, int]]) -> int:
@@ -294,10 +307,9 @@ def documented(text: str, least_words: int = 5, chunk: bool = False, with_source
         elif m.end() - s > 5:
             strings.append((s, m.end()))
     out = []
-    line_no, counted = 1, 0
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda at: bisect_right(breaks, at - 1) + 1
     for s, line_start, name, end in heads:
-        line_no += text.count("\n", counted, s)
-        counted = s
         indent = len(text[line_start:s]) - len(text[line_start:s].lstrip())
         sig, colon = _signature_end(text, end)
         doc = _docstring(text, sig, indent)
@@ -309,12 +321,9 @@ def documented(text: str, least_words: int = 5, chunk: bool = False, with_source
             kind, said = "comment", "\n".join(lines)
         if kind is None:
             continue
-        if with_source:
-            stop = _body_end(text, sig, indent, colon, strings)
-            begin = top if kind == "comment" else line_start
-            out.append((line_no, name, kind, said, text.count("\n", 0, begin) + 1, text.count("\n", 0, stop) + 1, text[begin:stop]))
-        else:
-            out.append((line_no, name, kind, said, None, None, None))
+        stop = _body_end(text, sig, indent, colon, strings)
+        begin = top if kind == "comment" else line_start
+        out.append((line_of(s), name, kind, said, line_of(begin), line_of(stop), text[begin:stop] if with_source else None))
     return out
 
 
@@ -324,21 +333,22 @@ def documented_functions(
     """One row for each documented function or method of every text.
 
     Null texts and texts without a definition give no row, a text that does not parse is read as far
-    as its lines tell. A row delivered twice gives its functions once (``dropDuplicates`` on place
-    and line). ``chunk`` allows a text to begin inside a string.
+    as its lines tell. A row delivered twice (same id and text) gives its functions once; rows
+    without an id are told apart by their texts. ``chunk`` allows a text to begin inside a string.
+    Without ``with_source`` the bodies are delimited but not carried along.
     """
-    src = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").contains("def"))
+    src = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest")).where(F.col("text").contains("def"))
     cols = [c.split()[0] for c in FOUND.split(", ")]
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for rid, text in zip(pdf["row_id"], pdf["text"]):
+            for rid, text, digest in zip(pdf["row_id"], pdf["text"], pdf["digest"]):
                 rid = None if pd.isna(rid) else int(rid)
                 for hit in documented(text, least_words, chunk, with_source):
-                    rows.append((src_table, rid, *hit))
+                    rows.append((src_table, rid, *hit, digest))
             out = pd.DataFrame(rows, columns=cols)
             yield out.astype({"row_id": "Int64", "start_line": "Int32", "end_line": "Int32"})
 
     found = src.mapInPandas(scan, FOUND)
-    return found.dropDuplicates(["src_table", "row_id", "def_line"])
+    return found.dropDuplicates(["src_table", "row_id", "digest", "def_line"]).drop("digest")

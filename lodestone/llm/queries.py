@@ -29,7 +29,7 @@ def _functions(spark: SparkSession, d: str, with_source: bool) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _functions(spark, d, False).select("src_table", "row_id", "def_line")
+    return _functions(spark, d, False).select("src_table", "row_id", "def_line").distinct()
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Problem 6: cut oversized texts at natural boundaries, with overlapping lines.
 
 Balanced targets: the least number of pieces is computed, equal-length targets are placed, each is
-snapped to the strongest boundary nearby, and a piece is added while any piece breaks the limit.
+snapped to the strongest boundary nearby, and pieces are added while any breaks the limit. A piece
+that leaves no room for the lines it should share is then cut in two where a smaller one would.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "src_table string, row_id long, piece_no int, start_line int, end_line int, n_bytes int, piece string"
+_KEYED = PIECES + ", digest long"
 
 _HEAD = re.compile(rb"(?:@|class\b|(?:async\s+)?def\b|\[|function\b|func\b)")
 
@@ -95,16 +97,15 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     total = len(data)
     k = max(2, -(-total // limit))
     while True:
-        cuts = _place(offs, strength, total, k, limit)
-        bounds = [0, *cuts, n]
-        sizes = [ends[b - 1] - offs[a] for a, b in zip(bounds, bounds[1:])]
-        # a piece is too long, or leaves no room for the overlap where a smaller one could
-        if all(x <= limit for x in sizes) and (k >= n or _room(bounds, offs, ends, line_of, limit, overlap) or k > 2 * -(-total // limit) + 1):
+        bounds = [0, *_place(offs, strength, total, k), n]
+        over = sum(ends[b - 1] - offs[a] > limit for a, b in zip(bounds, bounds[1:]))
+        if not over or k >= n:
             break
-        if k >= n:
-            bounds = list(range(n + 1))
-            break
-        k += 1
+        # as many more as a part of those that fail, so that a long text takes few rounds
+        k = min(n, k + max(1, over // 4))
+    if over:
+        bounds = list(range(n + 1))
+    bounds = _with_room(bounds, offs, ends, strength, line_of, limit, overlap)
     out = []
     for j, (a, b) in enumerate(zip(bounds, bounds[1:])):
         first = offs[a]
@@ -117,7 +118,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     return out
 
 
-def _place(offs: list[int], strength: list[int], total: int, k: int, limit: int) -> list[int]:
+def _place(offs: list[int], strength: list[int], total: int, k: int) -> list[int]:
     """``k - 1`` growing positions among the possible cuts, each near its equal-length target."""
     cuts, low = [], 1
     reach = total / k / 3
@@ -155,16 +156,27 @@ def _shared(data: bytes, offs: list[int], line_of: list[int], a: int, end: int,
     return first, line
 
 
-def _room(bounds: list[int], offs: list[int], ends: list[int], line_of: list[int], limit: int, overlap: int) -> bool:
-    """Whether every piece but the first can hold its shared lines too."""
-    for a, b in zip(bounds[1:], bounds[2:]):
-        i = a
-        want = line_of[a] - overlap
-        while i > 0 and line_of[i - 1] >= want:
-            i -= 1
-        if ends[b - 1] - offs[i] > limit:
-            return False
-    return True
+def _with_room(bounds: list[int], offs: list[int], ends: list[int], strength: list[int], line_of: list[int], limit: int, overlap: int) -> list[int]:
+    """Bounds with each piece cut that cannot hold its shared lines, where a shorter one could.
+
+    The cut is the strongest boundary nearest to the middle of what fits.
+    """
+    out = [bounds[0]]
+    todo = list(reversed(bounds[1:]))
+    while todo:
+        a, b = out[-1], todo.pop()
+        if a and overlap > 0 and strength[a] > 0:
+            i = bisect_left(line_of, line_of[a] - overlap, 0, a)
+            room = limit - (offs[a] - offs[i])
+            if ends[b - 1] - offs[a] > room >= ends[a] - offs[a]:
+                fits = bisect_right(ends, offs[a] + room, a + 1, b)
+                middle = offs[a] + min(room, ends[b - 1] - offs[a]) / 2
+                cut = max(range(a + 1, fits + 1), key=lambda j: (strength[j] - 4 * abs(offs[j] - middle) / limit, -abs(offs[j] - middle))) if fits > a + 1 else a + 1
+                todo += [b, cut] if cut < b else [b]
+                if cut < b:
+                    continue
+        out.append(b)
+    return out
 
 
 def split_oversized(
@@ -173,31 +185,31 @@ def split_oversized(
     """Pieces of every row of ``df`` whose text takes more than ``max_bytes`` in UTF-8.
 
     Only oversized rows leave the JVM. A row delivered twice (same id and text) gives its pieces
-    once. Null and empty texts and texts within the limit give no row; a null id stays null.
+    once, one id with two texts gives those of both. Null and empty texts and texts within the limit give no row; a null id stays null.
     """
     if max_bytes < 4:
         raise ValueError("max_bytes must hold any character")
     big = (
-        df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
+        df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
         .where(F.octet_length("text") > max_bytes)
     )
 
     def pieces(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for rid, text in zip(pdf["row_id"], pdf["text"]):
+            for rid, text, digest in zip(pdf["row_id"], pdf["text"], pdf["digest"]):
                 rid = None if pd.isna(rid) else int(rid)
                 for no, (a, b, piece) in enumerate(split_text(text, max_bytes, overlap_lines)):
-                    rows.append((src_table, rid, no, a, b, len(piece.encode("utf-8", "surrogatepass")), piece if with_text else None))
-            out = pd.DataFrame(rows, columns=["src_table", "row_id", "piece_no", "start_line", "end_line", "n_bytes", "piece"])
+                    rows.append((src_table, rid, no, a, b, len(piece.encode("utf-8", "surrogatepass")), piece if with_text else None, digest))
+            out = pd.DataFrame(rows, columns=["src_table", "row_id", "piece_no", "start_line", "end_line", "n_bytes", "piece", "digest"])
             out["row_id"] = out["row_id"].astype("Int64")
             yield out
 
-    out = big.mapInPandas(pieces, PIECES)
+    out = big.mapInPandas(pieces, _KEYED)
     if not with_text:
-        return out.drop("piece")
+        return out.drop("piece", "digest")
     # equal rows fall together by place and content hash; the text itself is no key
-    return out.dropDuplicates(["src_table", "row_id", "piece_no", "start_line", "end_line", "n_bytes"])
+    return out.dropDuplicates(["src_table", "row_id", "digest", "piece_no"]).drop("digest")
 
 
 def split_by_limits(tables: dict[str, DataFrame], limits: DataFrame, with_text: bool = True) -> DataFrame:

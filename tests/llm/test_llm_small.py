@@ -69,6 +69,22 @@ def test_documented_chunk_that_begins_in_a_string():
     assert [x[0] for x in docpairs.documented(piece, chunk=True)] == [5]
 
 
+def test_long_signatures_and_decorators():
+    doc = '    """Joins all of the many parts into one."""\n    return 1\n'
+    long = "def f(\n" + "".join(f"    a{i}: dict[str, int] = {{}},\n" for i in range(1500)) + ") -> int:\n" + doc
+    assert [(n, name) for n, name, *_ in docpairs.documented(long)] == [(1, "f")]
+    deco = "# Says in full what the function below is for.\n@cases(\n" + "".join(f'    ("a{i}", "(", {i}),\n\n' for i in range(40)) + ")\ndef g():\n    return 2\n"
+    assert [(name, kind) for _, name, kind, *_ in docpairs.documented(deco)] == [("g", "comment")]
+    other = "# Says in full what the function below is for.\n@first\ny = call(\n    1,\n)\ndef h():\n    return 3\n"
+    assert docpairs.documented(other) == []
+
+
+def test_documented_rows_of_one_id(spark):
+    rows = [(1, 'def f():\n    "Adds up all of the given numbers."\n'), (1, 'def g():\n    "Takes the first of the given numbers."\n'), (None, 'def f():\n    "Adds up all of the given numbers."\n'), (None, 'def g():\n    "Takes the first of the given numbers."\n')]
+    got = docpairs.documented_functions(spark.createDataFrame(rows * 2, "id long, code string"), "id", "code", "t").collect()
+    assert sorted((r["row_id"] or 0, r["name"]) for r in got) == [(0, "f"), (0, "g"), (1, "f"), (1, "g")]
+
+
 def test_documented_rows(spark):
     df = spark.createDataFrame([(1, SOURCE, "x"), (1, SOURCE, "x"), (2, None, "y"), (None, "", "z")], "id long, code string, name string")
     out = docpairs.documented_functions(df, "id", "code", "t")
@@ -317,6 +333,25 @@ def test_pieces_rebuild_the_text(seed):
     assert at == len(data)
 
 
+def test_pieces_of_two_texts_of_one_id(spark):
+    rows = [(7, "aaaa\nbbbb\ncccc\n"), (7, "dddd\neeee\nffff\n"), (7, "aaaa\nbbbb\ncccc\n")]
+    got = splitting.split_oversized(spark.createDataFrame(rows, "id long, code string"), "id", "code", "t", 10, 0).collect()
+    assert len(got) == 4 and {r["piece"][:4] for r in got} == {"aaaa", "cccc", "dddd", "ffff"} or len({r["piece"] for r in got}) == 4
+
+
+def test_pieces_share_lines_where_a_shorter_piece_has_room():
+    text = "".join(f"line {i:04d} of this text\n" for i in range(400))
+    pieces = splitting.split_text(text, 200, 3)
+    assert all(len(p.encode()) <= 200 for _, _, p in pieces)
+    assert all(x[1] - y[0] + 1 == 3 for x, y in zip(pieces, pieces[1:]))
+
+
+def test_pieces_of_a_very_long_text():
+    text = "\n".join("word " * (i % 37) for i in range(60_000))
+    pieces = splitting.split_text(text, 4096, 2)
+    assert all(len(p.encode()) <= 4096 for _, _, p in pieces) and pieces[-1][1] == text.count("\n") + 1
+
+
 def test_pieces_of_rows(spark):
     df = spark.createDataFrame([(1, "a\n" * 50, 1), (1, "a\n" * 50, 1), (2, "short", 2), (3, None, 3), (4, "x" * 500, 4)], "id long, code string, piece_no int")
     lim = spark.createDataFrame([("t", "code", 40, 2), ("gone", "x", 5, 1)], "src_table string, field string, max_bytes int, overlap_lines int")
