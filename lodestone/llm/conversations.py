@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import deduplicated_messages, ordered_blocks
-from lodestone.session import materialize
+from lodestone.llm.text import clean_role, deduplicated_messages, ordered_blocks
+from lodestone.session import bounded_broadcast, materialize
 
 ORDER = ("session_id", "created_at", "id")
 USER, ASSISTANT, OTHER = 1, 2, 0
 LOG2_LONGEST = 20
 
 _SUMMARY = (
-    "session_id long, block int, n long, first_code int, last_code int, all_blank boolean, "
+    "session_id long, block long, n long, first_code int, last_code int, all_blank boolean, "
     "other boolean, same boolean, blank_user boolean, blank_assistant boolean"
 )
 
@@ -39,6 +39,11 @@ def _codes(df: DataFrame) -> DataFrame:
     return df.withColumn("code", F.coalesce(code, F.lit(OTHER)))
 
 
+def _block(part: int, batch: int) -> int:
+    """Number of an Arrow batch of a partition; partitions sort first, whatever their number."""
+    return (part << 32) + batch
+
+
 def _summaries(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each session and Arrow batch of the sorted partition.
 
@@ -60,7 +65,7 @@ def _summaries(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "session_id": s[starts],
-                "block": part * 1_000_000 + k,
+                "block": _block(part, k),
                 "n": ends - starts,
                 "first_code": c[starts],
                 "last_code": c[ends - 1],
@@ -101,7 +106,7 @@ def conversation_defects(messages: DataFrame) -> DataFrame:
     return folded.select("session_id", defect.alias("defect")).where("defect is not null")
 
 
-_GAPS = "bin int, n long, session_id long, block int, first_at double, last_at double"
+_GAPS = "bin int, n long, session_id long, block long, first_at double, last_at double"
 
 
 def _gap_bins(gap: np.ndarray, bins: int) -> np.ndarray:
@@ -133,7 +138,7 @@ def calibrated_gap(messages: DataFrame, bins: int = 64) -> float:
             yield pd.DataFrame({"bin": used, "n": n[used], "session_id": 0, "block": -1, "first_at": 0.0, "last_at": 0.0})
             ends = [(i, t[s == i]) for i in dict.fromkeys((s[0], s[-1]))]
             yield pd.DataFrame(
-                {"bin": -1, "n": 0, "session_id": [i for i, _ in ends], "block": part * 1_000_000 + k, "first_at": [x[0] for _, x in ends], "last_at": [x[-1] for _, x in ends]}
+                {"bin": -1, "n": 0, "session_id": [i for i, _ in ends], "block": _block(part, k), "first_at": [x[0] for _, x in ends], "last_at": [x[-1] for _, x in ends]}
             )
 
     found = materialize(ordered_blocks(rows, "session_id", "t").mapInPandas(pieces, _GAPS))
@@ -155,6 +160,25 @@ def calibrated_gap(messages: DataFrame, bins: int = 64) -> float:
     return float(2 ** ((int(np.argmax(between)) + 1) * step))
 
 
+def with_inferred_roles(messages: DataFrame) -> DataFrame:
+    """Messages whose role is ``user`` or ``assistant`` wherever that can be told, else as it was.
+
+    A role spelled otherwise, or missing, follows from the row itself (only users' texts are hashed,
+    only answers say what kind of question they took), else from what the rows of the same spelling
+    say in their majority (a tie says nothing). Spellings are counted over all rows, pre-aggregated;
+    a spelling with a third of all rows is one row of that count.
+    """
+    role = clean_role(F.col("role"))
+    answer = F.get_json_object("retrieved_chunks", "$.query_type").isNotNull()
+    own = F.when(role.isin("user", "assistant"), role).when(F.col("query_hash").isNotNull(), "user").when(answer, "assistant")
+    told = messages.withColumns({"_spelled": role, "_own": own})
+    odd = told.where("_spelled is not null and _spelled not in ('user', 'assistant')")
+    votes = odd.groupBy("_spelled").agg(F.count_if(F.col("_own") == "user").alias("u"), F.count_if(F.col("_own") == "assistant").alias("a"))
+    votes = materialize(votes.where("u <> a").select("_spelled", F.when(F.col("u") > F.col("a"), "user").otherwise("assistant").alias("_voted")))
+    out = told.join(bounded_broadcast(votes, 100_000), "_spelled", "left")
+    return out.withColumn("role", F.coalesce("_own", "_voted", "role")).select(*messages.columns)
+
+
 def conversations(messages: DataFrame, gap_seconds: float | None = None, turns_per_row: int = 1000) -> DataFrame:
     """Kept conversations as ordered lists of turns: ``(session_id, part, n_turns, turns)``.
 

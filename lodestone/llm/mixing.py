@@ -3,7 +3,8 @@
 Systematic sampling: within a source, documents' expected copies are prefix-summed, one random
 offset is added, and a document is emitted once for each whole number its interval crosses. The
 prefix sums run over hash buckets of bounded size, so a source with a third of all rows is no task
-of its own.
+of its own, and equal records are one row with a count. Copies are whole numbers of ``UNIT``, so sums
+are exact in any order, at any size.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ TOKENIZER_DIR = os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: A copy as a whole number: 2^26, so that the copies of 10^10 records still fit 64 bits.
+UNIT = 1 << 26
+
+
 @lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
@@ -51,7 +56,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
 
 def _plan(sized: DataFrame, targets: DataFrame, total_tokens: float | None) -> DataFrame:
     """For each source with a target: tokens at hand, tokens wanted, expected copies of a document."""
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    have = sized.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n")).alias("tokens"), F.sum("n").alias("docs"))
     t = targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"])
     plan = t.join(have, "source", "left").select(
         "source",
@@ -82,27 +87,29 @@ def mix(
     reaches its share without going over its ``max_repeats``. A source without documents or target
     contributes nothing, and shares are reported of what was reached: ``target_share``,
     ``reachable_share`` (targets of the sources that have tokens, scaled to 1) and
-    ``actual_share``. Rows are counted as they come; a document id that occurs twice is two records.
+    ``actual_share``. A document id that occurs twice is two records; records equal in id, source and
+    tokens are one row, whose ``copies`` are those of all of them.
     """
-    sized = materialize(token_counts(documents, vocabulary))
+    # equal records first become one: copies of one record may be a third of all rows
+    sized = materialize(token_counts(documents, vocabulary).groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("n")))
     plan = materialize(_plan(sized, targets, total_tokens))
     n_buckets = F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_rows))
     rows = sized.join(bounded_broadcast(plan.select("source", "docs", "rate", "max_repeats"), 100_000), "source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_buckets))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("rate").alias("s"))
+    units = F.round(F.col("rate") * UNIT).cast("long") * F.col("n")
+    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_buckets), "units": units})
+    sums = rows.groupBy("source", "bucket").agg(F.sum("units").alias("s"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("start"))
-    in_bucket = W.partitionBy("source", "bucket").orderBy("n_tokens", "doc_id")
-    offset = F.pmod(F.xxhash64("source", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    end = F.col("start") + F.col("rate") * F.row_number().over(in_bucket) + offset
-    copies = F.floor(end + 1e-9) - F.floor(end - F.col("rate") + 1e-9)
+    starts = sums.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    in_bucket = W.partitionBy("source", "bucket").orderBy("n_tokens", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    offset = F.pmod(F.xxhash64("source", F.lit(seed + 1)), F.lit(UNIT))
+    placed = rows.join(starts, ["source", "bucket"]).withColumn("end", F.col("start") + F.sum("units").over(in_bucket) + offset)
+    copies = F.shiftright("end", 26) - F.shiftright(F.col("end") - F.col("units"), 26)
     chosen = (
-        rows.join(starts, ["source", "bucket"])
-        .withColumn("copies", F.least(copies, F.col("max_repeats").cast("long")))
+        placed.withColumn("copies", F.least(copies, F.col("max_repeats").cast("long") * F.col("n")))
         .where("copies > 0")
-        .select("doc_id", "source", "n_tokens", "copies")
+        .select("doc_id", "source", "n_tokens", "copies", "n")
     )
-    used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most"))
+    used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.max(F.ceil(F.col("copies") / F.col("n"))).alias("most"))
     report = plan.join(used, "source", "left")
     all_used = F.sum(F.coalesce("used", F.lit(0))).over(W.partitionBy())
     reachable = F.when(F.col("tokens") > 0, F.col("target_share")).otherwise(0.0)
@@ -117,4 +124,4 @@ def mix(
         "max_repeats",
         F.coalesce("most", F.lit(0)).cast("long").alias("most_copies"),
     )
-    return chosen, report
+    return chosen.drop("n"), report

@@ -164,6 +164,20 @@ def test_calibrated_gap_counts_pauses_over_days(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_blocks_of_many_partitions_sort():
+    assert conversations._block(2149, 0) > conversations._block(2148, 999_999_999) and conversations._block(10**6, 5) < 2**63
+
+
+def test_inferred_roles(spark):
+    rows = [
+        (1, 1, "Human", "a", "h1", None), (2, 1, "BOT", "b", None, '{"query_type": "x"}'), (3, 1, "human", "c", None, None), (4, 1, "bot ", "d", None, None),
+        (5, 1, None, "e", "h2", None), (6, 1, "narrator", "f", None, None), (7, 1, " USER", "g", None, "broken"), (8, 1, None, "h", None, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, session_id long, role string, content string, query_hash string, retrieved_chunks string")
+    got = {r["id"]: r["role"] for r in conversations.with_inferred_roles(df).collect()}
+    assert got == {1: "user", 2: "assistant", 3: "user", 4: "assistant", 5: "user", 6: "narrator", 7: "user", 8: None}
+
+
 def test_copies_and_refusals():
     q = "Where is `load` called, and why?"
     assert answers.is_copy(q, "You asked: where is load called and why") and answers.is_copy(q, f"{q}\n{q}")
@@ -468,6 +482,15 @@ def test_shares(spark):
     assert mixing.mix(d.limit(0), t)[0].count() == 0
 
 
+def test_mix_of_many_copies(spark):
+    d = spark.range(3000).select(F.when(F.col("id") < 1500, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("one two three four").alias("text"), F.lit("a").alias("source"))
+    t = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(d, t, total_tokens=4 * 3000 * 1.5, bucket_rows=100)
+    copies = {r["doc_id"]: r["copies"] for r in chosen.collect()}
+    assert sum(copies.values()) in (4499, 4500, 4501) and abs(copies[7] - 2250) <= 1
+    assert all(1 <= n <= 2 for i, n in copies.items() if i != 7) and report.first()["most_copies"] == 2
+
+
 # -- 10 ---------------------------------------------------------------------------------------------
 
 
