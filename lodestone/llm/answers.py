@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.text import clean_role, is_blank, ordered_blocks
 from lodestone.llm.truncation import cut_rows, message_rows
-from lodestone.session import materialize
+from lodestone.session import bounded_broadcast, materialize
 
 SLOTS = 1 << 14
 #: Labelled rows the language model is fitted on, at most, for each language.
@@ -101,7 +101,7 @@ class LanguageModel:
 
 
 def fit_languages(documents: DataFrame, rows_per_language: int = FIT_ROWS) -> LanguageModel:
-    """Fit on at most ``rows_per_language`` labelled rows of each of at most 16 languages.
+    """Fit on the whole texts of at most ``rows_per_language`` labelled rows of each of at most 16 languages.
 
     The tag's first two letters name the language; rows without a tag are not used. Which rows are
     taken depends on a hash of their id only.
@@ -117,7 +117,7 @@ def fit_languages(documents: DataFrame, rows_per_language: int = FIT_ROWS) -> La
     for x in common:
         share = min(1.0, rows_per_language / sizes[x])
         keep = keep | ((F.col("lang") == x) & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20))))
-    return LanguageModel([(r["lang"], r["text"][:4000]) for r in tagged.where(keep).select("lang", "text").collect()])
+    return LanguageModel([(r["lang"], r["text"]) for r in tagged.where(keep).select("lang", "text").collect()])
 
 
 # How answers decline, in four languages; and what only looks so.
@@ -146,7 +146,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 #: One of these is in every sentence that declines (fixed values).
 _DECLINES = (
     "can't", "cannot", "can not", "won't", "will not", "able to", "unable", "declin", "refus", "rather not", "prefer not", "not allowed", "permi", "shouldn't", "going to", "no answer",
-    "possible for me", "outside", "not something", "guideline", "polic", "rules", "without me", "ask a colleague", "ask some", "nicht", "keine", "ablehn", "verweiger", "frag", "no puedo",
+    "possible for me", "outside", "not something", "guideline", "polic", "rules", "without me", "ask a colleague", "ask some", "nicht", "keine", "ablehn", "lehne", "verweiger", "frag", "no puedo",
     "no podemos", "no me", "no voy", "no debo", "no quiero", "rechaz", "negarme", "niego", "obligad", "prefiero no", "je ne", "m'est", "je dois", "je suis oblig", "je préfère",
 )
 
@@ -193,17 +193,15 @@ def is_copy(question: str, answer: str, lead: int = 8) -> bool:
     a = _WORDS.findall(low)
     if len(q) < 2 or len(a) < len(q):
         return False
-    left, used = a, 0
-    for _ in range(1000):
-        at = next((i for i in range(0, min(lead, len(left) - len(q)) + 1) if left[i : i + len(q)] == q), None)
-        if at is None:
+    at, n = 0, len(q)
+    while True:
+        start = next((i for i in range(at, min(at + lead, len(a) - n) + 1) if a[i : i + n] == q), None)
+        if start is None:
             break
-        used += len(q)
-        left = left[at + len(q) :]
-        if not left:
-            return True
+        at = start + n
     # what is left over may be the beginning of one more repetition, or a short closing
-    return used > 0 and (left == q[: len(left)] or len(left) <= 2)
+    rest = a[at:]
+    return at > 0 and (rest == q[: len(rest)] or len(rest) <= 2)
 
 
 # Names of languages in the four, for requests to answer in one of them.
@@ -249,10 +247,22 @@ def language_differs(model: LanguageModel, pairs: list[tuple[str, str]], margin:
 
 
 def _deduplicated(messages: DataFrame) -> DataFrame:
+    """One row for each message, as :func:`lodestone.llm.text.deduplicated_messages` has it.
+
+    Contents stay where they are: keys and ids alone are aggregated, and what was sent again is
+    taken out by a join with the keys that occur more than once (broadcast while these are few).
+    """
     m = messages.where("session_id is not null").select(
-        "session_id", clean_role(F.col("role")).alias("role"), "created_at", "id", "content", F.unhex(F.sha2("content", 256)).alias("_d")
+        "session_id", clean_role(F.col("role")).alias("role"), "created_at", "id", "content", F.xxhash64("content", F.lit(1)).alias("d1"), F.xxhash64("content", F.lit(2)).alias("d2")
     )
-    return m.groupBy("session_id", "role", "created_at", "_d").agg(F.min("id").alias("id"), F.min_by("content", "id").alias("content")).drop("_d")
+    keys = [F.xxhash64("session_id", "role", "created_at", "d1", "d2", F.lit(s), F.col("content").isNull()).alias(f"k{s}") for s in (1, 2)]
+    m = m.select("session_id", "role", "created_at", "id", "content", *keys)
+    again = m.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
+    again = bounded_broadcast(materialize(again), 500_000)
+    left = m.join(again, ["k1", "k2"], "left").where("first is null or first <=> id")
+    # a row delivered twice has one id: the few that are left are told apart by their keys
+    twice = left.where("first is not null").dropDuplicates(["k1", "k2"])
+    return left.where("first is null").unionByName(twice).select("session_id", "role", "created_at", "id", "content")
 
 
 _PAIR = "kind string, session_id long, at long, id long, role string, content string, answer_id long, defect string"

@@ -187,6 +187,25 @@ def test_copies_and_refusals():
     assert not answers.is_refusal("I cannot see a problem in `x`; it is closed.") and not answers.is_refusal("You can't reuse it here, a new one works.")
 
 
+DECLINING = [
+    "I can't help with that.", "I must decline this request.", "I decline to answer.", "No answer can be given here.", "It is not possible for me to comment.", "That is outside what I may say.",
+    "This is not something I can discuss.", "Our guidelines prevent it.", "That is against my policy.", "You will have to do it without me.", "I'd rather not.", "Please ask a colleague instead.",
+    "I won't describe it.", "Dabei kann ich dir nicht helfen.", "Ich darf dazu nichts sagen.", "Das muss ich ablehnen.", "Ich lehne das ab.", "Das ist mir nicht erlaubt.", "Bitte frage jemand anderen.",
+    "No puedo ayudarte con eso.", "No me está permitido.", "Debo rechazar esto.", "Me niego a eso.", "Prefiero no hablar de ello.", "Je ne peux pas vous aider.", "Il m'est impossible de répondre, de vous aider.",
+    "Je dois refuser.", "Il ne m'est pas permis de le faire.", "Je refuse.",
+]
+
+
+@pytest.mark.parametrize("answer", DECLINING)
+def test_each_way_of_declining_is_read(answer):
+    assert answers.is_refusal("Thank you for asking. " + answer)
+
+
+def test_copies_of_any_number():
+    q = "How do I sort the table?"
+    assert answers.is_copy(q, (q + " ") * 1003) and answers.is_copy(q, "You asked: " + q) and not answers.is_copy(q, q + " Use the sort method with a key.")
+
+
 def test_language_against_held_out():
     text = {
         "en": "the file is opened before the rows are read and then it is closed again when all of them were written",
