@@ -4,7 +4,9 @@ Two signs are weighed together. Per source and column, histograms of the length
 in bytes are tested for spikes: lengths far more frequent than their neighbours. And an end-of-text
 n-gram model, counted over all texts, says how often the characters before the end of a text are
 followed by an end elsewhere. At a spike, a text needs good evidence that it is complete; off the
-spikes, it needs good evidence that it is not.
+spikes, it needs good evidence that it is not. Ends at spikes vouch for no text off them, but for
+each other: words that stand at the end of texts of different lengths and are hardly ever continued
+are a closing, while those before a cut go on in other texts, or are met at one length only.
 """
 
 from __future__ import annotations
@@ -30,9 +32,13 @@ MASK = 100
 #: Least share of ends among the uses of a context for a complete text: at a spike; off it, after the
 #: characters and after the words before the last.
 AT_SPIKE, OFF_SPIKE, AFTER_WORDS = 0.25, 0.015, 0.25
+#: The same at a spike with the ends at spikes counted in: words that are hardly ever continued.
+CLOSING = 0.75
 #: Below these shares of word ends among its uses, a context stops surely, or likely, inside a word.
 IN_WORD, NEAR_WORD = 0.02, 0.3
-BITS = 24
+#: The filter of contexts has this many slots for each, from 2^20 to 2^27 in all; beyond that, contexts
+#: are counted in passes over ranges of their hashes.
+SLOTS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 27
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -191,34 +197,45 @@ def _tails(texts: list[tuple[str, str]], roller: _Roller, ids: _Ids) -> list[lis
 _ENDS = np.zeros(128, bool)
 _ENDS[[ord(x) for x in ".!?\n\x04"]] = True
 _FOLLOWED = np.zeros(128, bool)
-_FOLLOWED[[32, 10, 4, 5, 34, 39, 41, 46, 33, 63]] = True
-_BORDER = np.array([not (chr(i).isalnum() or i in (5, 39)) for i in range(128)])
+_FOLLOWED[[32, 10, 4, 5, 6, 34, 39, 41, 46, 33, 63]] = True
+_BORDER = np.array([not (chr(i).isalnum() or i in (5, 6, 39)) for i in range(128)])
+_MOUTH = np.zeros(128, bool)
+_MOUTH[[ord(x) for x in ")(dp"]] = True
+#: Marks behind a text: its end is trusted, at a spike, cut (or of the joined texts).
+_TRUSTED, _AT_SPIKE, _CUT = "\x04\x05\x06"
 
 
 class _Filter:
-    """The contexts to be counted, as slots of their hashes' leading bits."""
+    """The contexts to be counted: of a range of hashes, the slots told by the bits behind the range's."""
 
-    def __init__(self, bitmap: np.ndarray):
-        self.bits = bitmap
-        coarse = np.unpackbits(bitmap, bitorder="little").reshape(-1, 4).any(axis=1)
-        self.coarse = coarse
+    def __init__(self, bitmap: np.ndarray, bits: int, part_bits: int = 0, part: int = 0):
+        self.bits, self.part_bits, self.part = bitmap, np.uint64(part_bits), np.uint64(part)
+        self.shift, self.coarse_shift = np.uint64(64 - bits), np.uint64(66 - bits)
+        self.coarse = np.unpackbits(bitmap, bitorder="little").reshape(-1, 4).any(axis=1)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        maybe = np.flatnonzero(self.coarse[(h >> np.uint64(66 - BITS)).astype(np.int64)])
-        slot = (h[maybe] >> np.uint64(64 - BITS)).astype(np.int64)
+        if self.part_bits:
+            mine = np.flatnonzero((h >> (np.uint64(64) - self.part_bits)) == self.part)
+            return mine[self._hits(h[mine] << self.part_bits)]
+        return self._hits(h)
+
+    def _hits(self, h: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(self.coarse[(h >> self.coarse_shift).astype(np.int64)])
+        slot = (h[maybe] >> self.shift).astype(np.int64)
         return maybe[((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)]
 
 
-def _count(texts: list[tuple[str, str, bool]], only: _Filter, roller: _Roller, ids: _Ids) -> tuple[np.ndarray, ...]:
-    """For the contexts in ``only``: uses, uses before an end, uses before the end of a word.
+def _count(texts: list[tuple[str, str, str, int]], only: _Filter, roller: _Roller, ids: _Ids) -> tuple[np.ndarray, ...]:
+    """For the contexts in ``only``: uses, uses before an end, before the end of a word, before one at a
+    spike, and the shortest and longest text that ends so (0 and -1 without one).
 
-    ``texts`` are ``(field, body, trusted)``; the end of a text that is not trusted ends nothing.
+    ``texts`` are ``(field, body, mark, length of the whole text)``; the end of a text that is not trusted ends nothing.
     """
-    hs, es, bs = [], [], []
-    salted = [_salted(f, b) for f, b, _ in texts]
-    joined = "".join(s + ("\x04" if ok else "\x05") for s, (_, _, ok) in zip(salted, texts)) + "\x05\x05"
+    hs, es, bs, ls = [], [], [], []
+    salted = [_salted(f, b) for f, b, _, _ in texts]
+    joined = "".join(s + mark for s, (_, _, mark, _) in zip(salted, texts)) + 2 * _CUT
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    after = np.append(raw[1:], np.uint32(5))
+    after = np.append(raw[1:], np.uint32(ord(_CUT)))
     small = np.minimum(raw, 127)
     end = _ENDS[small] & (raw < 128)
     stop = (raw == 46) | (raw == 33) | (raw == 63)
@@ -226,8 +243,13 @@ def _count(texts: list[tuple[str, str, bool]], only: _Filter, roller: _Roller, i
     end[stop & ~(_FOLLOWED[np.minimum(after, 127)] & (after < 128))] = False
     end[(raw == 32) & ((after == 33) | (after == 63))] = True
     end[raw == 0x2026] = True
+    # so does a smile
+    smile = ((after[:-1] == 58) | (after[:-1] == 59)) & _MOUTH[np.minimum(after[1:], 127)]
+    end[:-1][(raw[:-1] == 32) & smile] = True
     # beyond ASCII all but a few marks are letters of words here; an untrusted end is neither
     border = _BORDER[small] & (raw < 128)
+    sizes = np.array([n for _, _, _, n in texts] + [0])
+    bounds = np.cumsum([len(s) + 1 for s in salted]) - 1
     for n, h in roller.all(joined).items():
         hit = only.hits(h)
         pos = hit + n
@@ -235,14 +257,16 @@ def _count(texts: list[tuple[str, str, bool]], only: _Filter, roller: _Roller, i
         hs.append(h[hit[inside]])
         es.append(end[pos[inside]])
         bs.append(border[pos[inside]])
+        at = pos[inside]
+        ls.append(np.where(raw[at] == ord(_AT_SPIKE), sizes[np.searchsorted(bounds, at)], 0))
     ks, stops = [], []
     gap = [0] * (max(x[-1] for x in MASKS) + 1)
-    for s, (_, _, ok) in zip(salted, texts):
+    for s, (_, _, mark, _) in zip(salted, texts):
         tokens = _TOKEN.findall(s)
         ks += map(ids.__getitem__, tokens)
         ks += gap
         stops += [t in _STOPS for t in tokens[1:]]
-        stops.append(ok)
+        stops.append(mark == _TRUSTED)
         stops += [False] * len(gap)
     k, e = np.array(ks, np.uint64), np.array(stops, bool)
     for m, h in _word_hashes(k).items():
@@ -250,8 +274,16 @@ def _count(texts: list[tuple[str, str, bool]], only: _Filter, roller: _Roller, i
         hs.append(h[hit])
         es.append(e[hit + MASKS[m - MASK][-1]])
         bs.append(np.ones(len(hit), bool))
+        ls.append(np.zeros(len(hit), np.int64))
     u, inv = np.unique(np.concatenate(hs), return_inverse=True)
-    return u.view(np.int64), np.bincount(inv), np.bincount(inv, weights=np.concatenate(es)), np.bincount(inv, weights=np.concatenate(bs))
+    size = np.concatenate(ls)
+    low, high = np.full(len(u), 1 << 30), np.full(len(u), -1)
+    ends = np.flatnonzero(size)
+    np.minimum.at(low, inv[ends], size[ends])
+    np.maximum.at(high, inv[ends], size[ends])
+    low[high < 0] = 0
+    weigh = lambda x: np.bincount(inv, weights=x, minlength=len(u))
+    return u.view(np.int64), np.bincount(inv, minlength=len(u)), weigh(np.concatenate(es)), weigh(np.concatenate(bs)), weigh(size > 0), low, high
 
 
 def length_spikes(rows: DataFrame, least: int = 12, factor: float = 6.0, reach: int = 6) -> DataFrame:
@@ -312,30 +344,39 @@ def _judged(rows: DataFrame) -> DataFrame:
     tails = ended.where("cut is null").select(
         "src_table", "row_id", "source", "spike", F.explode(F.arrays_zip("orders", "hashes")).alias("z")
     ).select("src_table", "row_id", "source", "spike", F.col("z.orders").alias("order"), F.col("z.hashes").alias("h"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(tails))
+    slots = SLOTS_EACH * tails.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, slots.bit_length()))
+    part_bits = max(0, slots.bit_length() - MOST_BITS)
 
     # repeated texts are counted once; a text at a spike in one source is not trusted in any
     same = F.unhex(F.sha2("text", 256))
     texts = marked.where("text <> ''").groupBy("field", same.alias("_d")).agg(F.first("text").alias("text"), F.bool_or("spike").alias("spike"))
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roller, ids, only = _Roller(), _Ids(), _Filter(bitmap.value)
-        for pdf in it:
-            part = []
-            for field, text, spike in zip(pdf["field"], pdf["text"], pdf["spike"]):
-                status, body, _ = ending(text)
-                # the end of a text at a spike, or of a cut one, is no end
-                part.append((field, body or text, status != "cut" and not spike))
-            h, n, e, b = _count(part, only, roller, ids)
-            yield pd.DataFrame({"h": h, "n": n, "e": e, "b": b})
-
-    counts = texts.select("field", "text", "spike").mapInPandas(count, "h long, n double, e double, b double")
-    counts = counts.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "e", "b")])
+    def counted(part: int) -> DataFrame:
+        bitmap = spark.sparkContext.broadcast(_bitmap(tails, bits, part_bits, part))
+
+        def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            roller, ids, only = _Roller(), _Ids(), _Filter(bitmap.value, bits, part_bits, part)
+            for pdf in it:
+                rows = []
+                for field, text, spike in zip(pdf["field"], pdf["text"], pdf["spike"]):
+                    status, body, _ = ending(text)
+                    # the end of a text at a spike, or of a cut one, is no end
+                    rows.append((field, body or text, _CUT if status == "cut" else _AT_SPIKE if spike else _TRUSTED, len(text)))
+                yield pd.DataFrame(dict(zip(("h", "n", "e", "b", "u", "low", "high"), _count(rows, only, roller, ids))))
+
+        return texts.select("field", "text", "spike").mapInPandas(count, "h long, n double, e double, b double, u double, low int, high int")
+
+    counts = counted(0)
+    for part in range(1, 1 << part_bits):
+        counts = counts.unionByName(counted(part))
+    counts = counts.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "e", "b", "u")], F.min(F.when(F.col("high") >= 0, F.col("low"))).alias("low"), F.max("high").alias("high"))
     used = tails.join(counts, "h", "left")
     # the text itself is taken out of its context's counts
     own = F.when(F.col("spike"), 0.0).otherwise(1.0)
-    less = lambda c, by: F.greatest(F.coalesce(F.col(c), by) - by, F.lit(0.0)).alias(c)
-    step = F.struct(F.col("order").alias("o"), less("n", F.lit(1.0)), less("e", own), less("b", own))
+    at_spike = F.when(F.col("spike"), F.greatest(F.coalesce("u", F.lit(0.0)) - 1.0, F.lit(0.0))).otherwise(0.0)
+    less = lambda c, by: F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - by, F.lit(0.0)).alias(c)
+    step = F.struct(F.col("order").alias("o"), less("n", F.lit(1.0)), less("e", own), less("b", own), (F.greatest(F.coalesce("e", F.lit(0.0)) - own, F.lit(0.0)) + at_spike).alias("a"), F.coalesce(F.col("low") < F.col("high"), F.lit(False)).alias("many"))
     folded = used.groupBy("src_table", "row_id", "source", "spike").agg(F.sort_array(F.collect_list(step)).alias("s"))
 
     def share(part: Column, c: str, prior: float) -> Column:
@@ -345,18 +386,20 @@ def _judged(rows: DataFrame) -> DataFrame:
     words = F.filter("s", lambda x: x["o"] >= MASK)
     after_words = F.coalesce(F.array_max(F.transform(words, lambda x: (x["e"] + 0.04) / (x["n"] + 2.0))), F.lit(0.02))
     model = folded.select(
-        "src_table", "row_id", "source", "spike", share(chars, "e", 0.02).alias("share"), share(chars, "b", 0.5).alias("border"), after_words.alias("words")
+        "src_table", "row_id", "source", "spike", share(chars, "e", 0.02).alias("share"), F.when(F.exists(chars, lambda x: x["many"] & (x["o"] > ORDERS[0])), share(chars, "a", 0.02)).otherwise(0.0).alias("closing"), share(chars, "b", 0.5).alias("border"), after_words.alias("words")
     )
     off = ((F.col("share") < OFF_SPIKE) & ((F.col("words") < AFTER_WORDS) | (F.col("border") < NEAR_WORD))) | ((F.col("border") < IN_WORD) & (F.col("share") < 0.1))
-    verdict = model.select("src_table", "row_id", "source", F.when(F.col("spike"), F.col("share") < AT_SPIKE).otherwise(off).alias("cut"))
+    verdict = model.select("src_table", "row_id", "source", F.when(F.col("spike"), (F.col("share") < AT_SPIKE) & (F.col("closing") < CLOSING)).otherwise(off).alias("cut"))
     return verdict.unionByName(ended.where("cut").select("src_table", "row_id", "source", "cut"))
 
 
-def _bitmap(tails: DataFrame) -> np.ndarray:
-    """Slots of the contexts to be counted: 2^24 bits, whatever the input."""
-    slot = F.shiftrightunsigned("h", 64 - BITS)
-    words = tails.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITS}) & 63))").alias("b"))
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+def _bitmap(tails: DataFrame, bits: int, part_bits: int = 0, part: int = 0) -> np.ndarray:
+    """Slots of the contexts to be counted, of one range of hashes: ``2 ** bits`` bits."""
+    if part_bits:
+        tails = tails.where(F.shiftrightunsigned("h", 64 - part_bits) == part)
+    slot = F.shiftrightunsigned(F.shiftleft("h", part_bits), 64 - bits)
+    words = tails.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(shiftleft(h, {part_bits}), {64 - bits}) & 63))").alias("b"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
     pdf = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     if len(pdf):
         out[pdf["w"].to_numpy()] = pdf["b"].to_numpy().view(np.uint64)

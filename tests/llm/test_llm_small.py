@@ -342,6 +342,38 @@ PROBES = [
 ]
 
 
+def test_cuts_are_the_same_in_passes(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(5, 40))) + rnd.choice((".", "", "!")) for _ in range(400)]
+    rows = [("t", i, "s", "content", x if i % 9 else x[:50]) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "src_table string, row_id long, source string, field string, text string")
+    one = {tuple(r) for r in truncation.cut_rows(df).collect()}
+    monkeypatch.setattr(truncation, "MOST_BITS", 12)
+    monkeypatch.setattr(truncation, "LEAST_BITS", 10)
+    assert one and {tuple(r) for r in truncation.cut_rows(df).collect()} == one
+
+
+def test_closings_at_a_limit_are_whole(spark):
+    rnd = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    body = lambda n: (". ".join(" ".join(rnd.choices(words, k=8)) for _ in range(60)))[:n].rstrip(" .")
+    rows = []
+    for i in range(600):
+        limit, source = ((120, "a"), (200, "b"))[i % 2]
+        if i % 3 == 0:
+            text = ". ".join(" ".join(rnd.choices(words, k=8)) for _ in range(60))[:limit]  # cut
+        elif i % 15 == 1:
+            end = ". Hope it works"
+            text = body(limit - len(end)).ljust(limit - len(end), "x") + end  # whole, at the limit
+        else:
+            text = ". ".join(" ".join(rnd.choices(words, k=8)) for _ in range(1 + i % 4)) + "."
+        rows.append(("t", i, source, "content", text))
+    df = spark.createDataFrame(rows, "src_table string, row_id long, source string, field string, text string")
+    cut = {r["row_id"] for r in truncation.cut_rows(df).collect()}
+    assert not cut & {i for i in range(600) if i % 3 and i % 15 == 1} and len(cut & set(range(0, 600, 3))) > 180
+
+
 @pytest.mark.parametrize("line, secret", PROBES)
 def test_secret_or_not(line, secret):
     assert bool(secrets.scan(line, secrets.dictionary())) == secret
