@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from lodestone.session import bounded_broadcast, materialize
 SLOTS = 1 << 14
 #: Labelled rows the language model is fitted on, at most, for each language.
 FIT_ROWS = 2000
+#: Rows delivered again under one id that may be left to the sorted pass.
+COPIES = 1000
 _FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
 _SPANS = re.compile(r"`[^`\n]*`")
 _MARKUP = re.compile(r"<code>.*?(?:</code>|\Z)|<[^<>\n]{1,80}>", re.S)
@@ -33,8 +36,8 @@ _CODE_LINES = re.compile(r"^(?:>>>|\$ | {4}|\t).*$", re.M)
 _MARKS = ".,;:!?…()[]{}<>\"“”„«»¿¡-–—*_/|"
 
 
-def prose(text: str) -> list[str]:
-    """Words of a text outside of code, links, markup and identifiers, in lower case."""
+def tokens(text: str) -> list[str]:
+    """What stands between blanks in a text, outside of code, links and markup."""
     if "`" in text:
         text = _SPANS.sub(" ", _FENCED.sub(" ", text))
     if "<" in text:
@@ -43,9 +46,18 @@ def prose(text: str) -> list[str]:
         text = _LINKS.sub(" ", text)
     if "\n" in text or text.startswith((" ", "\t", ">>>", "$ ")):
         text = _CODE_LINES.sub(" ", text)
-    words = [w.strip(_MARKS) for w in text.replace("'", " ").replace("’", " ").split()]
-    # digits and underscores make an identifier, and so do humps
-    return [w if w.islower() else w.lower() for w in words if w.isalpha() and (w.islower() or w.istitle() or w.isupper())]
+    return text.replace("'", " ").replace("’", " ").split()
+
+
+def word_of(token: str) -> str:
+    """The word of a token in lower case, or nothing: digits, underscores and humps make an identifier."""
+    w = token.strip(_MARKS)
+    return w.lower() if w.isalpha() and (w.islower() or w.istitle() or w.isupper()) else ""
+
+
+def prose(text: str) -> list[str]:
+    """Words of a text outside of code, links, markup and identifiers, in lower case."""
+    return [w for w in map(word_of, tokens(text)) if w]
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,32 +83,40 @@ class LanguageModel:
             slots, _ = _grams([w for l, text in samples if l == lang for w in prose(text)])
             n = np.bincount(slots, minlength=SLOTS) + 0.05
             self.log[:, i] = np.log(n / n.sum())
+        self._forget()
+
+    def _forget(self) -> None:
+        # the first row is that of a token that is no word
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.languages)), np.float32)
+        self.table = np.zeros((1, len(self.languages)), np.float32)
 
-    def _learn(self, words: set[str]) -> None:
-        """Log-likelihoods of new words; each distinct word of a worker is computed once."""
+    def _learn(self, tokens_: set[str]) -> None:
+        """Log-likelihoods of new tokens; each distinct token of a worker is looked at once."""
         if len(self.known) > 500_000:
-            self.known, self.table = {}, self.table[:0]
-        new = [w for w in words if w not in self.known]
+            self._forget()
+        new = [(t, w) for t in tokens_ if t not in self.known for w in (word_of(t),)]
+        self.known.update((t, 0) for t, w in new if not w)
+        new = [(t, w) for t, w in new if w]
         if new:
-            slots, owner = _grams(new)
+            slots, owner = _grams([w for _, w in new])
             got = np.zeros((len(new), len(self.languages)), np.float32)
             np.add.at(got, owner, self.log[slots])
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.known.update(zip((t for t, _ in new), range(len(self.table), len(self.table) + len(new))))
             self.table = np.concatenate([self.table, got])
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """Log-likelihoods of texts given as words, a row for each; zeros for an empty one."""
+        """Log-likelihoods of texts given as :func:`tokens`, a row for each; zeros without a word."""
         out = np.zeros((len(texts), len(self.languages)))
         full = [k for k, t in enumerate(texts) if t]
         if full and self.languages:
-            flat = [w for k in full for w in texts[k]]
-            if len(self.known) > 500_000 or not all(map(self.known.__contains__, flat)):
+            flat = list(chain.from_iterable(texts[k] for k in full))
+            try:
+                at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            except KeyError:
                 self._learn(set(flat))
-            at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+                at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
             starts = np.cumsum([0, *(len(texts[k]) for k in full)])[:-1]
-            out[full] = np.add.reduceat(self.table[at], starts, axis=0)
+            out[full] = np.add.reduceat(self.table[at], starts, axis=0, dtype=np.float64)
         return out
 
 
@@ -237,7 +257,7 @@ def language_differs(model: LanguageModel, pairs: list[tuple[str, str]], margin:
     """
     if not pairs or len(model.languages) < 2:
         return [False] * len(pairs)
-    texts = [prose(t) for pair in pairs for t in pair]
+    texts = [tokens(t) for pair in pairs for t in pair]
     s = model.scores(texts)
     q, a = s[0::2], s[1::2]
     i, j = q.argmax(axis=1), a.argmax(axis=1)
@@ -251,18 +271,17 @@ def _deduplicated(messages: DataFrame) -> DataFrame:
 
     Contents stay where they are: keys and ids alone are aggregated, and what was sent again is
     taken out by a join with the keys that occur more than once (broadcast while these are few).
+    Up to ``COPIES`` rows of one id are left in and follow each other when sorted.
     """
-    m = messages.where("session_id is not null").select(
-        "session_id", clean_role(F.col("role")).alias("role"), "created_at", "id", "content", F.xxhash64("content", F.lit(1)).alias("d1"), F.xxhash64("content", F.lit(2)).alias("d2")
-    )
-    keys = [F.xxhash64("session_id", "role", "created_at", "d1", "d2", F.lit(s), F.col("content").isNull()).alias(f"k{s}") for s in (1, 2)]
-    m = m.select("session_id", "role", "created_at", "id", "content", *keys)
-    again = m.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n")
-    again = bounded_broadcast(materialize(again), 500_000)
-    left = m.join(again, ["k1", "k2"], "left").where("first is null or first <=> id")
-    # a row delivered twice has one id: the few that are left are told apart by their keys
-    twice = left.where("first is not null").dropDuplicates(["k1", "k2"])
-    return left.where("first is null").unionByName(twice).select("session_id", "role", "created_at", "id", "content")
+    role = clean_role(F.col("role"))
+    keys = [F.xxhash64("session_id", role, "created_at", "content", F.col("content").isNull(), F.lit(s)).alias(f"k{s}") for s in (1, 2)]
+    m = messages.where("session_id is not null").select("session_id", role.alias("role"), "created_at", "id", "content", *keys)
+    again = materialize(m.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
+    left = m.join(bounded_broadcast(again, 500_000), ["k1", "k2"], "left").where("first is null or first <=> id")
+    if again.where(F.col("n") > COPIES).limit(1).count():
+        # more copies under one id than may fall to one block
+        left = left.where(F.coalesce("n", F.lit(0)) <= COPIES).unionByName(left.where(F.col("n") > COPIES).dropDuplicates(["k1", "k2"]))
+    return left.select("session_id", "role", "created_at", "id", "content")
 
 
 _PAIR = "kind string, session_id long, at long, id long, role string, content string, answer_id long, defect string"
@@ -312,6 +331,8 @@ def answer_defects(messages: DataFrame, documents: DataFrame, margin: float = 10
             for row in zip(*(pdf[c] for c in fields)):
                 if before is None:
                     out.append(("first", *row, None, None))
+                elif before[2:4] == row[2:4] and before[:2] == row[:2] and before[4] == row[4]:
+                    continue  # delivered again
                 elif before[0] == row[0] and before[3] == "user" and row[3] == "assistant":
                     met.append((before[4], row[4], row))
                 before = row

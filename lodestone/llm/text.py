@@ -16,7 +16,7 @@ def is_blank(c: Column) -> Column:
 
 def clean_role(c: Column) -> Column:
     """Lower case without outer white space; null stays null."""
-    return F.lower(F.regexp_replace(c, "(?U)^\\s+|\\s+$", ""))
+    return F.when(c.isin("user", "assistant"), c).otherwise(F.lower(F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")))
 
 
 def deduplicated_messages(messages: DataFrame, *keep: str) -> DataFrame:

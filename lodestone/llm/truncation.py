@@ -36,9 +36,9 @@ AT_SPIKE, OFF_SPIKE, AFTER_WORDS = 0.25, 0.015, 0.25
 CLOSING = 0.75
 #: Below these shares of word ends among its uses, a context stops surely, or likely, inside a word.
 IN_WORD, NEAR_WORD = 0.02, 0.3
-#: The filter of contexts has this many slots for each, from 2^20 to 2^27 in all; beyond that, contexts
-#: are counted in passes over ranges of their hashes.
-SLOTS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 27
+#: The filter of contexts has this many slots for each, from 2^20 to 2^27 in all; where that leaves less
+#: than ``SLOTS_LEAST`` for each, contexts are counted in passes over ranges of their hashes.
+SLOTS_EACH, SLOTS_LEAST, LEAST_BITS, MOST_BITS = 256, 16, 20, 27
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -344,9 +344,9 @@ def _judged(rows: DataFrame) -> DataFrame:
     tails = ended.where("cut is null").select(
         "src_table", "row_id", "source", "spike", F.explode(F.arrays_zip("orders", "hashes")).alias("z")
     ).select("src_table", "row_id", "source", "spike", F.col("z.orders").alias("order"), F.col("z.hashes").alias("h"))
-    slots = SLOTS_EACH * tails.agg(F.approx_count_distinct("h")).first()[0]
-    bits = min(MOST_BITS, max(LEAST_BITS, slots.bit_length()))
-    part_bits = max(0, slots.bit_length() - MOST_BITS)
+    contexts = tails.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (SLOTS_EACH * contexts).bit_length()))
+    part_bits = max(0, (SLOTS_LEAST * contexts).bit_length() - MOST_BITS)
 
     # repeated texts are counted once; a text at a spike in one source is not trusted in any
     same = F.unhex(F.sha2("text", 256))
