@@ -25,7 +25,8 @@ from lodestone.session import bounded_broadcast, materialize
 
 #: Lengths of the character contexts.
 ORDERS = (5, 9, 15, 25)
-#: Contexts of words before the last, as distances from the end; the last word itself may be any.
+#: Contexts of words before the last, as distances from the end; the last word itself may be any. What
+#: extends another comes after it.
 MASKS = ((1, 2), (1, 2, 3), (1, 3), (1, 3, 4))
 #: Code of the first mask among the orders.
 MASK = 100
@@ -97,7 +98,7 @@ def ending(text: str | None) -> tuple[str, str, bool]:
 
 
 _TOKEN = re.compile(r"[\x01-\x03]|`x`|[^\W\d]\w*|0|[^\w\s]|\n")
-_STOPS = frozenset(".!?…\n")
+_STOPS = (*".!?…\n", "\x04")
 
 
 class _Roller:
@@ -106,8 +107,8 @@ class _Roller:
     def __init__(self):
         self.power = self.inverse = np.ones(1, np.uint64)
 
-    def all(self, text: str) -> dict[int, np.ndarray]:
-        """Order -> hash of the characters before each position from the order on."""
+    def read(self, text: str) -> None:
+        """Take ``text`` as the string that :meth:`before` looks at."""
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         if len(self.power) <= len(c):
             base = np.full(max(len(c) + 1, 1 << 16), _B, np.uint64)
@@ -117,16 +118,15 @@ class _Roller:
             self.inverse = np.cumprod(base, dtype=np.uint64)
         x = (c * np.uint64(0xD6E8FEB86659FD93)) ^ (c << np.uint64(40))
         x *= self.power[: len(c)]
-        prefix = np.zeros(len(c) + 1, np.uint64)
-        np.cumsum(x, out=prefix[1:])
-        out = {}
-        for n in ORDERS:
-            if len(c) >= n:
-                h = prefix[n:] - prefix[:-n]
-                h *= self.inverse[: len(h)]
-                h *= np.uint64((n * 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF)
-                out[n] = h
-        return out
+        self.prefix = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(x, out=self.prefix[1:])
+
+    def before(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the ``n`` characters before each of the positions ``at``, which are ``n`` or more."""
+        h = self.prefix[at] - self.prefix[at - n]
+        h *= self.inverse[at - n]
+        h *= np.uint64((n * 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF)
+        return h
 
 
 class _Ids(dict):
@@ -139,19 +139,13 @@ class _Ids(dict):
         return h
 
 
-def _word_hashes(k: np.ndarray) -> dict[int, np.ndarray]:
-    """Mask -> hash of the words it names before each position from the mask's reach on."""
-    out = {}
-    for m, mask in enumerate(MASKS):
-        reach = mask[-1] + 1
-        if len(k) >= reach:
-            n = len(k) - reach + 1
-            h = np.full(n, m + 1, np.uint64)
-            for d in mask:
-                h = (h ^ k[reach - 1 - d : reach - 1 - d + n]) * _B
-                h ^= h >> np.uint64(31)
-            out[MASK + m] = h * _B
-    return out
+def _words_before(k: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the words that mask ``m`` names before each of the tokens ``at``, in its reach or more."""
+    h = np.full(len(at), m + 1, np.uint64)
+    for d in MASKS[m]:
+        h = (h ^ k[at - d]) * _B
+        h ^= h >> np.uint64(31)
+    return h * _B
 
 
 _SALT = {"content": "\x01", "title": "\x02"}
@@ -176,9 +170,10 @@ def _tails(texts: list[tuple[str, str]], roller: _Roller, ids: _Ids) -> list[lis
     ends = np.cumsum([len(h) for h in heads])
     size = np.array([len(h) for h in heads])
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for n, h in roller.all("".join(heads)).items():
+    roller.read("".join(heads))
+    for n in ORDERS:
         at = np.flatnonzero(size >= n)
-        for i, x in zip(at.tolist(), h[ends[at] - n].view(np.int64).tolist()):
+        for i, x in zip(at.tolist(), roller.before(ends[at], n).view(np.int64).tolist()):
             out[i].append((n, x))
     back = max(x[-1] for x in MASKS) + 1
     # the last few tokens: of a text whose end holds fewer, all of it is read
@@ -186,11 +181,11 @@ def _tails(texts: list[tuple[str, str]], roller: _Roller, ids: _Ids) -> list[lis
     tokens = [t if len(t) == back or len(s) <= 300 else _TOKEN.findall(s)[-back:] for t, s in zip(tokens, salted)]
     ends = np.cumsum([len(t) for t in tokens])
     size = np.array([len(t) for t in tokens])
-    for m, h in _word_hashes(np.array([ids[t] for ts in tokens for t in ts], np.uint64)).items():
-        n = MASKS[m - MASK][-1] + 1
-        at = np.flatnonzero(size >= n)
-        for i, x in zip(at.tolist(), h[ends[at] - n].view(np.int64).tolist()):
-            out[i].append((m, x))
+    k = np.array([ids[t] for ts in tokens for t in ts], np.uint64)
+    for m, mask in enumerate(MASKS):
+        at = np.flatnonzero(size > mask[-1])
+        for i, x in zip(at.tolist(), _words_before(k, ends[at] - 1, m).view(np.int64).tolist()):
+            out[i].append((MASK + m, x))
     return out
 
 
@@ -250,31 +245,33 @@ def _count(texts: list[tuple[str, str, str, int]], only: _Filter, roller: _Rolle
     border = _BORDER[small] & (raw < 128)
     sizes = np.array([n for _, _, _, n in texts] + [0])
     bounds = np.cumsum([len(s) + 1 for s in salted]) - 1
-    for n, h in roller.all(joined).items():
+    roller.read(joined)
+    every = at = np.arange(ORDERS[0], len(raw))
+    for n in ORDERS:
+        # a text with a longer context has the shorter ones too: only where these are counted
+        at = every[n - ORDERS[0] :] if only.part_bits else at[at >= n]
+        h = roller.before(at, n)
         hit = only.hits(h)
-        pos = hit + n
-        inside = pos < len(end)
-        hs.append(h[hit[inside]])
-        es.append(end[pos[inside]])
-        bs.append(border[pos[inside]])
-        at = pos[inside]
+        at = at[hit]
+        hs.append(h[hit])
+        es.append(end[at])
+        bs.append(border[at])
         ls.append(np.where(raw[at] == ord(_AT_SPIKE), sizes[np.searchsorted(bounds, at)], 0))
-    ks, stops = [], []
-    gap = [0] * (max(x[-1] for x in MASKS) + 1)
-    for s, (_, _, mark, _) in zip(salted, texts):
-        tokens = _TOKEN.findall(s)
-        ks += map(ids.__getitem__, tokens)
-        ks += gap
-        stops += [t in _STOPS for t in tokens[1:]]
-        stops.append(mark == _TRUSTED)
-        stops += [False] * len(gap)
-    k, e = np.array(ks, np.uint64), np.array(stops, bool)
-    for m, h in _word_hashes(k).items():
+    # the marks between the texts are tokens too: what reaches over one is counted nowhere
+    tokens = _TOKEN.findall(joined)
+    k = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
+    e = np.append(np.isin(k[1:], [np.uint64(ids[t]) for t in _STOPS]), False)
+    met: dict[tuple, np.ndarray] = {}
+    for m, mask in enumerate(MASKS):
+        at = met.get(mask[:-1]) if not only.part_bits else None
+        at = np.arange(mask[-1], len(k)) if at is None else at[at >= mask[-1]]
+        h = _words_before(k, at, m)
         hit = only.hits(h)
+        met[mask] = at = at[hit]
         hs.append(h[hit])
-        es.append(e[hit + MASKS[m - MASK][-1]])
-        bs.append(np.ones(len(hit), bool))
-        ls.append(np.zeros(len(hit), np.int64))
+        es.append(e[at])
+        bs.append(np.ones(len(at), bool))
+        ls.append(np.zeros(len(at), np.int64))
     u, inv = np.unique(np.concatenate(hs), return_inverse=True)
     size = np.concatenate(ls)
     low, high = np.full(len(u), 1 << 30), np.full(len(u), -1)
