@@ -1,29 +1,33 @@
 """Problem 7: near-duplicate records with small edits, by PartEnum signatures.
 
 A record is the set of its runs of three successive words. Sets are put into bands of similar size;
-within a band the domain of runs is hashed into partitions, and what a set holds of one partition is
-a signature: two sets whose symmetric difference is small agree, untouched, on many partitions.
+within a band the domain of runs is hashed into partitions, partitions into groups of ``OF``, and of
+each group every subset of ``TAKE`` partitions is a signature of what a set holds there: two sets
+whose symmetric difference is small agree, untouched, on such a subset of many groups, and one shared
+signature makes them a candidate.
 
 * Equal sets are one class from the start; classes are compared, sessions are written out last.
 * Band ``b`` holds sizes in ``(HIGH[b] * t, HIGH[b]]`` and a set signs for its own band and the next,
   so any pair at the threshold ``t`` meets in a band. The band's domain is thinned by hash to about
-  ``DOMAIN`` runs of a full set and cut into ``PARTS`` partitions.
-* A partition holding a run that no other set has can agree with nothing. A sketch of fixed size
-  (two bits of information for each of 2^27 slots) tells such runs, which leaves few signatures.
-* Pairs that share at least ``SHARED`` signatures are verified exactly on the full sets. With the
-  constants below a pair at the threshold shares over 10 in expectation and is missed with a
-  probability below 1e-3, a pair at 0.7 below 1e-7; small sets (under ``SMALL`` runs) are signed by
-  exact prefixes instead and are never missed. Prefixes follow one order of all runs, those of no
-  other set first; these need no signature. One shared prefix run makes a candidate, unless what
-  follows it in the two sets is too short for the threshold.
-* A band's signature of more than ``HOT`` sets is refined by a second one before pairs are written; a
-  prefix run of more than ``HOT`` sets is cut into blocks of sets and each two blocks are compared.
+  ``DOMAIN`` runs of a full set.
+* A sketch of fixed size counts in how many texts each run occurs. A subset with a run that no other
+  text has can agree with nothing and is left out, which leaves few signatures. Of a subset's runs one
+  at least occurs in ``HOT`` texts or fewer, so no signature is shared by more, and no group of sets is
+  larger, whatever the data.
+* A set with a subset that holds hot runs only is also signed by its exact prefix, as are all small
+  sets (under ``SMALL`` runs), and such pairs are never missed. Prefixes follow one order of all runs:
+  those of no other text, which need no signature, the others, the hot ones. One shared prefix run
+  makes a candidate, unless what follows it in the two sets is too short for the threshold. Hot runs
+  reach a prefix only where little else is in a set; then sets are compared block by block.
+* For sets of ``SMALL`` runs and more a pair at the threshold shares signatures of 12 groups or more
+  in expectation; the chance to share none is estimated below 1e-5. Candidates are verified exactly.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,8 +38,13 @@ from pyspark.sql import functions as F
 from lodestone.session import bounded_broadcast, materialize
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-PARTS, DOMAIN, SHARED, SMALL, HOT = 160, 640, 2, 64, 256
-SLOT_BITS, RANGES = 27, 64
+#: Groups of partitions, partitions of a group, and how many of them a signature takes.
+GROUPS, OF, TAKE = 40, 3, 2
+PARTS, DOMAIN, SMALL, HOT = GROUPS * OF, 200, 64, 256
+SUBSETS = tuple(combinations(range(OF), TAKE))
+#: Least runs of a signature.
+RUNS = 2
+SLOT_BITS = 27
 _U = np.uint64
 
 
@@ -70,47 +79,90 @@ def _bands(n: int, threshold: float) -> list[tuple[int, float]]:
     return [(k, threshold**-k) for k in (b, b + 1)]
 
 
-def _signatures(runs: np.ndarray, threshold: float, seen_twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of one set and their places; what holds a run of no other set is left out.
+class Sketch:
+    """What is known of a run's frequency: in one text, in several, in more than ``HOT`` (by slots)."""
+
+    def __init__(self, twice: np.ndarray, hot: np.ndarray):
+        self.twice, self.hot = twice, hot
+
+    def rank(self, runs: np.ndarray) -> np.ndarray:
+        """0 for runs of one text, 1 for those of several, 2 for hot ones."""
+        slots = runs >> _U(64 - SLOT_BITS)
+        at, bit = (slots >> _U(3)).astype(np.int64), (slots & _U(7)).astype(np.uint8)
+        return ((self.twice[at] >> bit) & 1) + ((self.hot[at] >> bit) & 1)
+
+
+def _part_enum(runs: np.ndarray, rank: np.ndarray, band: int, high: float) -> tuple[np.ndarray, bool]:
+    """Signatures of one set for one band, and whether a subset holds hot runs only."""
+    key = _mix(runs + _U(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    # two sets meet in a band on the same thinned domain
+    keep = (key >> _U(40)) < _U(int(min(1.0, DOMAIN / high) * (1 << 24)))
+    key, rank = key[keep], rank[keep]
+    part = ((key & _U(0xFFFFFF)) % _U(PARTS)).astype(np.int64)
+    kinds = np.bincount(part * 3 + rank, minlength=PARTS * 3).reshape(GROUPS, OF, 3)
+    total = np.zeros(PARTS, _U)
+    np.add.at(total, part, _mix(key))
+    total = total.reshape(GROUPS, OF)
+    out, hot = [], False
+    for n, subset in enumerate(SUBSETS):
+        some = kinds[:, subset].sum(axis=1)
+        whole = (some[:, 0] == 0) & (some.sum(axis=1) >= RUNS)
+        bounded = whole & (some[:, 1] > 0)
+        hot = hot or bool((whole & ~bounded).any())
+        group = np.flatnonzero(bounded)
+        h = (group + (band * len(SUBSETS) + n) * GROUPS).astype(_U)
+        for p in subset:
+            h = _mix(h * _U(0x9E3779B97F4A7C15) + total[group, p])
+        out.append(h)
+    return np.concatenate(out), hot
+
+
+def _prefix(runs: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the exact prefix, and their positions in it: the first ``1 - t`` of two sets at the
+    threshold share a run."""
+    n = len(runs)
+    first = np.argsort(rank, kind="stable")[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
+    at = np.flatnonzero(rank[first])
+    return _mix(runs[first[at]] ^ _U(0xA5A5A5A5A5A5A5A5)), at
+
 
-    The place of a prefix run is the set's size (from bit 16 up) and the run's position; -1 for a
+def _signatures(runs: np.ndarray, threshold: float, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set and their places.
+
+    The place of a prefix run is the set's size (from bit 32 up) and the run's position; -1 for a
     band's signature.
     """
     n = len(runs)
-    out, places = [], []
-    slots = runs >> _U(64 - SLOT_BITS)
-    common = (seen_twice[(slots >> _U(3)).astype(np.int64)] >> (slots & _U(7)).astype(np.uint8)) & 1
-    if n and n < SMALL / threshold:
-        # exact prefix: of two small sets at the threshold, the first 1 - t of each share a run
-        first = np.argsort(common, kind="stable")[: n - int(np.ceil(threshold * n - 1e-9)) + 1]
-        at = np.flatnonzero(common[first])
-        out.append(_mix(runs[first[at]] ^ _U(0xA5A5A5A5A5A5A5A5)))
-        places.append((n << 16) + at)
+    if not n:
+        return np.empty(0, _U), np.empty(0, np.int64)
+    rank = sketch.rank(runs)
+    out, hot = [], n < SMALL / threshold
     if n >= SMALL:
         for band, high in _bands(n, threshold):
-            key = _mix(runs + _U(band * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            # two sets meet in a band on the same thinned domain
-            keep = (key >> _U(40)) < _U(int(min(1.0, DOMAIN / high) * (1 << 24)))
-            key, ok = key[keep], common[keep]
-            part = (key & _U(0xFFFFFF)) % _U(PARTS)
-            p = part.astype(np.int64)
-            size = np.bincount(p, minlength=PARTS)
-            unique = np.bincount(p, weights=1 - ok, minlength=PARTS)
-            total = np.zeros(PARTS, _U)
-            np.add.at(total, p, _mix(key))
-            good = (size >= 2) & (unique == 0)
-            if good.any():
-                tag = _U((band * PARTS) << 8) + np.flatnonzero(good).astype(_U)
-                out.append(_mix(total[good] ^ _mix(tag)))
-                places.append(np.full(len(tag), -1))
-    if not out:
-        return np.empty(0, _U), np.empty(0, np.int32)
-    sigs, index = np.unique(np.concatenate(out), return_index=True)
-    return sigs, np.concatenate(places)[index].astype(np.int32)
-
-
-def _union_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sigs, only_hot = _part_enum(runs, rank, band, high)
+            out.append(sigs)
+            hot = hot or only_hot
+    places = [np.full(len(x), -1, np.int64) for x in out]
+    if hot:
+        sigs, at = _prefix(runs, rank, threshold)
+        out.append(sigs)
+        places.append((n << 32) + at)
+    return np.concatenate(out), np.concatenate(places)
+
+
+def _packed(sorted_slots: np.ndarray) -> bytes:
+    """Ascending numbers as differences, of two bytes each where these do."""
+    d = np.diff(sorted_slots, prepend=np.uint32(0))
+    return b"\x02" + d.astype(np.uint16).tobytes() if not len(d) or d.max() < 1 << 16 else b"\x04" + d.astype(np.uint32).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+
+
+def _union_rows(it: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
     """Class rows (id, set hash, size) and, by range of slots, the slots each batch's sets hold."""
+    width = (1 << SLOT_BITS) // ranges
     ids = _Ids()
     for pdf in it:
         rid, h1, h2, sizes, slots = [], [], [], [], []
@@ -140,8 +192,8 @@ def _union_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
         if slots:
             s = np.sort(np.concatenate(slots)).astype(np.uint32)
-            cut = np.searchsorted(s, np.arange(1, RANGES, dtype=np.uint64) << _U(SLOT_BITS - 6))
-            pieces = [(k, p) for k, p in enumerate(np.split(s, cut)) if len(p)]
+            cut = np.searchsorted(s, np.arange(1, ranges, dtype=np.int64) * width)
+            pieces = [(k, p - np.uint32(k * width)) for k, p in enumerate(np.split(s, cut)) if len(p)]
             yield pd.DataFrame(
                 {
                     "id": pd.array([None] * len(pieces), dtype="Int64"),
@@ -149,33 +201,46 @@ def _union_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "h2": 0,
                     "n": 0,
                     "range": pd.array([k for k, _ in pieces], dtype="Int32"),
-                    "slots": [p.tobytes() for _, p in pieces],
+                    "slots": [_packed(p) for _, p in pieces],
                 }
             )
 
 
-def _count_slots(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One bitmap for each range: the slots held at least twice. Memory is that of one range."""
-    width = 1 << (SLOT_BITS - 6)
-    now, once, twice = None, None, None
+def _count_slots(it: Iterator[pd.DataFrame], ranges: int, hot: int) -> Iterator[pd.DataFrame]:
+    """Two bitmaps for each range: slots held at least twice, and more than ``hot`` times.
+
+    Memory is that of one range's counts.
+    """
+    width = (1 << SLOT_BITS) // ranges
+    now, n = None, np.zeros(0, np.uint16)
 
     def done():
-        return pd.DataFrame({"range": [now], "bits": [np.packbits(twice, bitorder="little").tobytes()]})
+        bits = [np.packbits(n >= least, bitorder="little").tobytes() for least in (2, hot + 1)]
+        return pd.DataFrame({"range": [now], "twice": bits[:1], "hot": bits[1:]})
 
     for pdf in it:
         for k, raw in zip(pdf["range"].tolist(), pdf["slots"]):
             if k != now:
                 if now is not None:
                     yield done()
-                now, once, twice = k, np.zeros(width, bool), np.zeros(width, bool)
-            s = np.frombuffer(raw, np.uint32).astype(np.int64) - k * width
-            u, n = np.unique(s, return_counts=True)
-            twice[u[(n > 1) | once[u]]] = True
-            once[u] = True
+                now, n = k, np.zeros(width, np.uint16)
+            u, times = np.unique(_unpacked(raw), return_counts=True)
+            n[u] = np.minimum(n[u] + times, hot + 1)
     if now is not None:
         yield done()
 
 
+def _sketch(base: DataFrame, ranges: int, hot: int) -> Sketch:
+    """The sketch of all slots, made range by range in as many tasks; its size is fixed."""
+    twice, many = np.zeros(1 << (SLOT_BITS - 3), np.uint8), np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    step = len(twice) // ranges
+    parts = base.where("range is not null").select("range", "slots").repartition(ranges, "range").sortWithinPartitions("range")
+    for r in parts.mapInPandas(lambda it: _count_slots(it, ranges, hot), "range int, twice binary, hot binary").toLocalIterator():
+        at = slice(r["range"] * step, (r["range"] + 1) * step)
+        twice[at], many[at] = np.frombuffer(r["twice"], np.uint8), np.frombuffer(r["hot"], np.uint8)
+    return Sketch(twice, many)
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """``members`` (id, class) of all rows and ``links`` (class_a, class_b, jaccard) at the threshold.
 
@@ -185,70 +250,49 @@ def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, threshold:
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # as many ranges as tasks, at least 64 and at most 4,096
+    ranges = 1 << min(12, max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     base = materialize(
-        rows.mapInPandas(_union_rows, "id long, h1 long, h2 long, n int, range int, slots binary")
+        rows.mapInPandas(lambda it: _union_rows(it, ranges), "id long, h1 long, h2 long, n int, range int, slots binary")
     )
     one = base.where("id is not null").groupBy("id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("id", "s.*")
     rep = one.groupBy("h1", "h2", "n").agg(F.min("id").alias("class"))
     members = one.join(rep, ["h1", "h2", "n"]).select("id", "class", "n")
-
-    sketch = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
-    step = len(sketch) // RANGES
-    ranges = base.where("range is not null").select("range", "slots").repartition(RANGES, "range").sortWithinPartitions("range")
-    for r in ranges.mapInPandas(_count_slots, "range int, bits binary").toLocalIterator():
-        sketch[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    held = spark.sparkContext.broadcast(sketch)
+    held = spark.sparkContext.broadcast(_sketch(base, ranges, HOT))
 
     def sign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, bits = _Ids(), held.value
+        ids, sketch = _Ids(), held.value
         for pdf in it:
             keys, own, places = [], [], []
             for i, text in zip(pdf["id"].tolist(), pdf["text"]):
                 if text is None or i is None or i != i:
                     continue
-                s, at = _signatures(run_hashes(text, ids), threshold, bits)
-                if len(s) >= 1:
+                s, at = _signatures(run_hashes(text, ids), threshold, sketch)
+                if len(s):
                     keys.append(s)
                     own.append(np.full(len(s), i, np.int64))
                     places.append(at)
             if keys:
                 yield pd.DataFrame({"sig": np.concatenate(keys).view(np.int64), "id": np.concatenate(own), "place": np.concatenate(places)})
 
-    signed = rows.mapInPandas(sign, "sig long, id long, place int").distinct()
-    reps = rep.select(F.col("class").alias("id"), "n")
-    signed = materialize(signed.join(reps, "id", "left_semi"))
-    counts = signed.groupBy("sig").count().where("count > 1")
-    live = signed.join(counts, "sig")
-    banded, exact = live.where("place < 0"), live.where("place >= 0")
-    plain = banded.where(F.col("count") <= HOT).select("sig", "id")
-    hot = materialize(banded.where(F.col("count") > HOT).select("sig", "id"))
-    pairs = _pairs(plain, "sig")
-    # one shared run of two prefixes is enough
-    alike = _prefix_pairs(exact.where(F.col("count") <= HOT), ["sig"], threshold)
-    pairs = pairs.unionByName(alike.withColumn("k", F.lit(SHARED)))
+    copies = materialize(members.where("id <> class").select("id"))
+    signed = rows.mapInPandas(sign, "sig long, id long, place long").join(bounded_broadcast(copies, 2_000_000), "id", "left_anti")
+    signed = materialize(signed)
+    # a band's signature is shared by HOT sets at most
+    groups = signed.where("place < 0").groupBy("sig").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+    heads = groups.select("ids", F.posexplode(F.slice("ids", F.lit(1), F.size("ids") - 1)).alias("k", "a"))
+    pairs = heads.select("a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("b"))
+    exact = signed.where("place >= 0").distinct()
+    exact = exact.join(exact.groupBy("sig").agg(F.count("*").alias("count")).where("count > 1"), "sig")
+    pairs = pairs.unionByName(_prefix_pairs(exact.where(F.col("count") <= HOT), ["sig"], threshold))
     crowds = materialize(exact.where(F.col("count") > HOT))
     if crowds.limit(1).count():
-        pairs = pairs.unionByName(_prefix_pairs(_blocks(crowds), ["sig", "low", "high"], threshold).withColumn("k", F.lit(SHARED)))
-    if hot.limit(1).count():
-        # sharing a hot signature and any second one: the pair shares two, as SHARED asks
-        other = banded.select(F.col("sig").alias("second"), "id")
-        both = hot.join(other, "id").where("sig <> second")
-        both = both.select(F.xxhash64(F.least("sig", "second"), F.greatest("sig", "second")).alias("sig"), "id").distinct()
-        pairs = pairs.unionByName(_pairs(both, "sig").withColumn("k", F.lit(SHARED)))
-    small = reps.where(F.col("n") < SMALL / threshold).select("id")
-    shared = pairs.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    enough = shared.where(F.col("k") >= SHARED).select("a", "b")
-    few = shared.where(F.col("k") < SHARED).select("a", "b").join(small.withColumnRenamed("id", "a"), "a", "left_semi")
-    candidates = materialize(enough.unionByName(few.select("a", "b")))
+        pairs = pairs.unionByName(_prefix_pairs(_blocks(crowds), ["sig", "low", "high"], threshold))
+    candidates = materialize(pairs.distinct())
     links = _verified(rows, candidates, threshold)
     return members, links
 
 
-def _pairs(signed: DataFrame, key: str) -> DataFrame:
-    a, b = signed.select(key, F.col("id").alias("a")), signed.select(key, F.col("id").alias("b"))
-    return a.join(b, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-
-
 def _blocks(crowds: DataFrame) -> DataFrame:
     """Sets of a crowded run in blocks of about ``HOT``, each set once for each two blocks (``low``, ``high``) it is in."""
     n = F.ceil(F.col("count") / HOT)
@@ -259,8 +303,8 @@ def _blocks(crowds: DataFrame) -> DataFrame:
 
 def _prefix_pairs(signed: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Pairs that share a prefix run which, as their first common one, leaves enough for the threshold."""
-    size = F.shiftright("place", 16)
-    left = size - F.col("place").bitwiseAND(0xFFFF)
+    size = F.shiftright("place", 32)
+    left = size - F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
     own = F.col("own") if "low" in keys else F.lit(0)
     a = signed.select(*keys, F.col("id").alias("a"), size.alias("n_a"), left.alias("left_a"), own.alias("own_a"))
     b = signed.select(*keys, F.col("id").alias("b"), size.alias("n_b"), left.alias("left_b"), own.alias("own_b"))

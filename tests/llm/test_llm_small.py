@@ -481,6 +481,42 @@ def test_crowded_prefix_runs_keep_pairs_of_small_sets(spark, monkeypatch):
     assert len(want) > 91 and {(r[0], r[1]) for r in neardup.near_duplicate_pairs(df, "id", "code").collect()} == want
 
 
+def test_one_small_text_among_many_alike(spark):
+    texts = {0: "alpha beta gamma delta"} | {i: f"alpha beta gamma delta e{i}" for i in range(1, 301)}
+    df = spark.createDataFrame(list(texts.items()), "id long, code string")
+    got = {(r[0], r[1]) for r in neardup.near_duplicate_pairs(df, "id", "code").collect()}
+    assert {(0, i) for i in range(1, 301)} <= got
+
+
+def test_boilerplate_shared_by_all_keeps_pairs(spark):
+    rnd = random.Random(12)
+    head = [f"h{k}" for k in range(120)]
+    texts = {}
+    for i in range(0, 600, 2):
+        own = [f"t{i}_{k}" for k in range(rnd.randrange(60, 260))]
+        texts[i] = " ".join(head + own)
+        for k in rnd.sample(range(len(own)), len(own) // 20):
+            own[k] = f"u{i}_{k}"
+        texts[i + 1] = " ".join(head + own)
+    df = spark.createDataFrame(list(texts.items()), "id long, code string")
+    assert {(r[0], r[1]) for r in neardup.near_duplicate_pairs(df, "id", "code").collect()} == _brute(texts)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of sets at exactly 0.6 share a signature, whatever their sizes: 1,500 of 1,500."""
+    rnd = np.random.default_rng(5)
+    sketch = neardup.Sketch(np.full(1 << (neardup.SLOT_BITS - 3), 255, np.uint8), np.zeros(1 << (neardup.SLOT_BITS - 3), np.uint8))
+    for n in range(1500):
+        union = int(np.exp(rnd.uniform(np.log(8), np.log(6000))))
+        runs = np.unique(rnd.integers(0, 1 << 63, union, dtype=np.uint64))
+        rnd.shuffle(runs)
+        both = int(np.ceil(0.6 * union))
+        cut = both + int(rnd.integers(0, union - both + 1))
+        x, y = np.sort(runs[:cut]), np.sort(np.r_[runs[:both], runs[cut:]])
+        shared = np.intersect1d(neardup._signatures(x, 0.6, sketch)[0], neardup._signatures(y, 0.6, sketch)[0])
+        assert len(shared), (n, union, len(x), len(y))
+
+
 # -- 8 ----------------------------------------------------------------------------------------------
 
 
