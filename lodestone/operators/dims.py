@@ -37,7 +37,15 @@ RULE_CATEGORY = {
     "B402": "unsafe_imports",
     "B403": "unsafe_imports",
     "B404": "unsafe_imports",
-    **{f"import_{m}": "unsafe_imports" for m in RISKY_MODULES},
+    "import_subprocess": "unsafe_imports",
+    "import_pickle": "unsafe_imports",
+    "import_marshal": "unsafe_imports",
+    "import_shelve": "unsafe_imports",
+    "import_yaml": "unsafe_imports",
+    "import_telnetlib": "unsafe_imports",
+    "import_ftplib": "unsafe_imports",
+    "import_ctypes": "unsafe_imports",
+    "import_os": "unsafe_imports",
     "dynamic_import": "unsafe_imports",
     "B609": "path_traversal",
     "xxe_injection": "xxe",
@@ -106,13 +114,15 @@ SPECIAL_CLASSES = ("dataclass", "TypedDict", "Protocol", "ABC", "NamedTuple", "E
 
 # Words that index and re-ranking pass over.
 STOPWORDS = (
-    "the is at on def class if for in and or as with from import return self true false none try except pass async await elif else while"
-).split()
+    "the", "is", "at", "on", "def", "class", "if", "for", "in", "and", "or", "as", "with", "from", "import", "return", "self", "true", "false",
+    "none", "try", "except", "pass", "async", "await", "elif", "else", "while",
+)
 
 # Words that questions are stripped of.
 QUESTION_STOPWORDS = (
-    "does works explain show tell find get the this that with from have what when where which who how why can should would could will make use"
-).split()
+    "does", "works", "explain", "show", "tell", "find", "get", "the", "this", "that", "with", "from", "have", "what", "when", "where", "which", "who",
+    "how", "why", "can", "should", "would", "could", "will", "make", "use",
+)
 
 # Intents in declaration order, their patterns and weights.
 INTENT_PATTERNS = (

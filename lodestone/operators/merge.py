@@ -24,7 +24,7 @@ def concatenate(*scanners: DataFrame) -> DataFrame:
     """Raw findings of scanners in order of priority; ``seq`` of each follows that of the ones before."""
     out = None
     for k, s in enumerate(scanners):
-        s = s.withColumn("seq", F.col("seq") + F.lit(k).cast("long") * (1 << 45))
+        s = s.withColumn("seq", F.col("seq") + F.lit(k).cast("long") * (1 << 50))
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
     return out
 
@@ -38,7 +38,6 @@ def merge_findings(raw: DataFrame) -> DataFrame:
     if "code_snippet" not in raw.columns:
         raw = raw.withColumn("code_snippet", F.lit(None).cast("string"))
     r = raw.withColumn("line", F.coalesce("line", F.lit(0))).withColumn("rule", category(F.coalesce("rule", F.lit(""))))
-    filled = lambda c: F.coalesce(F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("seq"))), F.lit("")).alias(c)
     # one row for each source first, so that nothing is collected but distinct scanners
     by_source = r.groupBy("file_id", "line", "rule", "source").agg(
         F.min("seq").alias("seq"),
@@ -48,7 +47,6 @@ def merge_findings(raw: DataFrame) -> DataFrame:
         F.min_by(F.nullif("suggestion", F.lit("")), F.when(F.coalesce("suggestion", F.lit("")) != "", F.col("seq"))).alias("suggestion"),
         F.min(F.when(F.coalesce("suggestion", F.lit("")) != "", F.col("seq"))).alias("suggestion_seq"),
     )
-    del filled
     merged = by_source.groupBy("file_id", "line", "rule").agg(
         F.min("seq").alias("seq"),
         F.coalesce(F.min_by("message", "message_seq"), F.lit("")).alias("message"),

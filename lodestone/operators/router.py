@@ -36,7 +36,7 @@ def entities(question: Column) -> Column:
     quoted = every(r"[\"']([^\"']+)[\"']")
     named = F.filter(
         every(r"\b([A-Z][a-z]+[A-Z][a-zA-Z0-9]*|[a-z_][a-z0-9_]+)\b"),
-        lambda x: ~F.array_contains(stop, F.lower(x)) & (F.length(x) > 2) & ((F.length(x) > 3) | x.contains("_") | F.substring(x, 2, 9999).rlike("[A-Z]")),
+        lambda x: ~F.array_contains(stop, F.lower(x)) & (F.length(x) > 2) & ((F.length(x) > 3) | x.contains("_") | F.substr(x, F.lit(2)).rlike("[A-Z]")),
     )
     found = F.array_distinct(F.concat(every(r"\b([a-zA-Z_][a-zA-Z0-9_]*\.[a-zA-Z_][a-zA-Z0-9_.]*)\b"), every("`([^`]+)`"), named, every(r"@(\w+)")))
     hints = F.filter(
@@ -133,15 +133,18 @@ def expanded_terms(questions: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``edges`` are distinct ``(caller, callee)`` names. A function is named when its lower-case name
     occurs in the question; since names are identifiers, the question's identifiers and their
-    sub-strings are matched, so it is an equi-join and not one of every name with every question.
+    sub-strings, up to the length of the longest name, are matched, so it is an equi-join and not one
+    of every name with every question.
     """
+    longest = edges.agg(F.max(F.greatest(F.length("caller"), F.length("callee")))).first()[0] or 1
     q = F.lower(F.coalesce("text", F.lit("")))
     runs = F.array_distinct(F.regexp_extract_all(q, F.lit(r"(\w+)"), 1))
-    # every sub-string of an identifier run of a question: bounded by the question's own length
     subs = lambda r: F.flatten(
-        F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.length(r) - i + 1), lambda n: F.substring(r, i, n)))
+        F.transform(
+            F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(r) - i + 1)), lambda n: F.substring(r, i, n))
+        )
     )
-    named = questions.select("question_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, lambda r: subs(F.substring(r, 1, 80)))))).alias("f"))
+    named = questions.select("question_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, subs)))).alias("f"))
     by = edges.select(F.lower("caller").alias("f"), F.col("callee").alias("t"), F.col("caller").alias("src"), F.lit(0).alias("o"))
     to = edges.select(F.lower("callee").alias("f"), F.col("caller").alias("t"), F.col("callee").alias("src"), F.lit(1).alias("o"))
     functions = edges.select(F.col("caller").alias("src")).distinct()

@@ -48,16 +48,24 @@ ADVICE = {
 }
 
 
+#: What is added where the parts come from a user.
+TAINTED = ", with a user's input among them"
+
+
 def _say(rule: str, k: int) -> Column:
     return F.lit(ADVICE[rule][k])
 
 
-def _finding(check: int, order: Column, line: Column, rule: str) -> Column:
+#: Places within one check: breadth-first place, then position there, as parts of a number below this.
+CHECK, PLACE = 1 << 44, 1 << 20
+
+
+def _finding(check: int, order: Column, line: Column, rule: str, message: Column | None = None) -> Column:
     return F.struct(
-        (F.lit(check).cast("long") * 1_000_000_000 + order).alias("seq"),
+        (F.lit(check).cast("long") * F.lit(CHECK) + order).alias("seq"),
         line.cast("int").alias("line"),
         F.lit(rule).alias("rule"),
-        _say(rule, 0).alias("message"),
+        (_say(rule, 0) if message is None else message).alias("message"),
         _say(rule, 1).alias("suggestion"),
     )
 
@@ -70,9 +78,14 @@ def _call_rules(nodes: DataFrame, files: DataFrame) -> DataFrame:
     controlled = lambda a: ((a["kind"] == "Name") & ~T.isupper(a["name"])) | a["kind"].isin("BinOp", "JoinedStr", "Call")
     # verdict of each argument in turn: the first that is not "next" decides
     verdict = lambda a: (
-        F.when(a["placeholder"], "stop").when(a["built"], "sql_injection").when((a["kind"] != "Name") | ~a["known"], "next")
-        .when(a["from_placeholder"], "stop").when(a["from_built"], "sql_injection_variable").otherwise("next")
-    )
+        F.when(a["placeholder"], "stop")
+        .when(a["built"], F.when(a["tainted"], "sql_injection, tainted").otherwise("sql_injection"))
+        .when((a["kind"] != "Name") | ~a["known"], "next")
+        .when(a["from_placeholder"], "stop")
+        .when(a["from_built"], F.when(a["from_tainted"], "sql_injection_variable, tainted").otherwise("sql_injection_variable"))
+        .otherwise("next")
+    )
+    told = lambda rule: F.concat(_say(rule, 0), F.when(first.endswith("tainted"), TAINTED).otherwise(""))
     first = F.try_element_at(F.filter(F.transform(args, verdict), lambda v: v != "next"), F.lit(1))
     is_execute = low.contains("execute")
     mode = F.try_element_at("args", F.lit(2))["ival"]
@@ -80,8 +93,8 @@ def _call_rules(nodes: DataFrame, files: DataFrame) -> DataFrame:
         F.array(
             F.when(n.isin("eval", "exec"), _finding(1, b, line, "dangerous_eval_exec")),
             F.when((n == "__import__") & ~F.coalesce(arg0["kind"] == "Constant", F.lit(False)), _finding(1, b, line, "dynamic_import")),
-            F.when(is_execute & (first == "sql_injection"), _finding(2, b, line, "sql_injection")),
-            F.when(is_execute & (first == "sql_injection_variable"), _finding(2, b, line, "sql_injection_variable")),
+            F.when(is_execute & first.isin("sql_injection", "sql_injection, tainted"), _finding(2, b, line, "sql_injection", told("sql_injection"))),
+            F.when(is_execute & first.startswith("sql_injection_variable"), _finding(2, b, line, "sql_injection_variable", told("sql_injection_variable"))),
             F.when(n.isin(*dims.SHELL_CALLS), _finding(3, b, line, "command_injection_danger")),
             F.when(n.contains("subprocess") & F.exists("keywords", lambda k: (k["arg"] == "shell") & k["truthy"]), _finding(3, b, line, "shell_injection")),
             F.when(low.contains("md5"), _finding(5, b, line, "weak_hash_md5")).when(low.contains("sha1"), _finding(5, b, line, "weak_hash_sha1")),
@@ -106,7 +119,7 @@ def _imports(nodes: DataFrame) -> DataFrame:
         .where(base.isin(*dims.RISKY_MODULES))
         .select(
             "file_id",
-            (F.col("bfs").cast("long") * 64 + F.least("k", F.lit(63))).alias("seq"),
+            (F.col("bfs").cast("long") * PLACE + F.col("k")).alias("seq"),
             F.col("lineno").cast("int").alias("line"),
             F.concat(F.lit("import_"), base).alias("rule"),
             F.concat(base, F.lit(" is safe to import but not to misuse")).alias("message"),
@@ -123,7 +136,8 @@ def _sql_assignments(nodes: DataFrame) -> DataFrame:
     used = F.flatten(F.transform("args", lambda x: F.when(x["kind"] == "Name", F.array(x["name"])).otherwise(F.coalesce(x["names"], F.array()))))
     e = calls(nodes).where(F.lower("name").contains("execute")).select("file_id", F.col("lineno").alias("e_line"), F.explode(F.array_distinct(used)).alias("var"))
     hit = a.join(e.groupBy("file_id", "var").agg(F.max("e_line").alias("e_line")), ["file_id", "var"]).where("e_line > a_line")
-    order = F.lit(500_000_000) + F.col("a_bfs").cast("long") * 8 + F.least("k", F.lit(7))
+    # behind all calls of the check
+    order = F.lit(CHECK // 2) + F.col("a_bfs").cast("long") * (PLACE // 2) + F.col("k")
     return hit.select("file_id", F.explode(F.array(_finding(2, order, F.col("a_line"), "sql_injection_variable"))).alias("f")).select("file_id", "f.*")
 
 
@@ -144,7 +158,7 @@ def secret_lines(files: DataFrame) -> DataFrame:
     found = found.where(~T.contains_any(F.lower("value"), dims.SECRET_PLACEHOLDERS))
     return found.select(
         "file_id",
-        (F.lit(4_000_000_000) + F.col("line")).alias("seq"),
+        (F.lit(4 * CHECK) + F.col("line")).alias("seq"),
         F.col("line").cast("int").alias("line"),
         F.concat(F.lit("hardcoded_"), "key").alias("rule"),
         F.concat(F.lit("literal "), "key", F.lit(" '"), F.substring("value", 1, 20), F.lit("...'")).alias("message"),
@@ -214,7 +228,7 @@ def _privilege(nodes: DataFrame) -> DataFrame:
     p = p.where(T.contains_any(F.lower("param"), dims.PRIVILEGE_WORDS))
     g = nodes.where("kind in ('If', 'Assert', 'Raise')").select("file_id", F.col("enter").alias("g"), F.explode("names").alias("param"))
     hit = p.join(g, (p.file_id == g.file_id) & (p.param == g.param) & g["g"].between(p["enter"], p["exit"]), "left_anti")
-    order = F.col("first_bfs").cast("long") * 32 + F.least("k", F.lit(31))
+    order = F.col("first_bfs").cast("long") * PLACE + F.col("k")
     return hit.select("file_id", F.explode(F.array(_finding(19, order, F.col("lineno"), "privilege_escalation"))).alias("f")).select("file_id", "f.*")
 
 

@@ -98,7 +98,7 @@ def ask(questions: DataFrame, index: Index, embed=vector.hashed_embedding, pool:
     """Ranked chunks for many questions (``question_id, text``) at once."""
     q = materialize(router.classify(questions))
     wide = router.expanded_terms(questions, index.edges.select("caller", "callee").distinct())
-    terms = materialize(q.join(wide, "question_id").select("question_id", F.array_distinct(F.concat("entities", "keywords", F.slice("expanded", 2, 9999))).alias("terms")))
+    terms = materialize(q.join(wide, "question_id").select("question_id", F.array_distinct(F.concat("entities", "keywords", F.slice("expanded", F.lit(2), F.size("expanded")))).alias("terms")))
     fields = metaindex.matches(terms, index.postings)
     qv = embed(questions, "question_id", "text").withColumnRenamed("vec_id", "question_id").withColumnRenamed("question_id", "query_id")
     near = vector.knn(qv, index.vectors, pool)
