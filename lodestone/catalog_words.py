@@ -102,9 +102,9 @@ def routing_weights(spark, d):
 
 @query(
     rf"""
-WITH t AS (SELECT id, coalesce(query, '') AS t FROM analysis_cache),
-e AS (SELECT id, regexp_extract_all(t, '["'']([^"'']+)["'']', 1) AS quoted, regexp_extract_all(t, '\b([a-zA-Z_][a-zA-Z0-9_]*\.[a-zA-Z_][a-zA-Z0-9_.]*)\b', 1) AS dotted, regexp_extract_all(t, '`([^`]+)`', 1) AS ticked,
-  list_filter(regexp_extract_all(t, '\b([A-Z][a-z]+[A-Z][a-zA-Z0-9]*|[a-z_][a-z0-9_]+)\b', 1), lambda x: lower(x) NOT IN ({_ASK_STOP}) AND length(x) > 2 AND (length(x) > 3 OR contains(x, '_') OR regexp_matches(substr(x, 2), '[A-Z]'))) AS named,
+WITH t AS (SELECT id, coalesce(query, '') AS t, regexp_replace(coalesce(query, ''), '{_FOREIGN}', ' ', 'g') AS u FROM analysis_cache),
+e AS (SELECT id, regexp_extract_all(t, '["'']([^"'']+)["'']', 1) AS quoted, regexp_extract_all(u, '\b([a-zA-Z_][a-zA-Z0-9_]*\.[a-zA-Z_][a-zA-Z0-9_.]*)\b', 1) AS dotted, regexp_extract_all(t, '`([^`]+)`', 1) AS ticked,
+  list_filter(regexp_extract_all(u, '\b([A-Z][a-z]+[A-Z][a-zA-Z0-9]*|[a-z_][a-z0-9_]+)\b', 1), lambda x: lower(x) NOT IN ({_ASK_STOP}) AND length(x) > 2 AND (length(x) > 3 OR contains(x, '_') OR regexp_matches(substr(x, 2), '[A-Z]'))) AS named,
   regexp_extract_all(t, '@(\w+)', 1) AS marked FROM t),
 f AS (SELECT id, quoted, list_sort(list_distinct(dotted || ticked || named || marked)) AS entities FROM e)
 SELECT id AS question_id, array_to_string(quoted, '|') AS quoted, array_to_string(entities, '|') AS entities,

@@ -1,19 +1,25 @@
 """The session store: parquet tables with appends, versions and set-based reads.
 
 Every change is one distributed write. A parent row is written after its children, so a save that
-breaks off leaves nothing visible; deletes and renames rewrite a table through a new version folder
-and a pointer file, so readers see the old or the new state.
+breaks off leaves nothing visible. A table is a list of folders in a numbered version file: a change
+writes its folder first and then the next version, which is created by renaming a finished file to a
+name that must not exist. Readers take the highest version, so they see the old or the new state; of
+two writers one finds its number taken, reads again and tries the next.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.session import materialize
+
 SCHEMAS = {
     "sessions": "id long, filename string, title string, code string, code_hash string, syntax_valid boolean, high_count int, medium_count int, total_issues int, created_at timestamp",
     "security_findings": "id long, session_id long, severity string, rule string, line_number int, message string, suggestion string",
@@ -46,7 +52,8 @@ def display_title(sessions: DataFrame) -> DataFrame:
 def load_sessions(ids: DataFrame, sessions: DataFrame, findings: DataFrame, messages: DataFrame) -> DataFrame:
     """Sessions of ``ids`` (column ``id``) with their findings and messages as arrays ordered by id.
 
-    A batch of ids is one pair of joins. Messages of broken JSON keep empty metadata.
+    A batch of ids is one pair of joins. Messages of broken JSON keep empty metadata. A session is one
+    row: for sessions of any length see :func:`session_messages`.
     """
     s = sessions.join(ids.select("id").distinct(), "id", "left_semi")
     want = s.select(F.col("id").alias("session_id"))
@@ -60,6 +67,22 @@ def load_sessions(ids: DataFrame, sessions: DataFrame, findings: DataFrame, mess
     return s.join(f, s.id == f.session_id, "left").drop("session_id").join(m, s.id == m.session_id, "left").drop("session_id")
 
 
+def session_messages(ids: DataFrame, messages: DataFrame, per_row: int = 1000) -> DataFrame:
+    """``(session_id, part, n, messages)``: messages of ``ids`` in order of their ids, in bounded parts.
+
+    A part holds the messages of about ``per_row`` neighbouring rows of the whole order, so a session
+    with a third of all rows is many parts on many tasks. ``part`` counts up within a session, with gaps.
+    """
+    want = messages.join(ids.select(F.col("id").alias("session_id")).distinct(), "session_id", "left_semi")
+    n = int(want.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meta = F.coalesce(F.from_json("retrieved_chunks", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    rows = want.select("session_id", F.struct("id", "role", "content", F.to_json(meta).alias("metadata")).alias("m"))
+    placed = materialize(rows.repartitionByRange(n, "session_id", "m.id").sortWithinPartitions("session_id", "m.id").withColumn("p", F.spark_partition_id()))
+    at = F.row_number().over(W.partitionBy("p").orderBy("session_id", "m.id")) - 1
+    part = F.col("p").cast("long") * (1 << 32) + F.floor(at / per_row)
+    return placed.withColumn("part", part).groupBy("session_id", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("m")).alias("messages"))
+
+
 def latest_responses(cache: DataFrame) -> DataFrame:
     """``(code_hash, query_hash, response)``: the newest answer of each key; null keys match nothing."""
     newest = F.max_by(F.struct("response"), F.struct("created_at", "id")).alias("r")
@@ -94,8 +117,6 @@ def next_ids(rows: DataFrame, order: str, start: int) -> DataFrame:
 
     Rows are range-partitioned; the counts of the partitions (one row each) give the offsets.
     """
-    from lodestone.session import materialize
-
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = materialize(rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
     counts = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
@@ -122,52 +143,89 @@ class SessionStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _current(self, name: str) -> list[str]:
-        """Folders of the table's current version, from its pointer file."""
+    def _versions(self, name: str) -> list[int]:
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.root}/{name}.v*"))
+        return sorted(int(f.getPath().getName().rsplit(".v", 1)[1]) for f in found or [])
+
+    def _current(self, name: str) -> tuple[int, list[str]]:
+        """Number and folders of the table's highest version; 0 and none without one."""
         fs, path = self._fs()
-        p = path(f"{self.root}/{name}.current")
-        if not fs.exists(p):
-            return []
-        stream = fs.open(p)
+        versions = self._versions(name)
+        if not versions:
+            return 0, []
+        stream = fs.open(path(f"{self.root}/{name}.v{versions[-1]:012d}"))
         try:
-            text = bytes(stream.readAllBytes()).decode()
+            return versions[-1], json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return json.loads(text)
 
-    def _point(self, name: str, folders: list[str]) -> None:
+    def _publish(self, name: str, version: int, folders: list[str]) -> bool:
+        """Make ``folders`` the table's version of that number; false if another writer has it."""
         fs, path = self._fs()
-        new, old = path(f"{self.root}/{name}.{uuid.uuid4().hex}"), path(f"{self.root}/{name}.current")
+        new, final = path(f"{self.root}/_{name}.{uuid.uuid4().hex}"), path(f"{self.root}/{name}.v{version:012d}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(folders).encode()))
         out.close()
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"cannot replace the pointer of {name}")
+        done = self._claim(fs, path, name, version) and fs.rename(new, final)
+        if not done:
+            fs.delete(new, False)
+        return done
+
+    def _next(self, name: str, version: int) -> int:
+        """The number after ``version``, past those that a writer took and then left for a minute."""
+        fs, path = self._fs()
+        while True:
+            version += 1
+            claim = path(f"{self.root}/_claims/{name}.{version:012d}")
+            if not fs.exists(claim) or fs.getFileStatus(claim).getModificationTime() > (time.time() - 60) * 1000:
+                return version
+
+    def _claim(self, fs, path, name: str, version: int) -> bool:
+        """Take the number: the folder of a claim is made by one writer only (create without overwrite)."""
+        try:
+            fs.create(path(f"{self.root}/_claims/{name}.{version:012d}"), False).close()
+            return True
+        except Py4JJavaError as exc:
+            if "FileAlreadyExists" in str(exc.java_exception.getClass()) or "already exists" in str(exc.java_exception.getMessage()):
+                return False
+            raise
+
+    def _change(self, name: str, folders_of, attempts: int = 1000) -> None:
+        """Publish what ``folders_of`` makes of the current folders, again after another writer's change."""
+        for _ in range(attempts):
+            version, folders = self._current(name)
+            if self._publish(name, self._next(name, version), folders_of(folders)):
+                return
+            time.sleep(0.1)
+        raise OSError(f"{name}: other writers hold the next version")
 
     def table(self, name: str) -> DataFrame:
         """The table, or an empty one of its schema."""
-        folders = self._current(name)
+        _, folders = self._current(name)
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*folders)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows; they become visible at once when all are written."""
+        """Add rows; they become visible at once when all are written, beside those of other writers."""
         folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
         typed = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMAS[name].split(", "))]
         rows.select(*typed).write.parquet(folder)
-        assert len(cols) == len(typed)
-        self._point(name, [*self._current(name), folder])
+        self._change(name, lambda now: [*now, folder])
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Rewrite a table as a new version, checked by count before it becomes current."""
-        folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        if self.spark.read.parquet(folder).count() != rows.count():
-            raise OSError(f"{name}: the rewrite is incomplete")
-        self._point(name, [folder])
+    def replace(self, name: str, rewrite) -> None:
+        """Rewrite a table: ``rewrite`` takes its rows and gives the new ones.
+
+        Folders that other writers added meanwhile are rewritten too, as the new version names exactly
+        what was read.
+        """
+        while True:
+            version, folders = self._current(name)
+            folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
+            rewrite(self.spark.read.schema(SCHEMAS[name]).parquet(*folders)).write.parquet(folder)
+            if self._publish(name, self._next(name, version), [folder]):
+                return
 
     def next_id(self, name: str) -> int:
         return int(self.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
@@ -195,12 +253,18 @@ class SessionStore:
         return ids
 
     def save_messages(self, rows: DataFrame) -> None:
-        """Append messages (``session_id, role, content, metadata``); users' texts are hashed, metadata is JSON."""
-        cols = rows.withColumn("_o", F.struct("session_id", "content"))
-        n = next_ids(cols, "_o", self.next_id("chat_messages")).drop("_o")
+        """Append messages (``session_id, role, content, metadata, seq``) in the order of ``seq``.
+
+        Ids grow with ``seq`` (any type that sorts) within a session, so a conversation reads as it was
+        held. Users' texts are hashed, metadata is JSON; other roles are left out.
+        """
+        if "seq" not in rows.columns:
+            raise ValueError("messages need a column seq that orders them")
+        kept = rows.where(F.col("role").isin("user", "assistant"))
+        n = next_ids(kept.withColumn("_o", F.struct("seq", "session_id")), "_o", self.next_id("chat_messages")).drop("_o")
         self.append(
             "chat_messages",
-            n.where(F.col("role").isin("user", "assistant")).select(
+            n.select(
                 "id", "session_id", "role", "content", F.when(F.col("role") == "user", content_hash(F.col("content"))).alias("query_hash"),
                 F.to_json("metadata").alias("retrieved_chunks"), F.current_timestamp().alias("created_at"),
             ),
@@ -218,18 +282,17 @@ class SessionStore:
 
     def delete_sessions(self, ids: DataFrame) -> None:
         """Delete sessions and what belongs to them: children first, so no child outlives its parent visibly."""
-        names = [*CHILDREN, "sessions"]
-        after = without_sessions(ids, {n: self.table(n) for n in names})
-        for n in names:
-            if self._current(n):
-                self.replace(n, after[n])
+        gone = materialize(ids.select("id").distinct())
+        for n in (*CHILDREN, "sessions"):
+            if self._current(n)[1]:
+                self.replace(n, lambda rows, n=n: without_sessions(gone, {n: rows})[n])
 
     def rename_sessions(self, titles: DataFrame) -> int:
         """Rename (``id, new_title``); returns how many sessions there were to rename."""
         s = self.table("sessions")
         hit = s.join(titles.where(F.trim("new_title") != "").select("id").distinct(), "id", "left_semi").count()
         if hit:
-            self.replace("sessions", renamed(s, titles))
+            self.replace("sessions", lambda rows: renamed(rows, titles))
         return hit
 
 

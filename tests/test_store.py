@@ -1,12 +1,15 @@
 """Sources, store, reports and streaming."""
 
+import threading
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.context import answers
 from lodestone.plans.analyze import analyze
 from lodestone.sources import files as src
 from lodestone.sources.client import Busy, RetryingClient
-from lodestone.sources.store import SessionStore, next_ids, session_list
+from lodestone.sources.store import SessionStore, next_ids, session_list, session_messages
 from lodestone.streaming import ingest
 
 
@@ -33,7 +36,7 @@ def test_store_round_trip(spark, tmp_path):
     ids = st.save_sessions(files, a.findings, a.status)
     ids = {r["file_id"]: r["id"] for r in ids.collect()}
     assert sorted(ids.values()) == [1, 2] and st.table("sessions").count() == 2
-    st.save_messages(spark.createDataFrame([(1, "user", "hi", {"client": "web"}), (1, "assistant", "yo", None), (1, "robot", "?", None)], "session_id long, role string, content string, metadata map<string,string>"))
+    st.save_messages(spark.createDataFrame([(1, "user", "hi", {"client": "web"}, 1), (1, "assistant", "yo", None, 2), (1, "robot", "?", None, 3)], "session_id long, role string, content string, metadata map<string,string>, seq int"))
     m = {r["role"]: r for r in st.table("chat_messages").collect()}
     assert set(m) == {"user", "assistant"} and m["user"]["query_hash"] and m["assistant"]["query_hash"] is None
     st.save_cache(spark.createDataFrame([("c", "q", "x", "r")], "code_hash string, query_hash string, query string, response string"))
@@ -45,6 +48,44 @@ def test_store_round_trip(spark, tmp_path):
     assert session_list(st.table("sessions")).count() == 1
 
 
+def test_messages_keep_their_order(spark, tmp_path):
+    st = SessionStore(spark, str(tmp_path / "store"))
+    schema = "session_id long, role string, content string, metadata map<string,string>, seq int"
+    st.save_messages(spark.createDataFrame([(1, "assistant", "an answer", None, 2), (1, "user", "zebra?", None, 1), (2, "user", "alpha", None, 3)], schema))
+    st.save_messages(spark.createDataFrame([(1, "user", "aardvark?", None, 1)], schema))
+    got = [r["content"] for r in st.table("chat_messages").where("session_id = 1").orderBy("id").collect()]
+    assert got == ["zebra?", "an answer", "aardvark?"]
+    with pytest.raises(ValueError):
+        st.save_messages(spark.createDataFrame([(1, "user", "x", None)], "session_id long, role string, content string, metadata map<string,string>"))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    st = SessionStore(spark, str(tmp_path / "store"))
+    row = lambda k: spark.createDataFrame([(k, f"c{k}", "q", "x", "r")], "id long, code_hash string, query_hash string, query string, response string")
+    threads = [threading.Thread(target=st.append, args=("analysis_cache", row(k))) for k in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(r["id"] for r in st.table("analysis_cache").collect()) == list(range(6))
+
+
+def test_a_change_that_breaks_off_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    st = SessionStore(spark, str(tmp_path / "store"))
+    st.append("analysis_cache", spark.createDataFrame([(1, "c")], "id long, code_hash string"))
+    monkeypatch.setattr(st, "_publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        st.replace("analysis_cache", lambda rows: rows.where("id > 5"))
+    assert st.table("analysis_cache").count() == 1
+
+
+def test_long_session_in_bounded_parts(spark):
+    m = spark.range(5000).select("id", F.when(F.col("id") % 10 == 0, F.lit(2)).otherwise(1).cast("long").alias("session_id"), F.lit("user").alias("role"), F.col("id").cast("string").alias("content"), F.lit("{broken").alias("retrieved_chunks"))
+    parts = session_messages(spark.createDataFrame([(1,), (2,)], "id long"), m, 100).collect()
+    assert max(r["n"] for r in parts) <= 100
+    for s in (1, 2):
+        ids = [x["id"] for r in sorted((r for r in parts if r["session_id"] == s), key=lambda r: r["part"]) for x in r["messages"]]
+        assert ids == [i for i in range(5000) if (i % 10 == 0) == (s == 2)]
+
+
 def test_dense_ids(spark):
     got = sorted(r["id"] for r in next_ids(spark.range(100).select(F.col("id").alias("k")), "k", 5).collect())
     assert got == list(range(5, 105))
