@@ -562,17 +562,19 @@ def document_hashes(spark, d):
 @query(
     """
 WITH f AS (SELECT session_id, count(*) AS n_findings, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS finding_ids FROM security_findings GROUP BY 1),
-m AS (SELECT session_id, count(*) AS n_messages, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS message_ids FROM chat_messages GROUP BY 1)
-SELECT s.id, s.title, coalesce(n_findings, 0) AS n_findings, finding_ids, coalesce(n_messages, 0) AS n_messages, message_ids
-FROM sessions s LEFT JOIN f ON f.session_id = s.id LEFT JOIN m ON m.session_id = s.id
+r AS (SELECT session_id, id, (row_number() OVER (PARTITION BY session_id ORDER BY id) - 1) // 1000 AS part FROM chat_messages WHERE session_id IN (SELECT id FROM sessions)),
+m AS (SELECT session_id, part, count(*) AS n_messages, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS message_ids FROM r GROUP BY ALL),
+s AS (SELECT id, 0 AS part, title FROM sessions)
+SELECT coalesce(s.id, m.session_id) AS id, CAST(coalesce(s.part, m.part) AS BIGINT) AS part, s.title, coalesce(n_findings, 0) AS n_findings, finding_ids, coalesce(n_messages, 0) AS n_messages, message_ids
+FROM s LEFT JOIN f ON f.session_id = s.id FULL JOIN m ON m.session_id = s.id AND m.part = s.part
 """
 )
 def session_load(spark, d):
     s = table(spark, d, "sessions")
     r = store.load_sessions(s.select("id"), s, table(spark, d, "security_findings"), table(spark, d, "chat_messages"))
     ids = lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x["id"].cast("string")), ","), F.lit(""))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return r.select("id", "title", F.greatest(n("findings"), F.lit(0)).alias("n_findings"), ids(F.col("findings")).alias("finding_ids"), F.greatest(n("messages"), F.lit(0)).alias("n_messages"), ids(F.col("messages")).alias("message_ids"))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return r.select("id", "part", "title", n(F.col("findings")).alias("n_findings"), ids(F.col("findings")).alias("finding_ids"), n(F.col("messages")).alias("n_messages"), ids(F.col("messages")).alias("message_ids"))
 
 
 @query("SELECT code_hash, query_hash, arg_max(response, (created_at, id)) AS response FROM (SELECT code_hash, query_hash, created_at, id, {'r': response} AS response FROM analysis_cache WHERE code_hash IS NOT NULL AND query_hash IS NOT NULL) GROUP BY ALL".replace("arg_max(response, (created_at, id)) AS response", "(arg_max(response, (created_at, id))).r AS response"))

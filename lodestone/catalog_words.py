@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.catalog import _TOK, _quote, query
@@ -303,3 +306,155 @@ def evaluation_summary(spark, d):
     named = r.select("question_id", "vec_id", "rank").join(lang, "vec_id")
     qrels = table(spark, d, "eval_items").select(F.col("item_id").alias("question_id"), F.array("lang").alias("relevant"))
     return evalm.summary(evalm.per_question(named, qrels)).select("n_questions", F.round("hit", 6).alias("hit"), F.round("mrr", 6).alias("mrr"), "grade")
+
+
+# -- prompts and answers -----------------------------------------------------------------------------
+
+
+def _shouting(prompt: str, timeout: float) -> str:
+    """A service that answers in capitals; it knows nothing of questions on maps."""
+    if "map" in prompt:
+        raise Busy
+    return prompt.upper()
+
+
+@query(
+    """
+WITH r AS (SELECT id, row_number() OVER (PARTITION BY query_hash ORDER BY id) AS rank, query_hash, response FROM analysis_cache WHERE query_hash IS NOT NULL AND response IS NOT NULL),
+c AS (SELECT query_hash, string_agg('[' || rank || '] function f' || id || ' (lines ' || (id + 1) || '-' || (id + 3) || ')' || chr(10) || 'decorators: cached' || chr(10) || 'types: a: int' || chr(10) || substr(response, 1, 2000), chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 5 GROUP BY 1),
+q AS (SELECT query_hash, any_value(query) AS text FROM (SELECT DISTINCT query_hash, query FROM analysis_cache WHERE query_hash IS NOT NULL AND query IS NOT NULL) GROUP BY 1 HAVING count(*) = 1)
+SELECT query_hash, 'Kind of question: general' || chr(10) || chr(10) || 'Statistics:' || chr(10) || 'Lines: 3' || chr(10) || chr(10) || 'Code:' || chr(10) || coalesce(context, '(nothing found)') || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM q LEFT JOIN c USING (query_hash)
+"""
+)
+def prompt_texts(spark, d):
+    """Prompts of the cached questions with their cached answers as chunks, without the instruction that opens them."""
+    a = table(spark, d, "analysis_cache").where("query_hash is not null")
+    rank = F.row_number().over(W.partitionBy("query_hash").orderBy("id"))
+    chunks = a.where("response is not null").select(
+        F.col("query_hash").alias("question_id"), rank.alias("rank"), F.lit("function").alias("chunk_type"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.col("id").cast("int").alias("line_start"), F.lit(3).alias("line_count"),
+        F.array(F.lit("cached")).alias("decorators"), F.array(F.struct(F.lit("a").alias("name"), F.lit("int").alias("hint"))).alias("hints"), F.col("response").alias("content"),
+    )
+    q = a.where("query is not null").select(F.col("query_hash").alias("question_id"), F.col("query").alias("text")).distinct()
+    q = q.groupBy("question_id").agg(F.count("*").alias("n"), F.min("text").alias("text")).where("n = 1").select("question_id", "text", F.lit("general").alias("intent"), F.lit("Lines: 3").alias("stats_text"))
+    p = context.prompts(q, context.chunk_context(chunks))
+    return p.select(F.col("question_id").alias("query_hash"), F.expr("substring(prompt, locate('Kind of question', prompt))").alias("prompt"))
+
+
+@query("SELECT item_id AS question_id, CASE WHEN contains(text, 'map') THEN NULL ELSE upper(text) END AS answer FROM eval_items WHERE regexp_matches(text, '^[ -~\\n\\t]*$')")
+def answered(spark, d):
+    """Answers of a client that retries a busy service and then gives up (texts of plain ASCII)."""
+    p = _items(spark, d).where(F.col("text").rlike("^[ -~\\n\\t]*$")).select("question_id", F.col("text").alias("prompt"))
+    return context.answers(p, RetryingClient(_shouting, attempts=2, wait=_no_wait)).select("question_id", "answer")
+
+
+def _no_wait(seconds: float) -> None:
+    pass
+
+
+@query(
+    """
+SELECT count(*) AS n_queries, round(avg(v), 6) AS mean_seconds, round(avg(CASE WHEN response IS NULL THEN 0 ELSE 1 END), 6) AS share_answered, count(*) FILTER (WHERE id % 3 = 0) AS n_cached, round(avg(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END), 6) AS share_cached,
+  max(v) AS longest_seconds, count(DISTINCT id % 5) AS n_intents FROM (SELECT id, response, CAST(id % 10 AS DOUBLE) AS v FROM analysis_cache)"""
+)
+def query_log_statistics(spark, d):
+    log = table(spark, d, "analysis_cache").select((F.col("id") % 10).cast("double").alias("seconds"), F.col("response").alias("answer"), (F.col("id") % 3 == 0).alias("cached"), (F.col("id") % 5).cast("string").alias("intent"))
+    return context.log_stats(log).withColumns({c: F.round(c, 6) for c in ("mean_seconds", "share_answered", "share_cached")})
+
+
+_NAMES = "list_sort(list(p_name))"
+
+
+@query(
+    f"WITH g AS (SELECT p_brand, {_NAMES} AS xs FROM part GROUP BY 1) SELECT p_brand, CAST(len(xs) AS BIGINT) AS n, "
+    + ", ".join(f"array_to_string(xs[1:{n}], '|') AS {c}" for c, n in plan.SNAPSHOT_CAPS.items())
+    + " FROM g"
+)
+def snapshots(spark, d):
+    """Shortened lists of each brand's parts, with the whole count."""
+    g = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), *[F.collect_list("p_name").alias(c) for c in plan.SNAPSHOT_CAPS])
+    return plan.snapshot(g).withColumns({c: F.array_join(c, "|") for c in plan.SNAPSHOT_CAPS})
+
+
+# -- files, scanners and what is written -------------------------------------------------------------
+
+
+@query("SELECT sha256('x = 1' || chr(10) || 'name = ' || chr(39) || n_name || chr(39) || chr(10)) AS code_hash, CAST(3 AS INT) AS n_lines FROM nation")
+def files_read_back(spark, d):
+    """A file for each nation, written to the shared folder and read as sources."""
+    folder = _shared_folder(spark)
+    n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("x = 1\nname = '"), "n_name", F.lit("'")).alias("value"))
+    n.repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    return src.read_sources(spark, folder, "*.txt").select("code_hash", F.size(F.split("code", "\n", -1)).alias("n_lines"))
+
+
+@query(
+    """
+WITH f AS (SELECT session_id AS file_id, rule, message, line_number, row_number() OVER (PARTITION BY session_id ORDER BY id) - 1 AS seq FROM (SELECT DISTINCT * FROM security_findings))
+SELECT file_id, seq, coalesce(line_number, 0) AS line, 'bandit' AS source, rule, message, CAST(NULL AS VARCHAR) AS suggestion, 'line ' || line_number AS code_snippet FROM f"""
+)
+def scanner_report(spark, d):
+    """Stored findings as an external scanner's JSON, read as raw findings."""
+    f = table(spark, d, "security_findings").distinct()
+    r = F.struct("id", F.col("rule").alias("test_id"), F.col("message").alias("issue_text"), "line_number", F.concat(F.lit("line "), F.col("line_number").cast("string")).alias("code"))
+    results = f.groupBy(F.col("session_id").alias("file_id")).agg(F.sort_array(F.collect_list(r)).alias("results"))
+    return src.scanner_findings(results).withColumn("line", F.coalesce("line", F.lit(0)))
+
+
+#: A scanner in one line: it names the lines of a file that hold a capital A.
+_SCANNER = (sys.executable, "-c", "import json,sys; print(json.dumps({'results': [{'test_id': 'B1', 'issue_text': 'capital', 'line_number': k} for k, x in enumerate(open(sys.argv[1]), 1) if 'A' in x]}))")
+
+
+@query("SELECT n_nationkey::BIGINT AS file_id, CAST(0 AS BIGINT) AS seq, CAST(2 AS INT) AS line, 'bandit' AS source, 'B1' AS rule, 'capital' AS message, '    x = 1' || chr(10) || '>>> ' || n_name || chr(10) || '    y = 2' AS code_snippet FROM nation WHERE contains(n_name, 'A')")
+def scanner_run(spark, d):
+    """An external program run on each nation's file."""
+    f = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("file_id"), F.concat(F.lit("x = 1\n"), "n_name", F.lit("\ny = 2")).alias("code"))
+    return src.run_scanner(f.coalesce(1), _SCANNER).drop("suggestion")
+
+
+@query(
+    """
+SELECT 'sessions' AS t, CAST(r_regionkey + 1 AS BIGINT) AS id, 0 AS session_id, r_name AS a, sha256('x = eval(' || replace(r_name, ' ', '_') || ')') AS b FROM region
+UNION ALL SELECT 'security_findings', r_regionkey + 1, r_regionkey + 1, 'HIGH', 'dangerous_eval_exec' FROM region
+UNION ALL SELECT 'chat_messages', row_number() OVER (ORDER BY n_nationkey), n_regionkey + 1, n_name, CASE WHEN n_nationkey % 2 = 0 THEN sha256(n_name) END FROM nation
+UNION ALL SELECT 'code_chunks', row_number() OVER (ORDER BY n_regionkey, n_nationkey), n_regionkey + 1, n_name, CAST(n_nationkey AS VARCHAR) FROM nation
+UNION ALL SELECT 'analysis_cache', row_number() OVER (ORDER BY n_name), 0, n_name, sha256(n_name) FROM nation
+"""
+)
+def store_round_trip(spark, d):
+    """Sessions with findings, messages, chunks and answers saved to a new store and read back."""
+    st = store.SessionStore(spark, _shared_folder(spark))
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    files = r.select(F.col("r_regionkey").cast("long").alias("file_id"), F.lit("a.py").alias("path"), F.col("r_name").alias("title"), F.concat(F.lit("x = eval("), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit(")")).alias("code"))
+    a = plan.analyze(files, snippets=False)
+    st.save_sessions(files, a.findings, a.status)
+    sid = (F.col("n_regionkey") + 1).cast("long").alias("session_id")
+    role = F.when(F.col("n_nationkey") % 2 == 0, "user").otherwise("assistant")
+    st.save_messages(n.orderBy(F.desc("n_name")).select(sid, role.alias("role"), F.col("n_name").alias("content"), F.create_map(F.lit("client"), F.lit("web")).alias("metadata"), F.col("n_nationkey").alias("seq")))
+    st.save_chunks(n.select(sid, F.col("n_nationkey").alias("chunk_index"), F.col("n_name").alias("chunk_text"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit(None).cast("string").alias("embedding_id")))
+    h = store.content_hash(F.col("n_name"))
+    st.save_cache(n.select(F.col("n_name").alias("code_hash"), h.alias("query_hash"), F.lit("q").alias("query"), F.lit("r").alias("response")))
+    none = F.lit(0).cast("long")
+    parts = (
+        ("sessions", none, "title", F.col("code_hash")), ("security_findings", F.col("session_id"), "severity", F.col("rule")), ("chat_messages", F.col("session_id"), "content", F.col("query_hash")),
+        ("code_chunks", F.col("session_id"), "chunk_text", F.col("chunk_index").cast("string")), ("analysis_cache", none, "code_hash", F.col("query_hash")),
+    )
+    out = [st.table(t).select(F.lit(t).alias("t"), "id", s.alias("session_id"), F.col(x).alias("a"), b.alias("b")) for t, s, x, b in parts]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+@query(
+    """
+SELECT t, CAST(n AS BIGINT) AS n FROM (SELECT 'version' AS t, 25 AS n UNION ALL SELECT 'chunks', 25 UNION ALL SELECT 'vectors', 25 UNION ALL SELECT 'edges', 25 UNION ALL SELECT 'posted names', count(DISTINCT lower(n_name)) FROM nation)"""
+)
+def index_round_trip(spark, d):
+    """A retrieval index of a file for each nation, written with its version, checked and read back."""
+    root = _shared_folder(spark)
+    n = table(spark, d, "nation")
+    name = F.regexp_replace("n_name", " ", "_")
+    files = n.select(F.col("n_nationkey").cast("long").alias("file_id"), F.lit("a.py").alias("path"), F.concat(F.lit("def "), name, F.lit("(x):\n    return load(x)\n")).alias("code"))
+    plan.build_index(files).write(root)
+    ix = plan.Index.read(spark, root)
+    version = spark.read.parquet(f"{root}/version").where(F.col("version") == plan.INDEX_VERSION).select(F.lit("version").alias("t"), F.col("n_chunks").alias("n"))
+    count = lambda t, df: df.groupBy().agg(F.lit(t).alias("t"), F.count("*").alias("n"))
+    names = ix.postings.where("field = 'exact_match'").select("term").distinct()
+    return reduce(lambda x, y: x.unionByName(y), [version, count("chunks", ix.chunks), count("vectors", ix.vectors), count("edges", ix.edges), count("posted names", names)])

@@ -48,11 +48,16 @@ def chunk_context(results: DataFrame, limit: int = 5, width: int = 2000) -> Data
 
 
 def prompts(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``(question_id, prompt)``; a question without results gets a prompt that says so."""
+    """``(question_id, prompt)``; a question without results gets a prompt that says so.
+
+    Statistics of the code come first where ``questions`` has a column ``stats_text``.
+    """
+    stats = F.concat(F.lit("Statistics:\n"), "stats_text") if "stats_text" in questions.columns else F.lit(None).cast("string")
     text = F.concat_ws(
         "\n\n",
         F.lit("Answer from the code below only. Name the functions and lines you rely on; say so if the code does not tell."),
         F.concat(F.lit("Kind of question: "), "intent"),
+        stats,
         F.concat(F.lit("Code:\n"), F.coalesce("context", F.lit("(nothing found)"))),
         F.concat(F.lit("Question: "), "text"),
     )
@@ -84,9 +89,19 @@ def answers(prompts_: DataFrame, client: Callable[[str], str] | None = None) ->
 
 
 def log_stats(log: DataFrame) -> DataFrame:
-    """Queries, mean seconds, share answered and from the cache, of a query log."""
+    """One row on a query log (``seconds, answer``): queries, mean and longest time, share answered.
+
+    Where the log has them, also ``cached`` (number and share from the cache) and ``intent`` (kinds asked).
+    """
+    more = []
+    if "cached" in log.columns:
+        more += [F.count_if(F.col("cached")).alias("n_cached"), F.avg(F.col("cached").cast("double")).alias("share_cached")]
+    if "intent" in log.columns:
+        more.append(F.count_distinct("intent").alias("n_intents"))
     return log.agg(
         F.count("*").alias("n_queries"),
         F.avg("seconds").alias("mean_seconds"),
+        F.max("seconds").alias("longest_seconds"),
         F.avg(F.col("answer").isNotNull().cast("double")).alias("share_answered"),
+        *more,
     )

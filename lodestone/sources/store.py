@@ -49,38 +49,41 @@ def display_title(sessions: DataFrame) -> DataFrame:
     return sessions.select("id", F.coalesce(F.nullif("title", F.lit("")), "filename").alias("title"))
 
 
-def load_sessions(ids: DataFrame, sessions: DataFrame, findings: DataFrame, messages: DataFrame) -> DataFrame:
-    """Sessions of ``ids`` (column ``id``) with their findings and messages as arrays ordered by id.
+def load_sessions(ids: DataFrame, sessions: DataFrame, findings: DataFrame, messages: DataFrame, per_row: int = 1000) -> DataFrame:
+    """Sessions of ``ids`` (column ``id``) with their findings and messages, in parts of bounded size.
 
-    A batch of ids is one pair of joins. Messages of broken JSON keep empty metadata. A session is one
-    row: for sessions of any length see :func:`session_messages`.
+    Part 0 of a session holds its columns, its findings and its first ``per_row`` messages, each further
+    part the next ones; arrays are ordered by id. A batch of ids is one pair of joins. Messages of broken
+    JSON keep empty metadata.
     """
-    s = sessions.join(ids.select("id").distinct(), "id", "left_semi")
+    s = sessions.join(ids.select("id").distinct(), "id", "left_semi").withColumn("part", F.lit(0).cast("long"))
     want = s.select(F.col("id").alias("session_id"))
     f = findings.join(want, "session_id", "left_semi").groupBy("session_id").agg(
         F.sort_array(F.collect_list(F.struct("id", "severity", "rule", "line_number", "message", "suggestion"))).alias("findings")
     )
-    meta = F.coalesce(F.from_json("retrieved_chunks", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    m = messages.join(want, "session_id", "left_semi").groupBy("session_id").agg(
-        F.sort_array(F.collect_list(F.struct("id", "role", "content", F.to_json(meta).alias("metadata")))).alias("messages")
-    )
-    return s.join(f, s.id == f.session_id, "left").drop("session_id").join(m, s.id == m.session_id, "left").drop("session_id")
+    m = session_messages(want.withColumnRenamed("session_id", "id"), messages, per_row).withColumnRenamed("session_id", "id")
+    whole = s.join(f.withColumnRenamed("session_id", "id"), "id", "left")
+    return whole.join(m.drop("n"), ["id", "part"], "full")
 
 
 def session_messages(ids: DataFrame, messages: DataFrame, per_row: int = 1000) -> DataFrame:
-    """``(session_id, part, n, messages)``: messages of ``ids`` in order of their ids, in bounded parts.
+    """``(session_id, part, n, messages)``: messages of ``ids`` in order of their ids, ``per_row`` to a part.
 
-    A part holds the messages of about ``per_row`` neighbouring rows of the whole order, so a session
-    with a third of all rows is many parts on many tasks. ``part`` counts up within a session, with gaps.
+    A session with a third of all rows is many parts on many tasks: rows are range-sorted, numbered
+    within their block, and moved on by one row for each block and session.
     """
     want = messages.join(ids.select(F.col("id").alias("session_id")).distinct(), "session_id", "left_semi")
     n = int(want.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     meta = F.coalesce(F.from_json("retrieved_chunks", "map<string,string>"), F.create_map().cast("map<string,string>"))
     rows = want.select("session_id", F.struct("id", "role", "content", F.to_json(meta).alias("metadata")).alias("m"))
-    placed = materialize(rows.repartitionByRange(n, "session_id", "m.id").sortWithinPartitions("session_id", "m.id").withColumn("p", F.spark_partition_id()))
-    at = F.row_number().over(W.partitionBy("p").orderBy("session_id", "m.id")) - 1
-    part = F.col("p").cast("long") * (1 << 32) + F.floor(at / per_row)
-    return placed.withColumn("part", part).groupBy("session_id", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("m")).alias("messages"))
+    placed = materialize(rows.repartitionByRange(n, "session_id", "m").withColumn("p", F.spark_partition_id()))
+    local = placed.withColumn("r", F.row_number().over(W.partitionBy("session_id", "p").orderBy("m")))
+    before = W.partitionBy("session_id").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    blocks = placed.groupBy("session_id", "p").agg(F.count("*").alias("n"))
+    offsets = blocks.select("session_id", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("moved"))
+    part = F.floor((F.col("r") + F.col("moved") - 1) / per_row).alias("part")
+    numbered = local.join(offsets, ["session_id", "p"]).select("session_id", part, "m")
+    return numbered.groupBy("session_id", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("m")).alias("messages"))
 
 
 def latest_responses(cache: DataFrame) -> DataFrame:
