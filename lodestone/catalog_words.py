@@ -413,7 +413,7 @@ def scanner_run(spark, d):
 
 @query(
     """
-SELECT 'sessions' AS t, CAST(r_regionkey + 1 AS BIGINT) AS id, 0 AS session_id, r_name AS a, sha256('x = eval(' || replace(r_name, ' ', '_') || ')') AS b FROM region
+SELECT 'sessions' AS t, CAST(r_regionkey + 1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS session_id, r_name AS a, sha256('x = eval(' || replace(r_name, ' ', '_') || ')') AS b FROM region
 UNION ALL SELECT 'security_findings', r_regionkey + 1, r_regionkey + 1, 'HIGH', 'dangerous_eval_exec' FROM region
 UNION ALL SELECT 'chat_messages', row_number() OVER (ORDER BY n_nationkey), n_regionkey + 1, n_name, CASE WHEN n_nationkey % 2 = 0 THEN sha256(n_name) END FROM nation
 UNION ALL SELECT 'code_chunks', row_number() OVER (ORDER BY n_regionkey, n_nationkey), n_regionkey + 1, n_name, CAST(n_nationkey AS VARCHAR) FROM nation

@@ -1,5 +1,9 @@
 """Source files as a relation of syntax-tree nodes, made in one pass over the corpus.
 
+A file that parses has a ``Module`` node, one that does not has a single ``Error`` node with line,
+offset (``pos``) and message (``name``); both tell the file's lines (``n_values``). With ``chunks``
+these two also carry the file's chunks, so that nothing is parsed twice.
+
 A node is encoded as a nested set: ``x`` lies in the subtree of ``y`` exactly if
 ``x.enter BETWEEN y.enter AND y.exit``. ``bfs`` is the node's place in breadth-first order, which
 decides "last assignment", "next calls" and "first enclosing call". What needs a look at literal
@@ -14,7 +18,6 @@ import warnings
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,6 @@ NODES = (
     "names array<string>, targets array<string>, modules array<string>, built boolean, placeholder boolean, safe boolean, ops array<string>, "
     "n_values int, first_line int, main_guard boolean, const_true boolean, block_depth int, is_async boolean"
 )
-STATUS = "file_id long, valid boolean, err_line int, err_offset int, err_msg string, n_lines int"
 
 _SKIP = (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
 _LEAVES = (ast.Name, ast.Constant, ast.Attribute)
@@ -178,9 +180,9 @@ def _hints(node) -> list[dict]:
     return [{"name": k, "hint": v} for k, v in out.items()]
 
 
-def nodes_of(code: str, names: bool = False) -> list[dict]:
+def nodes_of(code: str, names: bool = False, tree: ast.AST | None = None) -> list[dict]:
     """Node records of one file; ``names`` adds the leaves (Name, Attribute, Constant)."""
-    f = _File(ast.parse(code))
+    f = _File(ast.parse(code) if tree is None else tree)
     rows = []
     for node in f.order:
         if isinstance(node, _SKIP) or (not names and isinstance(node, _LEAVES)):
@@ -269,53 +271,67 @@ def nodes_of(code: str, names: bool = False) -> list[dict]:
 _ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def ast_nodes(files: DataFrame, names: bool = False) -> DataFrame:
-    """Nodes of all files that parse; ``files`` has ``file_id`` and ``code``. Null code has none."""
+def _error(n_lines: int, message: str, line: int | None = None, offset: int | None = None) -> dict:
+    return {"bfs": 0, "enter": 0, "exit": 0, "parent": -1, "kind": "Error", "pos": offset, "lineno": line, "name": message, "n_values": n_lines}
+
+
+def records(code: str | None, names: bool = False, chunks: bool = False) -> list[dict]:
+    """Nodes of one file, or its error; nothing but this parses."""
+    if code is None:
+        return [_error(0, "no code")]
+    n, tree = code.count("\n") + 1, None
+    try:
+        tree = ast.parse(code)
+        rows = nodes_of(code, names, tree)
+        rows[0]["n_values"] = n
+    except SyntaxError as e:
+        rows = [_error(n, e.msg, e.lineno, e.offset)]
+    except _ERRORS as e:
+        rows, tree = [_error(n, str(e))], None
+    if chunks:
+        from lodestone.operators.chunk import chunk_records
+
+        rows[0]["chunks"] = chunk_records(code, tree)
+    return rows
+
+
+def ast_nodes(files: DataFrame, names: bool = False, chunks: bool = False) -> DataFrame:
+    """Nodes of all files; ``files`` has ``file_id`` and ``code``. Null code is an ``Error`` node.
+
+    ``chunks`` adds a column of that name with the file's chunks at its first node.
+    """
+    from lodestone.operators.chunk import CHUNK
 
-    arrow = to_arrow_schema(_parse_datatype_string(NODES))
+    schema = NODES + (f", chunks array<struct<{CHUNK}>>" if chunks else "")
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore")
         rows: list[dict] = []
         for batch in it:
             for fid, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if code is None:
-                    continue
-                try:
-                    rows += [{"file_id": fid} | r for r in nodes_of(code, names)]
-                except _ERRORS:
-                    continue
+                rows += [{"file_id": fid} | r for r in records(code, names, chunks)]
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                     rows = []
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return spread(files.select(F.col("file_id").cast("long"), "code")).mapInArrow(parse, NODES)
+    return spread(files.select(F.col("file_id").cast("long"), "code")).mapInArrow(parse, schema)
 
 
-def parse_status(files: DataFrame) -> DataFrame:
+def status_of(nodes: DataFrame) -> DataFrame:
     """Whether each file parses, where it fails, and its number of lines; null code is not valid."""
+    valid = F.col("kind") == "Module"
+    error = lambda c: F.when(~valid, F.col(c))
+    return nodes.where("kind in ('Module', 'Error')").select(
+        "file_id", valid.alias("valid"), error("lineno").alias("err_line"), error("pos").alias("err_offset"), error("name").alias("err_msg"), F.col("n_values").alias("n_lines")
+    )
 
-    def status(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        warnings.simplefilter("ignore")
-        for pdf in it:
-            rows = []
-            for fid, code in zip(pdf["file_id"], pdf["code"]):
-                if code is None:
-                    rows.append((fid, False, None, None, "no code", 0))
-                    continue
-                n = code.count("\n") + 1
-                try:
-                    ast.parse(code)
-                    rows.append((fid, True, None, None, None, n))
-                except SyntaxError as e:
-                    rows.append((fid, False, e.lineno, e.offset, e.msg, n))
-                except _ERRORS as e:
-                    rows.append((fid, False, None, None, str(e), n))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATUS.split(", ")]).astype({"err_line": "Int32", "err_offset": "Int32"})
-
-    return spread(files.select("file_id", "code")).mapInPandas(status, STATUS)
+
+def parse_status(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """:func:`status_of` the files, from their nodes where these are made already."""
+    return status_of(ast_nodes(files) if nodes is None else nodes)
 
 
 def calls(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ast
 import re
-import warnings
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,11 +19,11 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import dims
 from lodestone.operators.ast_table import _ERRORS, _hints, _last_name
-from lodestone.session import spread
 
-CHUNKS = (
-    "file_id long, chunk_id int, content string, chunk_type string, name string, base_name string, line_start int, line_count int, docstring string, "
-    "decorators array<string>, hints array<struct<name:string,hint:string>>, special_type string, parent string, is_async boolean, is_partial boolean"
+#: Fields of a chunk, as of a struct.
+CHUNK = (
+    "chunk_id:int, content:string, chunk_type:string, name:string, base_name:string, line_start:int, line_count:int, docstring:string, "
+    "decorators:array<string>, hints:array<struct<name:string,hint:string>>, special_type:string, parent:string, is_async:boolean, is_partial:boolean"
 )
 _DEF = re.compile(r"(async\s+)?def\s+(\w+)")
 _CLASS = re.compile(r"(async\s+)?class\s+(\w+)")
@@ -58,12 +57,10 @@ class Structure:
     nested: dict[str, str] = field(default_factory=dict)
 
 
-def structure_of(code: str) -> Structure:
-    """Structure by parsing; by patterns alone (names, no ranges) where that fails."""
+def structure_of(code: str, tree: ast.AST | None) -> Structure:
+    """Structure by its tree; by patterns alone (names, no ranges) without one."""
     s = Structure()
-    try:
-        tree = ast.parse(code)
-    except _ERRORS:
+    if tree is None:
         s.functions = {n: [] for n in re.findall(r"def\s+(\w+)", code)}
         s.classes = set(re.findall(r"class\s+(\w+)", code))
         return s
@@ -287,9 +284,20 @@ def nested_chunks(lines: list[str], s: Structure) -> Iterator[dict]:
         k = end
 
 
-def chunks_of(code: str) -> list[dict]:
-    """Chunk records of one file, in order."""
-    s = structure_of(code)
+def parsed(code: str) -> ast.AST | None:
+    """The tree of a file, or none where it does not parse."""
+    try:
+        return ast.parse(code)
+    except _ERRORS:
+        return None
+
+
+def chunks_of(code: str, tree: ast.AST | None = None) -> list[dict]:
+    """Chunk records of one file, in order; without ``tree`` the file is parsed."""
+    return _chunks(code, structure_of(code, parsed(code) if tree is None else tree))
+
+
+def _chunks(code: str, s: Structure) -> list[dict]:
     lines = code.split("\n")
     blocks = (parsed_blocks(lines, s) if s.ranges else []) or scanned_blocks(lines, s)
     out: list[dict] = []
@@ -316,24 +324,23 @@ def chunks_of(code: str) -> list[dict]:
     return out
 
 
+def chunk_records(code: str, tree: ast.AST | None) -> list[dict]:
+    """Chunks of one file with all fields; ``tree`` is none where it does not parse."""
+    s = {"is_async": False, "is_partial": False, "decorators": [], "hints": []}
+    found = _chunks(code, structure_of(code, tree))
+    return [s | {"chunk_id": k, "base_name": c["name"].split("_part")[0]} | c for k, c in enumerate(found)]
+
+
+def chunks_in(nodes: DataFrame) -> DataFrame:
+    """Chunks of all files out of nodes made with ``chunks``; null code gives none, empty code one empty ``code_block``."""
+    return nodes.where("chunks is not null").select("file_id", F.inline("chunks"))
+
+
 def code_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of all files; null code gives none, empty code one empty ``code_block``."""
-    cols = [c.split()[0] for c in CHUNKS.split(", ")]
+    """Chunks of all files, parsed for it; see :func:`chunks_in`."""
+    from lodestone.operators.ast_table import ast_nodes
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        warnings.simplefilter("ignore")
-        for pdf in it:
-            rows = []
-            for fid, code in zip(pdf["file_id"], pdf["code"]):
-                if code is None:
-                    continue
-                for k, c in enumerate(chunks_of(code)):
-                    base = c["name"].split("_part")[0]
-                    rows.append({"file_id": fid, "chunk_id": k, "base_name": base, "is_async": False, "is_partial": False, "decorators": [], "hints": []} | c)
-            out = pd.DataFrame(rows, columns=cols)
-            yield out.astype(object).where(out.notna(), None) if rows else out
-
-    return spread(files.select(F.col("file_id").cast("long"), "code")).mapInPandas(run, CHUNKS)
+    return chunks_in(ast_nodes(files, chunks=True))
 
 
 def simple_chunks(documents: DataFrame, id_col: str, text_col: str, limit: int = dims.CHUNK_MAX, overlap: int = dims.CHUNK_OVERLAP) -> DataFrame:

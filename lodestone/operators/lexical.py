@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import words
 from lodestone.operators import dims
+from lodestone.session import bounded_broadcast, materialize
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,22 +35,25 @@ def idf_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k1: float = dims.BM25_K1, b: float = dims.BM25_B) -> DataFrame:
     """``(query_id, doc, bm25)`` of all documents sharing a word with a query.
 
-    ``queries`` has ``query_id`` and ``text``. Only postings of query words are counted: the words of
-    the queries meet the exploded words in a semi-join before any aggregation, so the shuffle carries
-    the matching words only. A query word counts as often as it is asked.
+    ``queries`` has ``query_id`` and ``text``. The corpus is split into words once: a text's words are
+    counted in place, and only the counts of query words (broadcast while these are few) leave its task,
+    together with its length, and are kept for document frequencies and scores. A query word counts as
+    often as it is asked.
     """
     terms = queries.select("query_id", F.explode(words(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("qf"))
-    lengths = document_lengths(docs, id_col, text_col)
-    stats = corpus_stats(lengths)
-    exploded = docs.select(
-        F.col(id_col).alias("doc"), F.explode(words(F.col(text_col))).alias("tok"), F.size(words(F.col(text_col))).cast("long").alias("dl")
-    )
-    used = exploded.join(terms.select("tok").distinct(), "tok", "left_semi")
-    tf = used.groupBy("doc", "tok", "dl").agg(F.count("*").alias("tf"))
+    terms = materialize(terms)
+    asked = materialize(terms.select("tok").distinct())
+    split = docs.select(F.col(id_col).alias("doc"), words(F.col(text_col)).alias("ws"))
+    n = F.coalesce(F.size("ws"), F.lit(0)).cast("long")
+    stats = split.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(n, F.lit(0))).alias("avgdl"))
+    # words of one text stay together: repeated ones are counted before the shuffle
+    used = split.select("doc", n.alias("dl"), F.explode("ws").alias("tok")).join(bounded_broadcast(asked, 500_000), "tok", "left_semi")
+    tf = materialize(used.groupBy("doc", "tok", "dl").agg(F.count("*").alias("tf")))
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    scored = tf.join(df, "tok").join(terms, "tok").join(F.broadcast(stats))
+    few = terms.join(df, "tok")
+    scored = tf.join(bounded_broadcast(materialize(few), 500_000), "tok").join(F.broadcast(stats))
     return scored.groupBy("query_id", "doc").agg(F.sum(F.col("qf") * idf * part).alias("bm25"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunk, context, evalm, graph, lexical, merge, metaindex, metrics, retrieve, router, rules, vector
-from lodestone.operators.ast_table import ast_nodes, parse_status
+from lodestone.operators.ast_table import ast_nodes, status_of
 from lodestone.session import materialize
 from lodestone.sources import store
 
@@ -32,14 +32,28 @@ def analyze(files: DataFrame, external: DataFrame | None = None, snippets: bool
 
     A file that does not parse has a status and no findings.
     """
-    nodes = materialize(ast_nodes(files))
+    nodes = materialize(ast_nodes(files, chunks=True))
     raw = rules.raw_findings(files, nodes)
     if snippets:
         raw = rules.with_snippets(raw, files)
     if external is not None:
         raw = merge.concatenate(raw, external)
     merged = merge.ranked(merge.merge_findings(raw))
-    return Analysis(parse_status(files), nodes, merged, metrics.file_metrics(files, nodes), merge.counts(merged, "file_id"))
+    return Analysis(status_of(nodes), nodes, merged, metrics.file_metrics(files, nodes), merge.counts(merged, "file_id"))
+
+
+def analyze_and_store(files: DataFrame, target: store.SessionStore, embed=vector.hashed_embedding) -> tuple[Analysis, Index, DataFrame]:
+    """Analyse files (``file_id, path, title, code``), save them as sessions, index them, save their chunks.
+
+    Returns the analysis, the index and ``(file_id, id)`` of the new sessions. Files are parsed once.
+    """
+    done = analyze(files)
+    ids = materialize(target.save_sessions(files, done.findings, done.status))
+    index = build_index(files, done.nodes, embed)
+    rows = index.chunks.join(ids.withColumnRenamed("id", "session_id"), "file_id")
+    lines = [F.lit(None).cast("int").alias(c) for c in ("start_line", "end_line")]
+    target.save_chunks(rows.select("session_id", F.col("chunk_id").alias("chunk_index"), F.col("content").alias("chunk_text"), *lines, F.lit(None).cast("string").alias("embedding_id")))
+    return done, index, ids
 
 
 @dataclass
@@ -84,10 +98,13 @@ def latest_chunks(chunks: DataFrame, order: str) -> DataFrame:
 
 
 def build_index(files: DataFrame, nodes: DataFrame | None = None, embed=vector.hashed_embedding) -> Index:
-    """Chunks, vectors, metadata postings and call edges of a corpus (``file_id, path, code``)."""
-    nodes = ast_nodes(files) if nodes is None else nodes
+    """Chunks, vectors, metadata postings and call edges of a corpus (``file_id, path, code``).
+
+    ``nodes`` are those of :func:`analyze`, which hold the chunks; without them the files are parsed once.
+    """
+    nodes = materialize(ast_nodes(files, chunks=True)) if nodes is None else nodes
     edges = materialize(graph.call_edges(nodes))
-    chunks = number_chunks(chunk.enriched(chunk.code_chunks(files), edges)).join(files.select("file_id", "path"), "file_id")
+    chunks = number_chunks(chunk.enriched(chunk.chunks_in(nodes), edges)).join(files.select("file_id", "path"), "file_id")
     chunks = materialize(chunks)
     # read several times by every batch of questions
     vectors, postings = materialize(embed(chunks, "vec_id", "content")), materialize(metaindex.meta_postings(chunks))

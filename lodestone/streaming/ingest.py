@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import merge, rules
+from lodestone.operators.ast_table import ast_nodes
+from lodestone.session import materialize
 
 FILES = "file_id long, path string, code string, at timestamp"
 
@@ -22,8 +24,8 @@ def new_contents(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def analyze_batch(files: DataFrame) -> DataFrame:
-    """Ranked findings of one batch."""
-    return merge.ranked(merge.merge_findings(rules.raw_findings(files)))
+    """Ranked findings of one batch, parsed once."""
+    return merge.ranked(merge.merge_findings(rules.raw_findings(files, materialize(ast_nodes(files)))))
 
 
 def run(stream: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
