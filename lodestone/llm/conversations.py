@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.text import clean_role, deduplicated_messages, ordered_blocks
+from lodestone.llm.text import clean_role, content_digest, deduplicated_messages, ordered_blocks
 from lodestone.session import bounded_broadcast, materialize
 
 ORDER = ("session_id", "created_at", "id")
@@ -187,15 +187,11 @@ def conversations(messages: DataFrame, gap_seconds: float | None = None, turns_p
     ``segment`` counts up after each gap of ``gap_seconds`` (None: never). Conversations named by
     :func:`conversation_defects` are left out.
     """
-    kept = deduplicated_messages(messages, "content").join(
-        conversation_defects(messages), "session_id", "left_anti"
-    )
+    dropped = bounded_broadcast(materialize(conversation_defects(messages).select("session_id")), 500_000)
+    kept = deduplicated_messages(messages, digest=True).drop("blank").join(dropped, "session_id", "left_anti")
     kept = kept.where(F.col("role").isin("user", "assistant"))
-    n = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the blocks' numbers must not change between the two uses: written once
-    placed = materialize(
-        kept.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).withColumn("block", F.spark_partition_id())
-    )
+    # turns are numbered without their texts; the blocks' numbers must not change between the two uses: written once
+    placed = materialize(ordered_blocks(kept, *ORDER).withColumn("block", F.spark_partition_id()))
     t = _seconds("created_at")
     in_block = W.partitionBy("session_id", "block").orderBy("created_at", "id")
     local = placed.withColumns(
@@ -218,18 +214,19 @@ def conversations(messages: DataFrame, gap_seconds: float | None = None, turns_p
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         (F.coalesce(F.sum("segs").over(before), F.lit(0)) + F.sum("bridge").over(over.rowsBetween(W.unboundedPreceding, 0))).alias("segs_before"),
     )
-    turns = local.join(offsets, ["session_id", "block"]).select(
+    numbered = local.join(offsets, ["session_id", "block"]).select(
         "session_id",
         (F.col("r") + F.col("rows_before")).alias("turn"),
         (F.col("seg") + F.col("segs_before")).alias("segment"),
         "role",
-        "content",
-        "created_at",
         "id",
+        "digest",
     )
+    texts = messages.where("session_id is not null").select("session_id", "id", "content", "created_at", content_digest().alias("digest"))
+    same = ["session_id", "id"]
+    turns = texts.join(numbered.withColumnRenamed("digest", "d"), same).where(F.col("digest").eqNullSafe(F.col("d")))
     part = F.floor((F.col("turn") - 1) / turns_per_row).cast("long")
     turn = F.struct("turn", "segment", "role", "content", "created_at", "id")
-    return (
-        turns.groupBy("session_id", part.alias("part"))
-        .agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(turn)).alias("turns"))
-    )
+    # a row delivered twice is one turn
+    lists = turns.groupBy("session_id", part.alias("part")).agg(F.sort_array(F.collect_set(turn)).alias("turns"))
+    return lists.select("session_id", "part", F.size("turns").cast("long").alias("n_turns"), "turns")

@@ -19,25 +19,28 @@ def clean_role(c: Column) -> Column:
     return F.when(c.isin("user", "assistant"), c).otherwise(F.lower(F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")))
 
 
-def deduplicated_messages(messages: DataFrame, *keep: str) -> DataFrame:
+def content_digest() -> Column:
+    """SHA-256 of the content as 32 bytes; null of a null content."""
+    return F.unhex(F.sha2(F.col("content"), 256))
+
+
+def deduplicated_messages(messages: DataFrame, digest: bool = False) -> DataFrame:
     """One row for each message.
 
     Rows equal in ``session_id``, cleaned role, ``content`` and ``created_at`` are one message; the
     smallest id stays. Rows without a session id belong to no conversation and are left out. The
-    content is compared by its SHA-256, so that only 32 bytes of it are shuffled; ``keep`` names
-    further columns to carry along (of the row with the smallest id).
+    content is compared by its SHA-256, so that only 32 bytes of it are shuffled; ``digest`` keeps them.
     """
     m = messages.where("session_id is not null").select(
         "session_id",
         clean_role(F.col("role")).alias("role"),
         "created_at",
         "id",
-        F.unhex(F.sha2(F.col("content"), 256)).alias("_digest"),
+        content_digest().alias("digest"),
         is_blank(F.col("content")).alias("blank"),
-        *keep,
     )
-    aggs = [F.min("id").alias("id")] + [F.min_by(c, "id").alias(c) for c in keep]
-    return m.groupBy("session_id", "role", "created_at", "_digest", "blank").agg(*aggs).drop("_digest")
+    out = m.groupBy("session_id", "role", "created_at", "digest", "blank").agg(F.min("id").alias("id"))
+    return out if digest else out.drop("digest")
 
 
 def ordered_blocks(df: DataFrame, *order: str) -> DataFrame:
