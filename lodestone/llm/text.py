@@ -20,8 +20,8 @@ def clean_role(c: Column) -> Column:
 
 
 def content_digest() -> Column:
-    """SHA-256 of the content as 32 bytes; null of a null content."""
-    return F.unhex(F.sha2(F.col("content"), 256))
+    """MD5 of the content as 16 bytes; null of a null content."""
+    return F.unhex(F.md5(F.col("content")))
 
 
 def deduplicated_messages(messages: DataFrame, digest: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def deduplicated_messages(messages: DataFrame, digest: bool = False) -> DataFram
 
     Rows equal in ``session_id``, cleaned role, ``content`` and ``created_at`` are one message; the
     smallest id stays. Rows without a session id belong to no conversation and are left out. The
-    content is compared by its SHA-256, so that only 32 bytes of it are shuffled; ``digest`` keeps them.
+    content is compared by its MD5, so that only 16 bytes of it are shuffled; ``digest`` keeps them.
     """
     m = messages.where("session_id is not null").select(
         "session_id",
