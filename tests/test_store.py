@@ -1,14 +1,17 @@
 """Sources, store, reports and streaming."""
 
+import json
 import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.context import answers
-from lodestone.plans.analyze import analyze
+from lodestone.plans.analyze import analyze, build_index
+from lodestone.plans.service import Service, talk
 from lodestone.sources import files as src
-from lodestone.sources.client import Busy, RetryingClient
+from lodestone.sources.client import Busy, HttpText, Refused, RetryingClient
 from lodestone.sources.store import SessionStore, next_ids, session_list, session_messages
 from lodestone.streaming import ingest
 
@@ -119,3 +122,47 @@ def test_stream_sees_each_content_once(spark, tmp_path):
 def test_generated_corpus_is_parsed(spark):
     ev = spark.createDataFrame([(1, 3, "error"), (2, 4, "other"), (3, 5, None)], "event_id long, user_id long, event_type string")
     assert src.generated_corpus(ev).where("code is null").count() == 0
+
+
+def test_service_calls(spark, tmp_path):
+    sv = Service(spark, SessionStore(spark, str(tmp_path / "store")), str.upper)
+    status, body = sv.analyze("import pickle\ndef load(x):\n    return eval(x)\n", "a.py", "  ")
+    assert status == 200 and body["title"] == "a.py" and (body["high"], body["medium"]) == (1, 1) and body["syntax_valid"]
+    sid = body["session_id"]
+    assert sv.store.table("code_chunks").count() == 2
+    first, again = sv.query("where is load defined?", session_id=sid), sv.query("where is load defined?", session_id=sid)
+    assert first[0] == 200 and not first[1]["cached"] and again[1]["cached"] and again[1]["answer"] == first[1]["answer"]
+    got = sv.session(sid)[1]["session"]
+    assert [m["role"] for m in got["messages"]] == ["user", "assistant"] * 2 and len(got["findings"]) == 2
+    assert sv.session(99)[0] == 404 and sv.query("x", session_id=99)[0] == 404
+    assert sv.rename(sid, "  ")[0] == 400 and sv.rename(99, "x")[0] == 400 and sv.rename(sid, "new")[0] == 200
+    assert [s["title"] for s in sv.sessions()[1]["sessions"]] == ["new"]
+    assert sv.delete(sid) == (200, {"ok": True}) and sv.sessions()[1]["sessions"] == []
+    lines, shown = iter(["help", "", "where is load defined", "stats", "exit", "never"]), []
+    index = build_index(spark.createDataFrame([(1, "a.py", "def load(x):\n    return x\n")], "file_id long, path string, code string"))
+    assert talk(spark, index, lambda: next(lines, None), shown.append) == 1
+    assert shown[0] == shown[1] and '"n_queries": 1' in shown[3]
+
+
+def test_http_client():
+    class Handler(BaseHTTPRequestHandler):
+        codes = iter([503, 200, 429])
+
+        def do_POST(self):
+            said = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(code := next(self.codes))
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(json.dumps({"text": said["prompt"][::-1]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    send = HttpText(f"http://127.0.0.1:{server.server_port}", lambda p: {"prompt": p}, lambda r: r["text"])
+    client = RetryingClient(send, wait=lambda s: None)
+    assert client("abc") == "cba"
+    with pytest.raises(Refused):
+        client("abc")
+    server.shutdown()
