@@ -16,11 +16,6 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
-def stripped(c: Column) -> Column:
-    """Without outer white space of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def snippet(code_lines: Column, line: Column, context: int = 2) -> Column:
     """Lines around ``line`` (from 1), marked ``>>> `` at the line itself, four blanks elsewhere.
 
@@ -47,8 +42,3 @@ def contains_any(c: Column, needles) -> Column:
     for x in needles:
         out = out | c.contains(x)
     return out
-
-
-def quoted(pattern: str) -> str:
-    """A pattern that matches the text literally."""
-    return r"\Q" + pattern + r"\E"
