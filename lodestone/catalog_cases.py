@@ -237,7 +237,7 @@ EDGES = {
 
 @query(_expect({"caller": "VARCHAR", "callee": "VARCHAR"}, EDGES))
 def case_edges(spark, d):
-    return graph.call_edges(_nodes(_files(spark, d)))
+    return graph.file_edges(_files(spark, d))
 
 
 @query(_expect({"outer": "VARCHAR", "inner": "VARCHAR"}, {"structure": [("outer_<u>", "inner")]}).replace("outer", '"outer"').replace("inner", '"inner"').replace('"outer"_<u>', "outer_<u>").replace("'\"inner\"'", "'inner'"))

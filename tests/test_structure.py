@@ -84,3 +84,27 @@ def test_packing_covers_all_lines():
     for start, part in chunk.plain_chunks(lines):
         assert part == lines[start : start + len(part)] and (len("\n".join(part)) <= 2500 or len(part) == 1)
     assert [len(p) for _, p in chunk.packed(["y" * 39] * 100)] == [62, 41, 3, 1]
+
+
+ODD = ["", None, "def f(:\n", "x = 1\n", "class A:\n    def a(self):\n        return g(h(1))(2)\n\n    @wrap(deep())\n    async def b(self, x=make()):\n        def a():\n            b().c()\n        return lambda: k(x)\n"]
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Join" in plan
+
+
+def test_edges_of_files_need_no_join(spark):
+    files = _files(spark, CODE, *ODD, CODE)
+    got = graph.file_edges(files)
+    assert not _joins(got)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {tuple(r) for r in graph.call_edges(ast_nodes(files)).collect()}
+    assert {"deep", "make", "k", "c", "g", "h"} <= {r[2] for r in rows}
+
+
+def test_registered_edges_need_no_join(spark):
+    import __spark_entry__
+
+    for name in ("case_edges", "generated_call_edges"):
+        assert not _joins(__spark_entry__.queries()[name](spark, __spark_entry__.SMOKE_DIR)), name
