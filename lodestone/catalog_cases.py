@@ -347,7 +347,7 @@ _CHUNK = {
 def case_chunks(spark, d):
     """All kinds of chunks with what they call; the longest docstring is compared on its first 200 characters."""
     files = _files(spark, d)
-    c = chunk.enriched(chunk.code_chunks(files), graph.call_edges(_nodes(files)))
+    c = chunk.related_chunks(files)
     lists = {x: F.array_join(x, ",") for x in ("calls", "called_by", "related")}
     doc = F.when(F.col("docstring").contains("wants to buy"), F.substring("docstring", 1, 200)).otherwise(F.col("docstring"))
     return c.withColumns(lists | {"docstring": doc}).select("file_id", *_CHUNK)

@@ -108,3 +108,16 @@ def test_registered_edges_need_no_join(spark):
 
     for name in ("case_edges", "generated_call_edges"):
         assert not _joins(__spark_entry__.queries()[name](spark, __spark_entry__.SMOKE_DIR)), name
+
+
+def test_related_chunks_equal_joined_ones_without_a_join(spark):
+    import __spark_entry__
+    from pyspark.sql import functions as F
+
+    files = _files(spark, CODE, *ODD).withColumn("path", F.lit("a.py"))
+    want = chunk.enriched(chunk.code_chunks(files), graph.call_edges(ast_nodes(files)))
+    got = chunk.related_chunks(files)
+    assert not _joins(got) and got.columns == [*want.columns, "path"]
+    assert sorted(map(str, got.drop("path").collect())) == sorted(map(str, want.collect()))
+    for name in ("case_chunks", "structure_chunks"):
+        assert not _joins(__spark_entry__.queries()[name](spark, __spark_entry__.SMOKE_DIR)), name
