@@ -108,3 +108,12 @@ def test_cache_aside_pipeline(spark):
     out, rows = answer_cached(q, cache, index, lambda p: "found" if "load_config" in p else "no")
     assert {(r["question_id"], r["answer"], r["cached"]) for r in out.collect()} == {(1, "new", True), (2, "found", False)}
     assert [r["response"] for r in rows.collect()] == ["found"]
+
+
+def test_fuzzy_shuffles_no_candidates(spark):
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abcé_"[: rng.integers(2, 6)]), rng.integers(1, 9))) for _ in range(150)} | {"x" * 70, "x" * 69 + "y"})
+    s = spark.createDataFrame([(w,) for w in words], "term string")
+    got = metaindex.fuzzy_pairs(s, s.withColumnRenamed("term", "target"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in words for b in words if _fuzzy(a, b))
