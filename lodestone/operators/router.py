@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import dims
+from lodestone.session import bounded_broadcast, materialize
 
 INTENTS = tuple(dict.fromkeys(i for i, _, _ in dims.INTENT_PATTERNS))
 
@@ -136,21 +137,30 @@ def expanded_terms(questions: DataFrame, edges: DataFrame) -> DataFrame:
     sub-strings, up to the length of the longest name, are matched, so it is an equi-join and not one
     of every name with every question.
     """
+    edges = materialize(edges)
     longest = edges.agg(F.max(F.greatest(F.length("caller"), F.length("callee")))).first()[0] or 1
     q = F.lower(F.coalesce("text", F.lit("")))
-    runs = F.array_distinct(F.regexp_extract_all(q, F.lit(r"(\w+)"), 1))
     subs = lambda r: F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.length(r)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(r) - i + 1)), lambda n: F.substring(r, i, n))
         )
     )
-    named = questions.select("question_id", F.explode(F.array_distinct(F.flatten(F.transform(runs, subs)))).alias("f"))
+    # questions share their words: each distinct one is looked up once
+    runs = materialize(questions.select("question_id", F.explode(F.array_distinct(F.regexp_extract_all(q, F.lit(r"(\w+)"), 1))).alias("run")))
     by = edges.select(F.lower("caller").alias("f"), F.col("callee").alias("t"), F.col("caller").alias("src"), F.lit(0).alias("o"))
     to = edges.select(F.lower("callee").alias("f"), F.col("caller").alias("t"), F.col("callee").alias("src"), F.lit(1).alias("o"))
     functions = edges.select(F.col("caller").alias("src")).distinct()
-    near = by.unionByName(to.join(functions, "src", "left_semi"))
-    terms = named.join(near, "f").groupBy("question_id").agg(F.sort_array(F.collect_set(F.struct("src", "o", "t"))).alias("n"))
+    near = by.unionByName(to.join(functions.hint("merge"), "src", "left_semi"))
+    known = near.groupBy("f").agg(F.collect_set(F.struct("src", "o", "t")).alias("n"))
+    parts = runs.select("run").distinct().select("run", F.explode(F.array_distinct(subs(F.col("run")))).alias("f"))
+    found = materialize(parts.join(known.select("f").hint("merge"), "f"))
+    named = runs.join(bounded_broadcast(found, 500_000), "run").select("question_id", "f").distinct()
+    names = materialize(named.groupBy("question_id").agg(F.sort_array(F.collect_set("f")).alias("fs")))
+    # and questions that name the same functions are told once
+    sets = names.select("fs").distinct().select("fs", F.explode("fs").alias("f")).join(known.hint("merge"), "f")
+    told = sets.groupBy("fs").agg(F.sort_array(F.flatten(F.collect_list("n"))).alias("n")).select("fs", F.array_distinct(F.transform("n", lambda x: x["t"])).alias("ts"))
+    terms = names.join(told.hint("merge"), "fs").select("question_id", "ts")
     topics = F.flatten(F.array(*[F.when(q.contains(k), F.array(*[F.lit(t) for t in v])).otherwise(F.array().cast("array<string>")) for k, v in dims.TOPIC_TERMS.items()]))
-    out = questions.join(terms, "question_id", "left")
-    graph = F.coalesce(F.transform("n", lambda x: x["t"]), F.array().cast("array<string>"))
+    out = questions.join(terms.hint("merge"), "question_id", "left")
+    graph = F.coalesce("ts", F.array().cast("array<string>"))
     return out.select("question_id", F.array_distinct(F.concat(F.array(F.coalesce("text", F.lit(""))), graph, topics)).alias("expanded"))

@@ -117,3 +117,17 @@ def test_fuzzy_shuffles_no_candidates(spark):
     got = metaindex.fuzzy_pairs(s, s.withColumnRenamed("term", "target"))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted((a, b) for a in words for b in words if _fuzzy(a, b))
+
+
+def test_expansion_makes_the_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            made.add(len(pdf))
+            yield pdf
+
+    edges = spark.createDataFrame([("load", "read"), ("Load", "seek"), ("main", "load")], "caller string, callee string").coalesce(1).mapInPandas(count, "caller string, callee string")
+    q = spark.createDataFrame([(1, "explain reload"), (2, "Reload? reload!"), (3, "none")], "question_id long, text string")
+    got = {r["question_id"]: r["expanded"][1:4] for r in router.expanded_terms(q, edges).collect()}
+    assert got == {1: ["seek", "read", "main"], 2: ["seek", "read", "main"], 3: []} and made.value == 3
