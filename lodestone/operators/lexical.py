@@ -32,8 +32,8 @@ def idf_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats)).select("tok", "df", idf.alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k1: float = dims.BM25_K1, b: float = dims.BM25_B) -> DataFrame:
-    """``(query_id, doc, bm25)`` of all documents sharing a word with a query.
+def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k1: float = dims.BM25_K1, b: float = dims.BM25_B, pairs: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc, bm25)`` of all documents sharing a word with a query, of ``pairs`` (``query_id, doc``) only where these are given.
 
     ``queries`` has ``query_id`` and ``text``. The corpus is split into words once: a text's words are
     counted in place, and only the counts of query words (broadcast while these are few) leave its task,
@@ -53,6 +53,11 @@ def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k1: fl
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     few = terms.join(df, "tok")
+    if pairs is not None:
+        # a candidate's words meet its own query's only; frequencies and lengths are those of all documents
+        own = tf.join(pairs.distinct().hint("merge"), "doc")
+        scored = own.join(materialize(few).hint("merge"), ["query_id", "tok"]).join(F.broadcast(stats))
+        return scored.groupBy("query_id", "doc").agg(F.sum(F.col("qf") * idf * part).alias("bm25"))
     scored = tf.join(bounded_broadcast(materialize(few), 500_000), "tok").join(F.broadcast(stats))
     return scored.groupBy("query_id", "doc").agg(F.sum(F.col("qf") * idf * part).alias("bm25"))
 

@@ -131,3 +131,18 @@ def test_expansion_makes_the_edges_once(spark):
     q = spark.createDataFrame([(1, "explain reload"), (2, "Reload? reload!"), (3, "none")], "question_id long, text string")
     got = {r["question_id"]: r["expanded"][1:4] for r in router.expanded_terms(q, edges).collect()}
     assert got == {1: ["seek", "read", "main"], 2: ["seek", "read", "main"], 3: []} and made.value == 3
+
+
+def test_pairs_limit_what_is_scored_not_the_scores(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, "b c d")], "id long, t string")
+    q = spark.createDataFrame([(1, "a c"), (2, "b")], "query_id long, text string")
+    every = {(r["query_id"], r["doc"]): r["bm25"] for r in lexical.bm25(q, docs, "id", "t").collect()}
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 2)], "query_id long, doc long")
+    got = {(r["query_id"], r["doc"]): r["bm25"] for r in lexical.bm25(q, docs, "id", "t", pairs=pairs).collect()}
+    assert got.keys() == {(1, 2), (2, 3)} and all(abs(got[k] - every[k]) < 1e-12 for k in got)
+    index = spark.createDataFrame([("name", "load_file", 1, 1), ("exact_match", "load_file", 1, 1), ("keywords", "loads", 1, 2), ("chunk_type", "class", 1, 2)], "field string, term string, file_id long, chunk_id int")
+    terms = spark.createDataFrame([(1, ["load_file", "class"]), (2, ["load"])], "question_id long, terms array<string>")
+    whole = {tuple(map(str, r)) for r in metaindex.matches(terms, index).collect()}
+    some = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (2, 1, 9)], "question_id long, file_id long, chunk_id int")
+    part = {tuple(map(str, r)) for r in metaindex.matches(terms, index, some).collect()}
+    assert part == {r for r in whole if r[:3] in {("1", "1", "1"), ("2", "1", "2")}} and len(part) == 2
