@@ -10,7 +10,8 @@ signature makes them a candidate.
 * Band ``b`` holds sizes in ``(HIGH[b] * t, HIGH[b]]`` and a set signs for its own band and the next,
   so any pair at the threshold ``t`` meets in a band. The band's domain is thinned by hash to about
   ``DOMAIN`` runs of a full set.
-* A sketch of fixed size counts in how many texts each run occurs. A subset with a run that no other
+* Runs are counted, range by range, in 2^35 slots: in how many texts each occurs. What every task holds is
+  two bitmaps, of the slots of several texts and of the hot ones, of 2^27 to 2^29 bits. A subset with a run that no other
   text has can agree with nothing and is left out, which leaves few signatures. Of a subset's runs one
   at least occurs in ``HOT`` texts or fewer, so no signature is shared by more, and no group of sets is
   larger, whatever the data.
@@ -45,7 +46,8 @@ PARTS, DOMAIN, SMALL, HOT = GROUPS * OF, 320, 128, 256
 SUBSETS = tuple(combinations(range(OF), TAKE))
 #: Least runs of a signature.
 RUNS = 3
-SLOT_BITS = 27
+#: Slots that runs are counted in, and the least and most of the bitmaps of what was counted, which every task holds.
+COUNT_BITS, SLOT_BITS, MOST_BITS = 35, 27, 29
 _U = np.uint64
 
 
@@ -88,9 +90,13 @@ class Sketch:
 
     def rank(self, runs: np.ndarray) -> np.ndarray:
         """0 for runs of one text, 1 for those of several, 2 for hot ones."""
-        slots = runs >> _U(64 - SLOT_BITS)
-        at, bit = (slots >> _U(3)).astype(np.int64), (slots & _U(7)).astype(np.uint8)
-        return ((self.twice[at] >> bit) & 1) + ((self.hot[at] >> bit) & 1)
+        twice, hot = (_bit(held, runs) for held in (self.twice, self.hot))
+        return twice * (1 + hot)
+
+
+def _bit(held: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    slots = runs >> _U(65 - (len(held) * 8).bit_length())
+    return (held[(slots >> _U(3)).astype(np.int64)] >> (slots & _U(7)).astype(np.uint8)) & 1
 
 
 def _part_enum(runs: np.ndarray, rank: np.ndarray, band: int, high: float) -> tuple[np.ndarray, bool]:
@@ -151,19 +157,31 @@ def _signatures(runs: np.ndarray, threshold: float, sketch: Sketch) -> tuple[np.
     return np.concatenate(out), np.concatenate(places)
 
 
+#: Two bytes that add to the next difference instead of ending one.
+_WIDE = 0xFFFF
+
+
 def _packed(sorted_slots: np.ndarray) -> bytes:
-    """Ascending numbers as differences, of two bytes each where these do."""
+    """Ascending numbers as differences, of two bytes where most are small."""
     d = np.diff(sorted_slots, prepend=np.uint32(0))
-    return b"\x02" + d.astype(np.uint16).tobytes() if not len(d) or d.max() < 1 << 16 else b"\x04" + d.astype(np.uint32).tobytes()
+    wide, rest = np.divmod(d, np.uint32(_WIDE))
+    n = len(d) + int(wide.sum(dtype=np.int64))
+    if n > 2 * len(d):
+        return b"\x04" + d.astype(np.uint32).tobytes()
+    out = np.full(n, _WIDE, np.uint16)
+    out[np.arange(len(d)) + np.cumsum(wide, dtype=np.int64)] = rest
+    return b"\x02" + out.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+    d = np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1)
+    total = np.cumsum(d, dtype=np.uint32)
+    return total[d != _WIDE] if raw[0] == 2 else total
 
 
 def _union_rows(it: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFrame]:
     """Class rows (id, set hash, size) and, by range of slots, the slots each batch's sets hold."""
-    width = (1 << SLOT_BITS) // ranges
+    width = (1 << COUNT_BITS) // ranges
     ids = _Ids()
     for pdf in it:
         rid, h1, h2, sizes, slots = [], [], [], [], []
@@ -173,7 +191,7 @@ def _union_rows(it: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFram
             r = run_hashes(text, ids)
             if len(r):
                 a, b = int(r.sum(dtype=_U)), int(_mix(r ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
-                slots.append(np.unique(r >> _U(64 - SLOT_BITS)))
+                slots.append(np.unique(r >> _U(64 - COUNT_BITS)))
             else:
                 # texts without a run are alike only when equal
                 a, b = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 1), xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 2)
@@ -192,9 +210,9 @@ def _union_rows(it: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFram
             }
         )
         if slots:
-            s = np.sort(np.concatenate(slots)).astype(np.uint32)
-            cut = np.searchsorted(s, np.arange(1, ranges, dtype=np.int64) * width)
-            pieces = [(k, p - np.uint32(k * width)) for k, p in enumerate(np.split(s, cut)) if len(p)]
+            s = np.sort(np.concatenate(slots))
+            cut = np.searchsorted(s, np.arange(1, ranges, dtype=_U) * _U(width))
+            pieces = [(k, (p - _U(k * width)).astype(np.uint32)) for k, p in enumerate(np.split(s, cut)) if len(p)]
             yield pd.DataFrame(
                 {
                     "id": pd.array([None] * len(pieces), dtype="Int64"),
@@ -207,38 +225,56 @@ def _union_rows(it: Iterator[pd.DataFrame], ranges: int) -> Iterator[pd.DataFram
             )
 
 
-def _count_slots(it: Iterator[pd.DataFrame], ranges: int, hot: int) -> Iterator[pd.DataFrame]:
-    """Two bitmaps for each range: slots held at least twice, and more than ``hot`` times.
+def _count_slots(it: Iterator[pd.DataFrame], ranges: int, hot: int, bits: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """Two bitmaps for each range: slots held at least twice, and more than ``hot`` times (of so many ``bits`` in all).
 
-    Memory is that of one range's counts.
+    Memory is that of one range's slots.
     """
-    width = (1 << SLOT_BITS) // ranges
-    now, n = None, np.zeros(0, np.uint16)
+    now, held, many, most = None, [], 0, 1 << 22
+
+    def counted():
+        return np.unique(np.concatenate(held), return_counts=True)
 
     def done():
-        bits = [np.packbits(n >= least, bitorder="little").tobytes() for least in (2, hot + 1)]
-        return pd.DataFrame({"range": [now], "twice": bits[:1], "hot": bits[1:]})
+        u, times = counted()
+        maps = []
+        for least, of in zip((2, hot + 1), bits):
+            some = np.zeros((1 << of) // ranges, np.bool_)
+            some[u[times >= least] >> np.uint32(COUNT_BITS - of)] = True
+            maps.append([np.packbits(some, bitorder="little").tobytes()])
+        return pd.DataFrame({"range": [now], "twice": maps[0], "hot": maps[1]})
 
     for pdf in it:
         for k, raw in zip(pdf["range"].tolist(), pdf["slots"]):
             if k != now:
                 if now is not None:
                     yield done()
-                now, n = k, np.zeros(width, np.uint16)
-            u, times = np.unique(_unpacked(raw), return_counts=True)
-            n[u] = np.minimum(n[u] + times, hot + 1)
+                now, held, many, most = k, [], 0, 1 << 22
+            held.append(_unpacked(raw))
+            many += len(held[-1])
+            if many > most:  # more of a slot than tells it as hot are not kept
+                u, times = counted()
+                held = [np.repeat(u, np.minimum(times, hot + 1))]
+                many = len(held[0])
+                most = max(most, 2 * many)
     if now is not None:
         yield done()
 
 
 def _sketch(base: DataFrame, ranges: int, hot: int) -> Sketch:
-    """The sketch of all slots, made range by range in as many tasks; its size is fixed."""
-    twice, many = np.zeros(1 << (SLOT_BITS - 3), np.uint8), np.zeros(1 << (SLOT_BITS - 3), np.uint8)
-    step = len(twice) // ranges
+    """The sketch of all runs, made range by range in as many tasks.
+
+    Runs are counted in so many slots that those of one text hardly meet. Only what occurs twice is set in a
+    bitmap, which grows with the number of runs up to a fixed size.
+    """
+    runs = base.where("id is not null").agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(SLOT_BITS, runs.bit_length())), SLOT_BITS
+    twice, many = (np.zeros(1 << (b - 3), np.uint8) for b in bits)
     parts = base.where("range is not null").select("range", "slots").repartition(ranges, "range").sortWithinPartitions("range")
-    for r in parts.mapInPandas(lambda it: _count_slots(it, ranges, hot), "range int, twice binary, hot binary").toLocalIterator():
-        at = slice(r["range"] * step, (r["range"] + 1) * step)
-        twice[at], many[at] = np.frombuffer(r["twice"], np.uint8), np.frombuffer(r["hot"], np.uint8)
+    for r in parts.mapInPandas(lambda it: _count_slots(it, ranges, hot, bits), "range int, twice binary, hot binary").toLocalIterator():
+        for held, raw in ((twice, r["twice"]), (many, r["hot"])):
+            step = len(held) // ranges
+            held[r["range"] * step : (r["range"] + 1) * step] = np.frombuffer(raw, np.uint8)
     return Sketch(twice, many)
 
 

@@ -502,6 +502,33 @@ def test_boilerplate_shared_by_all_keeps_pairs(spark):
     assert {(r[0], r[1]) for r in neardup.near_duplicate_pairs(df, "id", "code").collect()} == _brute(texts)
 
 
+def test_runs_of_one_text_do_not_fill_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SLOT_BITS", 12)
+    rnd = random.Random(13)
+    texts = {i: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(300)) for i in range(100)}
+    texts |= {i: texts[i - 100] + f" end{i}" for i in range(100, 103)}
+    ids = neardup._Ids()
+    runs = {i: neardup.run_hashes(x, ids) for i, x in texts.items()}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    base = rows.mapInPandas(lambda it: neardup._union_rows(it, 64), "id long, h1 long, h2 long, n int, range int, slots binary")
+    sketch = neardup._sketch(base, 64, 2)
+    rank = {i: sketch.rank(r) for i, r in runs.items()}
+    assert all((rank[i] == 1).sum() >= 297 and (rank[i] < 2).all() for i in (0, 1, 2, 100, 101, 102))
+    # 30,000 runs of one text and 900 of two in 2^15 slots
+    assert sum((rank[i] > 0).sum() for i in range(3, 100)) < 0.05 * sum(len(runs[i]) for i in range(3, 100))
+    assert not sum(len(neardup._signatures(runs[i], 0.6, sketch)[0]) for i in range(3, 100))
+
+
+@pytest.mark.parametrize("gap", [1, 300, 20_000, 200_000])
+def test_slots_are_packed_whole(gap):
+    rng = np.random.default_rng(gap)
+    for n in (1, 2, 1000):
+        x = np.cumsum(rng.integers(0, 2 * gap, n)).astype(np.uint32)
+        assert (neardup._unpacked(neardup._packed(x)) == x).all()
+    for x in ([65534], [65535], [65536], [0, 65535, 65535, 131070], [*range(100), 2**29 - 1]):
+        assert neardup._unpacked(neardup._packed(np.array(x, np.uint32))).tolist() == x
+
+
 def test_recall_at_the_threshold():
     """Pairs of sets at exactly 0.6 share a signature, whatever their sizes: 1,500 of 1,500 (40,000 simulated: 2 missed)."""
     rnd = np.random.default_rng(5)
