@@ -146,3 +146,37 @@ def test_pairs_limit_what_is_scored_not_the_scores(spark):
     some = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (2, 1, 9)], "question_id long, file_id long, chunk_id int")
     part = {tuple(map(str, r)) for r in metaindex.matches(terms, index, some).collect()}
     assert part == {r for r in whole if r[:3] in {("1", "1", "1"), ("2", "1", "2")}} and len(part) == 2
+
+
+def _asked_and_indexed(spark):
+    rng = np.random.default_rng(5)
+    words = ["load_file", "loadfile", "class", "loads", "open", "opened", "reader", "zzz", "", "File"]
+    asked = [(int(rng.integers(0, 12)) or None, [words[k] for k in rng.integers(0, len(words), 3)]) for _ in range(30)] + [(50, None), (51, [None, "open"])]
+    fields = [*metaindex.EXACT_FIELDS, *metaindex.FUZZY_FIELDS]
+    posts = sorted({(fields[rng.integers(0, 8)], words[rng.integers(0, 9)], int(rng.integers(0, 3)), int(rng.integers(0, 9))) for _ in range(120)})
+    terms = spark.createDataFrame(asked, "question_id long, terms array<string>")
+    index = spark.createDataFrame([*posts, ("name", None, 0, 0), ("exact_match", "open", None, 1)], "field string, term string, file_id long, chunk_id int")
+    want = {False: {}, True: {}}
+    for q, ts in asked:
+        for t in {t.lower() for t in ts or [] if t is not None}:
+            for field, term, f, c in [*posts, ("exact_match", "open", None, 1)]:
+                near = field in metaindex.FUZZY_FIELDS
+                if t == term and not near or near and t and term and _fuzzy(t, term):
+                    want[True].setdefault((q, f, c), set()).add(field)
+                    if not near:
+                        want[False].setdefault((q, f, c), set()).add(field)
+    return terms, index, {k: sorted((str(x), sorted(y)) for x, y in v.items()) for k, v in want.items()}
+
+
+def _hit(df):
+    return sorted((str((r["question_id"], r["file_id"], r["chunk_id"])), r["fields"]) for r in df.collect())
+
+
+def test_exact_hits_are_not_shuffled(spark, monkeypatch):
+    terms, index, want = _asked_and_indexed(spark)
+    got = metaindex.exact_matches(terms, index)
+    assert "hashpartitioning(question_id" not in got._jdf.queryExecution().toString()
+    assert want[False] and _hit(got) == want[False]
+    monkeypatch.setattr(metaindex, "_ASKED", 7)
+    assert _hit(metaindex.exact_matches(terms, index)) == want[False]
+    assert _hit(metaindex.exact_matches(terms.limit(0), index)) == [] == _hit(metaindex.exact_matches(terms, index.limit(0)))
