@@ -180,3 +180,10 @@ def test_exact_hits_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(metaindex, "_ASKED", 7)
     assert _hit(metaindex.exact_matches(terms, index)) == want[False]
     assert _hit(metaindex.exact_matches(terms.limit(0), index)) == [] == _hit(metaindex.exact_matches(terms, index.limit(0)))
+
+
+def test_alike_hits_are_not_shuffled(spark):
+    terms, index, want = _asked_and_indexed(spark)
+    got = metaindex.matches(terms, index)
+    assert "hashpartitioning(question_id" not in got._jdf.queryExecution().toString()
+    assert want[True] != want[False] and _hit(got) == want[True]
