@@ -187,3 +187,14 @@ def test_alike_hits_are_not_shuffled(spark):
     got = metaindex.matches(terms, index)
     assert "hashpartitioning(question_id" not in got._jdf.queryExecution().toString()
     assert want[True] != want[False] and _hit(got) == want[True]
+
+
+def test_keywords_come_from_the_whole_code(spark):
+    code = "x = 1\n" * 200 + "def open_gate(ticket):\n    return GateKeeper(ticket)\n"
+    chunk = "1L AS file_id, 2L AS chunk_id, 'f' AS name, 'a.py' AS path, 'function' AS chunk_type, CAST(NULL AS STRING) AS docstring, CAST(NULL AS ARRAY<STRUCT<name: STRING, hint: STRING>>) AS hints"
+    df = spark.sql(f"SELECT {chunk}, CAST(NULL AS ARRAY<STRING>) AS decorators, CAST(NULL AS ARRAY<STRING>) AS calls, CAST(NULL AS ARRAY<STRING>) AS related").crossJoin(spark.createDataFrame([(code,)], "content string"))
+    got = {r["keyword"]: float(r["weight"]) for r in metaindex.keyword_weights(df).collect()}
+    assert got == {"open_gate": 0.9, "GateKeeper": 0.6, "ticket": 0.4}
+    terms = spark.createDataFrame([(7, ["open_gates"]), (8, ["shut"])], "question_id long, terms array<string>")
+    assert _hit(metaindex.matches(terms, metaindex.meta_postings(df))) == [("(7, 1, 2)", ["keywords"])]
+    assert metaindex.keyword_weights(df, 500).count() == 0
