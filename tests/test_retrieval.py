@@ -198,3 +198,38 @@ def test_keywords_come_from_the_whole_code(spark):
     terms = spark.createDataFrame([(7, ["open_gates"]), (8, ["shut"])], "question_id long, terms array<string>")
     assert _hit(metaindex.matches(terms, metaindex.meta_postings(df))) == [("(7, 1, 2)", ["keywords"])]
     assert metaindex.keyword_weights(df, 500).count() == 0
+
+
+def test_texts_and_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestone import catalog_words
+
+    texts = ["def open_gate(ticket):\n    return GateKeeper(ticket)\n", "class Reader:\n    pass\n", "x = 1\n" * 99 + "loads(path)\n", "über_maß = loads\n", ""]
+    rows = [(k, k % 3, texts[k % 5]) for k in range(40)]
+    rows += [rows[7], rows[7], (41, 77, "def lost(): pass"), (42, 1, None)]
+    spark.createDataFrame(rows, "id long, session_id long, chunk_text string").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    spark.createDataFrame([(0, "a/main.py"), (1, "open_file.py"), (2, None), (1, "shut_file.py")], "id long, filename string").write.parquet(f"{tmp_path}/sessions.parquet")
+    asked = [(1, "how does open_gates return"), (2, "loads the reader function"), (3, None), (4, "main gatekeeper, open close"), (5, "open_file shut_file"), (None, "Über_maß dict")]
+    spark.createDataFrame(asked, "id long, query string").write.parquet(f"{tmp_path}/analysis_cache.parquet")
+    d = str(tmp_path)
+    q = catalog_words._questions(spark, d).select("question_id", lexical.words(F.col("text")).alias("terms"))
+    want = _hit(metaindex.matches(q, metaindex.meta_postings(catalog_words._described(spark, d))))
+
+    def got():
+        df = catalog_words.metadata_matches(spark, d)
+        assert "hashpartitioning(id" not in df._jdf.queryExecution().toString()
+        return sorted((str((r["question_id"], r["file_id"], r["chunk_id"])), r["fields"].split(",")) for r in df.collect())
+
+    assert len(want) > 100 and got() == want
+    monkeypatch.setattr(metaindex, "_ASKED", 7)
+    assert got() == want
+    monkeypatch.setattr(metaindex, "_KNOWN", 3)
+    assert got() == want
+
+    def fail(*a):
+        raise AssertionError("postings are made")
+
+    monkeypatch.setattr(metaindex, "_KNOWN", 10**6)
+    monkeypatch.setattr(metaindex, "meta_postings", fail)
+    assert got() == want
